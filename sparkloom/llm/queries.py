@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, substring_dedup
+from . import line_dedup, packing, substring_dedup, token_counts
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_packing": packing.op6_packing,
 }
 ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,

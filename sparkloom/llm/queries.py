@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, substring_dedup, token_counts
+from . import line_dedup, packing, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,

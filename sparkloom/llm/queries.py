@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, simhash, substring_dedup, token_counts
+from . import line_dedup, mixing, packing, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {
+    "op2_url_filter": url_filter.OP2_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_source_mixing": mixing.OP7_SQL,
 }

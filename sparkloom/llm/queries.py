@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash, substring_dedup, token_counts, url_filter
+from . import line_dedup, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_counts": token_counts.op4_token_counts,

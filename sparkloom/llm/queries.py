@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import embedding_dedup, inner_products, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
+    "op9_exact_top_k": inner_products.op9_exact_top_k,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {
@@ -19,4 +21,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
+    "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
+    "op9_exact_top_k": inner_products.OP9_SQL,
 }

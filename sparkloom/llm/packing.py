@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
+from .bpe import Merges
 from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-#: Chunks whose ids a worker keeps at most; then it starts anew.
+#: Chunks whose ids a worker keeps at most; then those not met again go.
 CACHE_CHUNKS = 400_000
 #: Lengths, the most frequent ones, that triples are made of.
 TRIPLE_LENGTHS = 96
 #: Copies of one length that a combination repeats at most.
 COPIES = 8
+#: Letters below are composed already and lower-case one by one, but for U+0130.
+_LATIN_END = "\u0250"
 
 
 # -- token ids -------------------------------------------------------------
@@ -44,22 +47,36 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.merges = Merges(path)
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
         self.ids.update((c, np.array(x.ids, self.type).tobytes()) for c, x in zip(chunks, found, strict=True))
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of Latin letters alone are one pre-token each, lower-cased, whose pairs merge here."""
+        ids, count = self.merges.merge([x.lower().encode() for x in words])
+        raw, size = ids.astype(self.type).tobytes(), np.dtype(self.type).itemsize
+        at = (np.cumsum(count) * size).tolist()
+        self.ids.update(zip(words, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split also splits at the four separators from 0x1C, which are no white space to the library
         split = [re.split(r"[^\S\x1c-\x1f]+", x) if re.search(r"[\x1c-\x1f]", x) else x.split() for x in texts]
         if len(self.ids) > CACHE_CHUNKS:
-            self.ids.clear()
+            self.ids, self.older = {}, self.ids
         missing = set().union(*split).difference(self.ids)
-        words = {x: w for x in missing if (w := x.rstrip(".,;:!?")) != x and w.isalpha()}
-        tails = {x[len(w) :] for x, w in words.items()}
-        self._learn(list((missing - words.keys() | set(words.values()) | tails).difference(self.ids)))
-        for chunk, word in words.items():
+        known = missing & self.older.keys()
+        self.ids.update((x, self.older[x]) for x in known)
+        missing -= known
+        parts = {x: w for x in missing if (w := x.rstrip(".,;:!?")) != x and w.isalpha()}
+        new = (missing - parts.keys() | set(parts.values()) | {x[len(w) :] for x, w in parts.items()}).difference(self.ids)
+        words = [x for x in new if x.isalpha() and max(x) < _LATIN_END and "\u0130" not in x]
+        self._learn_words(words)
+        self._learn(list(new.difference(words)))
+        for chunk, word in parts.items():
             self.ids[chunk] = self.ids[word] + self.ids[chunk[len(word) :]]
         return [b"".join(map(self.ids.__getitem__, x)) for x in split]
 

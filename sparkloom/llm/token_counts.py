@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,68 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
+from .bpe import Merges
 
 LIMIT = 512
-#: Chunks whose counts a worker keeps at most; then it starts anew.
+#: Chunks whose counts a worker keeps at most; then those not met again go.
 CACHE_CHUNKS = 400_000
 #: White space as the library's patterns have it, which isn't quite what Python's ``\s`` has.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class Merges:
-    """The merges of a byte-level vocabulary file as arrays sorted by pair."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            held = json.load(file)
-        vocabulary, merges = held["model"]["vocab"], held["model"]["merges"]
-        self.special = [x["content"] for x in held.get("added_tokens", [])]
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.of_byte = np.array([vocabulary[letters[b]] for b in range(256)], np.int64)
-        self.size = max(vocabulary.values()) + 1
-        pairs = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in merges], np.int64)
-        order = np.argsort(pairs)
-        self.pairs, self.ranks = pairs[order], order
-        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int64)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair of neighbours, or the number of merges where there is none."""
-        wanted = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.ranks[at], len(self.pairs))
-
-    def count(self, sequences: list[bytes]) -> np.ndarray:
-        """Symbols that survive in each sequence once no pair of it can merge.
-
-        In every round each sequence merges all places of its own lowest-rank
-        pair, from the left; sequences without a pair that merges are done.
-        """
-        none = len(self.pairs)
-        lengths = np.array([len(x) for x in sequences], np.int64)
-        out = lengths.copy()
-        symbols = self.of_byte[np.frombuffer(b"".join(sequences), np.uint8)]
-        owner = np.repeat(np.arange(len(sequences)), lengths)
-        while len(symbols) > 1:
-            rank = np.where(owner[1:] == owner[:-1], self.rank(symbols[:-1], symbols[1:]), none)
-            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.minimum.reduceat(np.r_[rank, none], begin)
-            size = np.diff(np.r_[begin, len(owner)])
-            hit = np.flatnonzero((rank == np.repeat(least, size)[:-1]) & (rank < none))
-            if len(hit):  # of places that overlap, as in three equal symbols, every second one
-                run = np.r_[True, np.diff(hit) > 1]
-                hit = hit[(np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]
-            symbols[hit] = self.merged[rank[hit]]
-            stays = np.ones(len(symbols), bool)
-            stays[hit + 1] = False
-            np.subtract.at(out, owner[hit], 1)
-            stays &= np.repeat(least < none, size)
-            symbols, owner = symbols[stays], owner[stays]
-        return out
-
-
 class Counter:
     """Counts of whole texts, from counts of chunks between single spaces.
 
@@ -89,12 +36,14 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, self.merges.special))) if self.merges.special else None
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
+        self.older_first: dict[str, int] = {}
+        self.older_later: dict[str, int] = {}
 
     def _learn(self, chunks: list[str]) -> list[int]:
         pretokens = [PRETOKEN.findall(x) for x in chunks]
         distinct = {x: i for i, x in enumerate(set().union(*pretokens))}
-        counts = self.merges.count([x.encode() for x in distinct]) if distinct else []
-        return [int(sum(counts[distinct[x]] for x in found)) for found in pretokens]
+        counts = self.merges.merge([x.encode() for x in distinct])[1].tolist() if distinct else []
+        return [sum(counts[distinct[x]] for x in found) for found in pretokens]
 
     def count(self, texts: list[str]) -> list[int]:
         out, parts = [0] * len(texts), []
@@ -106,10 +55,15 @@ class Counter:
                 parts += [(i, x) for x in self.special.split(text)]
         whole = [(i, x) for i, x in parts if "  " in x or x[-1:] == " "]
         split = [(i, x.split(" ")) for i, x in parts if not ("  " in x or x[-1:] == " ")]
-        for cache, lead, chunks in ((self.first, "", {x[0] for _, x in split}), (self.later, " ", set().union(*(x[1:] for _, x in split)))):
+        for cache, older, lead, chunks in ((self.first, self.older_first, "", {x[0] for _, x in split}), (self.later, self.older_later, " ", set().union(*(x[1:] for _, x in split)))):
             if len(cache) > CACHE_CHUNKS:
+                older.clear()
+                older.update(cache)
                 cache.clear()
-            missing = list(chunks.difference(cache))
+            missing = chunks.difference(cache)
+            known = missing & older.keys()
+            cache.update((x, older[x]) for x in known)
+            missing = list(missing - known)
             cache.update(zip(missing, self._learn([lead + x for x in missing]), strict=True))
         for i, x in split:
             out[i] += self.first[x[0]] + sum(map(self.later.__getitem__, x[1:]))

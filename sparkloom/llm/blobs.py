@@ -15,7 +15,7 @@ def packed(group: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
     bounds = np.r_[start, len(group)]
     for name, values in columns.items():
         values = np.ascontiguousarray(values[order])
-        offsets = (bounds * values.itemsize).astype(np.int32)
+        offsets = (bounds * (values.itemsize * int(np.prod(values.shape[1:])))).astype(np.int32)
         out[name] = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
     return out
 

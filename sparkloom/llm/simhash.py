@@ -154,9 +154,12 @@ def link(forest: Forest, prints: np.ndarray, queries: np.ndarray, members: np.nd
     for k in range(0, len(queries), step):
         some = queries[k : k + step]
         near = np.zeros((len(some), len(members)), np.uint8)
-        for lane in range(prints.shape[1]):
+        for lane in range(min(2, prints.shape[1])):
             near += np.bitwise_count(prints[some, lane][:, None] ^ prints[members, lane][None, :])
         a, b = np.nonzero(near <= most)
+        if prints.shape[1] > 2:  # few pairs are left for the other lanes
+            close = distances(prints[some[a]], prints[members[b]]) <= most
+            a, b = a[close], b[close]
         forest.union(some[a], members[b])
 
 

@@ -34,44 +34,40 @@ def origin_host(origin: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(origin, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#\s]+)(?:[/?#]\S*)?$", 1)), F.lit(""))
 
 
-def decision(method: Column, host: Column, origin: Column, content_length: Column, body: Column, now_ms: Column, configured: Column) -> tuple[Column, Column]:
-    """Status and code of a submission; the first condition that holds decides.
+def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = None) -> DataFrame:
+    """``submissions`` with ``status`` and ``code``: the first condition that holds decides.
 
     ``now_ms`` is an argument, so that a decision can be repeated. Text that
-    isn't a number never passes a comparison of numbers.
+    isn't a number never passes a comparison of numbers. The body is parsed
+    once, in a projection below the decision.
     """
-    sent, asked = clean_text(origin, 500), F.lower(clean_text(host, 255))
-    text = F.coalesce(F.nullif(body, F.lit("")), F.lit("{}"))
-    shape = F.schema_of_variant(F.try_parse_json(text))
-    read = F.from_json(text, _BODY)
-    fields = F.from_json(read["fields"], "map<string,string>")
-    field = lambda name, limit: clean_text(F.try_element_at(fields, F.lit(name)), limit)
-    started = F.coalesce(read["startedAt"].try_cast("double"), F.lit(0.0))
-    words = first_filled(*(F.try_element_at(fields, F.lit(n)) for n in ("message", "modifications", "engineDetails")))
-    filled = (clean_text(read["ref"], 80) != "") & valid_type(clean_text(read["type"], 120)) & (field("name", 200) != "") & (field("phone", 200) != "") & (field("vehicle", 300) != "") & (clean_text(words, 3000) != "")
-    other = F.when(origin_host(sent).isNull(), True).otherwise((asked != "") & (origin_host(sent) != asked))
+    text = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit("{}"))
+    parsed = submissions.withColumns({
+        "__shape": F.schema_of_variant(F.try_parse_json(text)), "__read": F.from_json(text, _BODY),
+        "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)), "__ok": F.lit(True) if configured is None else configured,
+    }).withColumns({"__fields": F.from_json("__read.fields", "map<string,string>"), "__origin": origin_host(F.col("__sent"))})
+    field = lambda name, limit: clean_text(F.try_element_at("__fields", F.lit(name)), limit)
+    started = F.coalesce(F.col("__read.startedAt").try_cast("double"), F.lit(0.0))
+    words = first_filled(*(F.try_element_at("__fields", F.lit(n)) for n in ("message", "modifications", "engineDetails")))
+    filled = (clean_text(F.col("__read.ref"), 80) != "") & valid_type(clean_text(F.col("__read.type"), 120)) & (field("name", 200) != "") & (field("phone", 200) != "") & (field("vehicle", 300) != "") & (clean_text(words) != "")
+    other = F.col("__origin").isNull() | ((F.col("__asked") != "") & (F.col("__origin") != F.col("__asked")))
     steps = [
-        (F.coalesce(method != "POST", F.lit(True)), 405, "method_not_allowed"),
-        ((sent != "") & other, 403, "origin_not_allowed"),
-        (F.coalesce(content_length.try_cast("double"), F.lit(0.0)) > MOST_BYTES, 413, "payload_too_large"),
-        (shape.isNull(), 400, "invalid_json"),
-        (~F.startswith(shape, F.lit("OBJECT")), 400, "invalid_payload"),
-        (clean_text(read["website"], 120) != "", 202, "accepted"),
+        (F.coalesce(F.col("method") != "POST", F.lit(True)), 405, "method_not_allowed"),
+        ((F.col("__sent") != "") & other, 403, "origin_not_allowed"),
+        (F.coalesce(F.col("content_length").try_cast("double"), F.lit(0.0)) > MOST_BYTES, 413, "payload_too_large"),
+        (F.col("__shape").isNull(), 400, "invalid_json"),
+        (~F.startswith("__shape", F.lit("OBJECT")), 400, "invalid_payload"),
+        (clean_text(F.col("__read.website"), 120) != "", 202, "accepted"),
         ((started != 0) & (now_ms - started < LEAST_MILLISECONDS), 429, "submission_too_fast"),
         (~F.coalesce(filled, F.lit(False)), 400, "missing_or_invalid_required_fields"),
-        (~configured, 503, "backend_not_configured"),
+        (~F.col("__ok"), 503, "backend_not_configured"),
     ]
-    status = code = None
-    for holds, number, name in steps:
-        status = F.when(holds, number) if status is None else status.when(holds, number)
-        code = F.when(holds, name) if code is None else code.when(holds, name)
-    return status.otherwise(200), code.otherwise("accepted")
-
-
-def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = None) -> DataFrame:
-    """``submissions`` with ``status`` and ``code``."""
-    status, code = decision(*(F.col(n) for n in ("method", "host", "origin", "content_length", "body")), now_ms, F.lit(True) if configured is None else configured)
-    return submissions.withColumn("status", status).withColumn("code", code)
+    out = None
+    for holds, status, code in steps:
+        value = F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"))
+        out = F.when(holds, value) if out is None else out.when(holds, value)
+    decided = parsed.withColumn("__out", out.otherwise(F.struct(F.lit(200).alias("status"), F.lit("accepted").alias("code"))))
+    return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), "__out.status", "__out.code")
 
 
 def merged_fields(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:

@@ -36,7 +36,8 @@ def locale_of(path: Column, locales: Sequence[str]) -> Column:
 
 
 def page_rules(html: Column, locale: Column, terms: Sequence[str] = PLACEHOLDERS, lang: Mapping[str, str] = LANG, direction: Mapping[str, str] = DIRECTION) -> dict[str, Column]:
-    """Whether a page passes each rule; rules for localized pages are null for others."""
+    """Whether a page passes each rule; rules for localized pages are null for others, and a page without content has none of what they ask for."""
+    html = F.coalesce(html, F.lit(""))
     fields, low = page_fields(html), F.lower(html)
     by_locale = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), locale)
     has = lambda text: F.coalesce(F.contains(html, text), F.lit(False))

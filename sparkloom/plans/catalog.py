@@ -158,7 +158,7 @@ def agg_strings(spark, sf_dir: str) -> DataFrame:
 
 
 AGG_STRINGS = """
-SELECT o_orderkey, string_agg(l_partkey || ':' || l_returnflag, ', ' ORDER BY l_linenumber, l_partkey) AS parts
+SELECT o_orderkey, string_agg(l_partkey || ':' || l_returnflag, ', ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS parts
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey
 """
 

@@ -45,9 +45,10 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each links a node's
     neighbours to the least of them, so that edges never outgrow their first
     number and all components are stars after a few rounds. Minima are
-    aggregated before they are shuffled and the joins are plain equi-joins, so
-    a hub with many neighbours is split by adaptive execution. Each round's
-    edges are written to the shared folder. Self-loops and nulls are ignored.
+    aggregated before they are shuffled. They and each round's edges are
+    written to the shared folder: so the joins read plain tables, and adaptive
+    execution splits a hub with very many neighbours, which it can't do above
+    an aggregate. Self-loops and nulls are ignored.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -55,9 +56,10 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -125,7 +125,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     counts = found.groupBy("uid").agg(F.sum("links").alias("n"))
     joined = rows.select("uid", "id").join(counts, "uid", "left").join(component.withColumnRenamed("node", "uid"), "uid", "left")
     joined = written(joined.select("uid", "id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "uid").alias("component")), "members")
-    least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = written(joined.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     return joined.join(least, "component").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

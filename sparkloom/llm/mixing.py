@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import renamed
+
 #: Documents in a block, and slots in a frame before rounding.
 BLOCK, FRAME = 16, 1000
 #: Sources at most; the frame's schedule takes their number times the slots.
@@ -65,30 +67,33 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     also deals them to buckets, so that no source is numbered in one task:
     rows are numbered within a bucket and buckets by their counts. Null
     sources count as the empty source, null ids as the empty id; repeated rows
-    are mixed each; input columns named as the new ones or starting with
-    ``__mix`` are replaced. An empty table gives an empty one.
+    are mixed each; input columns named as the new ones are
+    replaced. An empty table gives an empty one.
     """
     new = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new and not c.startswith("__mix")])
-    source = F.coalesce(F.col(source_col), F.lit(""))
+    docs, own = renamed(docs, new)
+    name, id_col = F.coalesce(F.col(own[source_col]), F.lit("")).alias("name"), own[id_col]
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    schedule = frame_schedule(shares(docs, source, weights, frame)).select(F.col("source").alias("__mix_source"), F.col("nth").alias("__mix_nth"), "slot", "slots", "frame")
-    keyed = docs.withColumn("__mix_source", source).withColumn("__mix_hash", digest).withColumn("__mix_bucket", F.substring("__mix_hash", 1, DIGITS))
-    sizes = docs.select(source.alias("__mix_source"), F.substring(digest, 1, DIGITS).alias("__mix_bucket")).groupBy("__mix_source", "__mix_bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("__mix_source", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_hash", id_col)
-    ranked = keyed.withColumn("__mix_row", F.row_number().over(within) - 1).join(firsts, ["__mix_source", "__mix_bucket"])
-    rank = F.col("first") + F.col("__mix_row")
+    targets = shares(docs, name, weights, frame)
+    if targets.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them first")
+    schedule = frame_schedule(targets).withColumnRenamed("source", "name")
+    keyed = docs.select("*", name, digest.alias("hash"), F.substring(digest, 1, DIGITS).alias("bucket"))
+    sizes = docs.select(name, F.substring(digest, 1, DIGITS).alias("bucket")).groupBy("name", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("name", "bucket").orderBy("hash", id_col)
+    ranked = keyed.withColumn("row", F.row_number().over(within) - 1).join(firsts, ["name", "bucket"])
+    rank = F.col("first") + F.col("row")
     ranked = ranked.withColumn("mix_block", F.floor(rank / block)).withColumn("mix_place", F.pmod(rank, F.lit(block)).cast("long"))
     # at most frame + sources rows, both bounded
-    slots = F.broadcast(schedule.select("__mix_source", "slots").distinct())
-    ranked = ranked.join(slots, "__mix_source").withColumn("__mix_nth", F.pmod(F.col("mix_block"), F.col("slots")))
-    ranked = ranked.join(F.broadcast(schedule.drop("slots")), ["__mix_source", "__mix_nth"])
+    slots = F.broadcast(schedule.select("name", "slots").distinct())
+    ranked = ranked.join(slots, "name").withColumn("nth", F.pmod(F.col("mix_block"), F.col("slots")))
+    ranked = ranked.join(F.broadcast(schedule.drop("slots")), ["name", "nth"])
     i, t, k = F.col("mix_block"), F.col("frame"), F.col("slots")
     ranked = ranked.withColumn("mix_release", F.floor(i * t / k)).withColumn("mix_deadline", F.ceil((i + 1) * t / k))
     ranked = ranked.withColumn("mix_slot", F.floor(i / k) * t + F.col("slot"))
-    return ranked.select(*(F.col(f"`{c}`") for c in docs.columns), *new)
+    return ranked.select(*own.values(), *new).toDF(*own, *new)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

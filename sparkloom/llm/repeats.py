@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from . import spans
 from .blobs import packed, unpacked
+from .shared import renamed
 
 KEY, ORDER, BLOCK, TEXT = "__key", "__order", "__block", "__text"
 #: Text bytes that one reference block holds, about.
@@ -177,7 +178,8 @@ def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str
     stays null unless the rewrite defines it.
     """
     spark = docs.sparkSession
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in counts])
+    docs, own = renamed(docs, counts)
+    id_col, text_col = own[id_col], own[text_col]
     keyed = docs.withColumn(KEY, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     texts = keyed.select(KEY, F.coalesce(F.col(id_col).try_cast("long"), F.lit(2**63 - 1)).alias(ORDER), F.col(text_col).alias(TEXT))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -210,4 +212,4 @@ def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str
             pa.array(np.concatenate(removed)) if removed else pa.array([], pa.int64()),
         ], names=names)
 
-    return keyed.withColumn(BLOCK, F.pmod(F.col(KEY), F.lit(blocks))).groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(finish, schema)
+    return keyed.withColumn(BLOCK, F.pmod(F.col(KEY), F.lit(blocks))).groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(finish, schema).toDF(*own, *counts)

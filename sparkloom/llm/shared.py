@@ -22,3 +22,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under the names c0, c1, ..., and these by the columns' own names, so that no column clashes with an operator's; columns in ``without`` are left out."""
+    names = {c: f"c{i}" for i, c in enumerate(c for c in df.columns if c not in without)}
+    return df.select([df[f"`{c}`"].alias(n) for c, n in names.items()]), names

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from . import spans
 from .blobs import packed, unpacked
 from .components import Forest, star_components
-from .shared import written
+from .shared import renamed, written
 
 WORDS, MOST_BITS, SEED = 4, 4, 42
 #: Fingerprints, taken by hash, that the upper tree is built from at most.
@@ -212,18 +212,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_B
     node = F.col("f0") if lanes == 1 else F.xxhash64(*lanes_of)
     classes = written(prints.groupBy(*lanes_of).agg(F.min(id_col).alias("least")).withColumn("node", node), "classes")
     found = star_components(_edges(classes, lanes, most_bits))
-    named = classes.join(found, "node", "left").select(*lanes_of, "least", F.coalesce("component", "node").alias("component"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(classes.join(found, "node", "left").select(*lanes_of, "least", F.coalesce("component", "node").alias("component")), "named")
+    roots = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "roots")  # a plain table, so that the join can split a large component
     return prints.join(named.join(roots, "component").select(*lanes_of, "component_id"), lanes_of)
 
 
 def one_of_each(docs: DataFrame, words: int, most_bits: int, lanes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the smallest id (then hash); all its columns."""
+    docs, own = renamed(docs)
+    id_col, text_col = own[id_col], own[text_col]
     found = near_duplicates(docs, words, most_bits, lanes, id_col, text_col)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "key")).alias("k")).select(F.col("k.key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), text_col)).join(kept, "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return keyed.withColumn("__first", first).where("__first = 1").drop("__key", "__first")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "key")).alias("k")).select(F.col("k.key").alias("key")).distinct()
+    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("string"), text_col)).join(kept, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))  # a key has the rows that are equal in id and text
+    return keyed.withColumn("first", first).where("first = 1").select(list(own.values())).toDF(*own)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

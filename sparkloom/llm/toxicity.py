@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import spans
 from .blobs import packed, unpacked
-from .shared import written
+from .shared import renamed, written
 
 #: All ASCII that is neither letter nor digit stands between words.
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
@@ -22,7 +22,7 @@ PREFIX, GAPS = 4, (1, 2)
 #: Labelled rows to learn from, about, chosen by a hash of their id; the classifier's one bounded sample.
 MOST_ROWS = 16_000
 #: Rows of that sample that a feature is in at least, and share of its rows at most: commoner ones tell as little as the bias.
-LEAST_ROWS, MOST_SHARE = 8, 0.1
+LEAST_ROWS, MOST_SHARE = 8, 0.5
 SHARDS, EPOCHS = 4, 6
 _BUCKETS = 64
 
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Whole texts are scored by the presence of features; null and empty texts
     get the bias alone. All rows stay, repeated or not.
     """
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted", "__lower")])
+    docs, own = renamed(docs, ("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*names, "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = docs.withColumn("__lower", F.lower(F.col(text_col))).mapInArrow(judge, schema)
+    scored = docs.withColumn("lower", F.lower(own[text_col])).mapInArrow(judge, schema).toDF(*own, "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -70,6 +70,16 @@ def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = N
     return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), "__out.status", "__out.code")
 
 
+def delivery(mode: Column, api_ok: Column) -> Column:
+    """What becomes of a form: ``delivered`` by the endpoint, ``handed_off`` as a message, or ``failed``.
+
+    Fixed values: mode ``api`` never hands off, ``auto`` does if the endpoint
+    fails, any other mode always does.
+    """
+    delivered = F.coalesce(api_ok, F.lit(False))
+    return F.when(mode == "api", F.when(delivered, "delivered").otherwise("failed")).when((mode == "auto") & delivered, "delivered").otherwise("handed_off")
+
+
 def merged_fields(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """Form entries (key, name, value, pos) as one row per name with its values in order; blanks give way to later values."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("value").alias("value"))))

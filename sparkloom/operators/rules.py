@@ -102,3 +102,33 @@ def payload(files: DataFrame, size: str, by: Sequence[str], limit: int) -> DataF
 def exit_code(failures: DataFrame) -> DataFrame:
     """One row: number of failures and 1 if there is any, else 0."""
     return failures.agg(F.count("*").alias("n_failures")).withColumn("exit_code", (F.col("n_failures") > 0).cast("int"))
+
+
+def lint_rules(source: Column) -> dict[str, Column]:
+    """Whether source text passes each check: no debugger statement, no secret in a literal, no evaluation of text."""
+    text = F.coalesce(source, F.lit(""))
+    patterns = {
+        "debugger": r"\bdebugger\b",
+        "secret": r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*[\"'][^\"']{12,}[\"']",
+        "eval": r"\beval\s*\(",
+    }
+    return {name: ~F.rlike(text, F.lit(pattern)) for name, pattern in patterns.items()}
+
+
+def manifest_violations(manifest: DataFrame, outputs: DataFrame, locales: Mapping[str, int], forbidden: Sequence[str]) -> DataFrame:
+    """``rule``, ``locale``, ``route`` for manifest rows whose output (column ``output``) is missing or whose route is forbidden, and for locales with a wrong number of rows."""
+    missing = manifest.join(outputs.select("output"), "output", "left_anti").select(F.lit("output_missing").alias("rule"), "locale", "route")
+    bad = None
+    for prefix in forbidden:
+        hit = (F.col("route") == prefix) | F.startswith("route", F.lit(prefix + "/"))
+        bad = hit if bad is None else bad | hit
+    barred = manifest.where(F.lit(False) if bad is None else bad).select(F.lit("route_forbidden").alias("rule"), "locale", "route")
+    wanted = manifest.sparkSession.createDataFrame(list(locales.items()), "locale string, wanted long")
+    counts = manifest.groupBy("locale").agg(F.count("*").alias("n"))
+    wrong = wanted.join(counts, "locale", "left").where(F.coalesce("n", F.lit(0)) != F.col("wanted")).select(F.lit("row_count").alias("rule"), "locale", F.lit(None).cast("string").alias("route"))
+    return missing.unionByName(barred).unionByName(wrong)
+
+
+def item_rules(width: Column, height: Column) -> dict[str, Column]:
+    """Whether a media item has sizes above zero."""
+    return {"width": F.coalesce(width > 0, F.lit(False)), "height": F.coalesce(height > 0, F.lit(False))}

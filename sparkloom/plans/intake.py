@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import catalog
 from ..operators import intake as O
+from ..sources.session import shared_folder
 from ..sources.tables import table
+from ..streaming import intake as streaming
 
 
 def _submissions(spark, sf_dir: str) -> DataFrame:
-    """One submission per event; the event's value decides what is wrong with it."""
-    e = table(spark, sf_dir, "events")
+    return _submissions_of(table(spark, sf_dir, "events"))
+
+
+def _submissions_of(e: DataFrame) -> DataFrame:
+    """One submission per event; the number in its properties decides what is wrong with it."""
     k = F.get_json_object("props", "$.k").cast("long")
     fields = F.concat(F.lit('{"name":"user '), F.col("user_id"), F.lit('","phone":"'), F.col("event_id"), F.lit('","vehicle":"'), F.when(k % 7 == 0, "").otherwise("v"), F.lit('","'), F.when(k % 5 == 0, "modifications").otherwise("message"), F.lit('":"m"}'))
     kind = F.when(k % 11 == 0, "Anfrage").when(k % 2 == 0, F.concat(F.col("event_type"), F.lit(" Enquiry"))).otherwise("General Quote")
@@ -99,7 +106,32 @@ SELECT e.user_id, e.item, min(event_id) AS added FROM e LEFT JOIN g ON e.user_id
 WHERE event_type <> 'error' AND (gone IS NULL OR event_id > gone) GROUP BY e.user_id, e.item
 """
 
+def delivery_modes(spark, sf_dir: str) -> DataFrame:
+    decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1)
+    mode = F.when(F.col("k") % 3 == 0, "api").when(F.col("k") % 3 == 1, "auto").otherwise("whatsapp")
+    return decided.groupBy(mode.alias("mode"), O.delivery(mode, F.col("status") == 200).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+DELIVERY_MODES = f"""
+SELECT mode, CASE WHEN mode = 'api' THEN CASE WHEN status = 200 THEN 'delivered' ELSE 'failed' END WHEN mode = 'auto' AND status = 200 THEN 'delivered' ELSE 'handed_off' END AS outcome, count(*) AS n
+FROM (SELECT d.*, ['api', 'auto', 'whatsapp'][CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1] AS mode FROM ({INTAKE_DECISION}) d JOIN events ON d.event_id = events.event_id) GROUP BY 1, 2
+"""
+
+
+def streamed_decisions(spark, sf_dir: str) -> DataFrame:
+    """The decisions of a stream over the events' files, delivered batch by batch to a table and read back."""
+    events = table(spark, sf_dir, "events")
+    arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    decided = O.decide(_submissions_of(arriving), F.lit(9000), F.col("k") % 4 != 1).select("event_id", "status", "code")
+    folder = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
+    query = streaming.deliver(decided, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").schema("event_id long, code string, status int").parquet(f"{folder}/out/batch=*").select("event_id", "status", "code")
+
+
 QUERIES = {
+    "delivery_modes": (delivery_modes, DELIVERY_MODES),
+    "streamed_decisions": (streamed_decisions, INTAKE_DECISION),
     "intake_decision": (intake_decision, INTAKE_DECISION),
     "field_rows": (field_rows, FIELD_ROWS),
     "merged_fields": (merged_fields, MERGED_FIELDS),

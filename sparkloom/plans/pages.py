@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import pages as O
+from ..operators import rules
 from ..sources.tables import table
 
 _SITE, _LOCALES = "https://www.example.org/", ["en", "ar"]
@@ -155,7 +156,21 @@ SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'urgent') THEN 'gr
 FROM orders
 """
 
+def manifest_check(spark, sf_dir: str) -> DataFrame:
+    pages = O.page_matrix(_routes(spark, sf_dir), _SITE, _LOCALES)
+    there = pages.where("n_nationkey % 5 <> 2")
+    return rules.manifest_violations(pages, there, {"en": 25, "ar": 24, "fr": 1}, ["/asia", "/africa/nation-5"])
+
+
+MANIFEST_CHECK = f"""
+WITH m AS ({_MATRIX_SQL})
+SELECT 'output_missing' AS rule, locale, route FROM m WHERE output NOT IN (SELECT output FROM m WHERE n_nationkey % 5 <> 2)
+UNION ALL SELECT 'route_forbidden', locale, route FROM m WHERE route IN ('/asia', '/africa/nation-5') OR starts_with(route, '/asia/') OR starts_with(route, '/africa/nation-5/')
+UNION ALL SELECT 'row_count', w.locale, NULL FROM (VALUES ('en', 25), ('ar', 24), ('fr', 1)) w(locale, n) WHERE n <> (SELECT count(*) FROM m WHERE m.locale = w.locale)
+"""
+
 QUERIES = {
+    "manifest_check": (manifest_check, MANIFEST_CHECK),
     "page_matrix": (page_matrix, _MATRIX_SQL),
     "sitemap_entries": (sitemap_entries, SITEMAP_ENTRIES),
     "page_manifest": (page_manifest, PAGE_MANIFEST),

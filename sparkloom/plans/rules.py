@@ -88,7 +88,27 @@ PAYLOAD_SUM = """
 SELECT source, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes, round(sum(n_chars) / 1e6, 1) AS megabytes, sum(n_chars) > 80000 AS over_limit FROM documents GROUP BY source
 """
 
+def lint_violations(spark, sf_dir: str) -> DataFrame:
+    return O.violations(_pages(spark, sf_dir), ["page_id"], O.lint_rules(F.regexp_replace("html", r"track\(", "eval (")))
+
+
+LINT_VIOLATIONS = r"""
+SELECT page_id, unnest(list_filter([CASE WHEN regexp_matches(html, '\bdebugger\b') THEN 'debugger' END, CASE WHEN regexp_matches(html, '(?i)(api[_-]?key|secret|token)\s*[:=]\s*["''][^"'']{12,}["'']') THEN 'secret' END,
+       CASE WHEN regexp_matches(replace(html, 'track(', 'eval ('), '\beval\s*\(') THEN 'eval' END], lambda x: x IS NOT NULL)) AS rule FROM pages
+"""
+
+
+def item_sizes(spark, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return O.violations(part, ["p_partkey"], O.item_rules(F.col("p_size") - 5, F.col("p_retailprice")))
+
+
+ITEM_SIZES = "SELECT p_partkey, 'width' AS rule FROM part WHERE NOT coalesce(p_size - 5 > 0, false) UNION ALL SELECT p_partkey, 'height' FROM part WHERE NOT coalesce(p_retailprice > 0, false)"
+
+
 QUERIES = {
+    "lint_violations": (lint_violations, LINT_VIOLATIONS),
+    "item_sizes": (item_sizes, ITEM_SIZES),
     "html_meta": (html_meta, HTML_META),
     "html_violations": (html_violations, HTML_VIOLATIONS),
     "duplicate_titles": (duplicate_titles, DUPLICATE_TITLES),

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+#: Folders of sessions without ``spark.checkpoint.dir``, by application.
+_OWN: dict[str, str] = {}
 
 
 def with_package(spark: SparkSession) -> SparkSession:
@@ -19,3 +21,13 @@ def with_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(f"{folder}/sparkloom", "zip", _PACKAGE.parent, _PACKAGE.name))
         context._sparkloom_sent = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, which all executors share; a local one where that is unset, as in tests."""
+    name = spark.sparkContext.applicationId
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{folder.rstrip('/')}/{name}"
+    if name not in _OWN:
+        _OWN[name] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return _OWN[name]

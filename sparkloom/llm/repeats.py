@@ -7,8 +7,8 @@ places or more are looked up exactly, by a hash of the whole window, and runs
 of found windows make the spans to remove.
 
 Three jobs: (1) fingerprints are counted, and those that recur fill a Bloom
-filter of bounded size (a full filter lets more windows through to (2) and
-changes no result); (2) windows that pass are matched exactly across blocks;
+filter of bounded size, which only saves work: a fuller filter lets more
+windows through to (2), and a corpus too large for it does without; (2) windows that pass are matched exactly across blocks;
 (3) spans meet their documents. Equal windows of one block are merged before
 any shuffle, so a passage that a third of all documents hold sends one entry
 for each block and not one for each document.
@@ -33,7 +33,7 @@ from .shared import renamed
 KEY, ORDER, BLOCK, TEXT = "__key", "__order", "__block", "__text"
 #: Text bytes that one reference block holds, about.
 BLOCK_BYTES = 2 << 20
-#: Bits of the filter of recurring fingerprints at most: 32 MB.
+#: Bits of the filter of recurring fingerprints at most: 32 MB. If it should have over eight times as many, there is none.
 FILTER_BITS = 1 << 28
 
 
@@ -129,7 +129,8 @@ def _matches(docs: DataFrame, units: Units, blocks: int, bits: int, held) -> Dat
                 part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 _, _, text, hashes, valid, least, _ = _windows(units, part, local)
                 at = np.flatnonzero(valid)
-                at = at[_passes(held.value, least[at], blocks, bits)]
+                if held is not None:
+                    at = at[_passes(held.value, least[at], blocks, bits)]
                 hash_at = spans.hash_windows(hashes, units.window)[at]
                 unit0 = np.searchsorted(text, text[at], side="left")
                 key, order, place = keys[i:j][text[at]], orders[i:j][text[at]], (at - unit0).astype(np.int32)
@@ -184,8 +185,9 @@ def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str
     texts = keyed.select(KEY, F.coalesce(F.col(id_col).try_cast("long"), F.lit(2**63 - 1)).alias(ORDER), F.col(text_col).alias(TEXT))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(-(-total // BLOCK_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = max(min(FILTER_BITS, total // units.bytes_a_bit) // blocks // 8 * 8, 64)
-    held = spark.sparkContext.broadcast(_recurring(texts, units, blocks, bits))
+    wanted = total // units.bytes_a_bit
+    bits = max(min(FILTER_BITS, wanted) // blocks // 8 * 8, 64)
+    held = spark.sparkContext.broadcast(_recurring(texts, units, blocks, bits)) if wanted <= 8 * FILTER_BITS else None
     found = _matches(texts, units, blocks, bits, held)
     schema = T.StructType([*docs.schema.fields, T.StructField(counts[0], T.LongType()), T.StructField(counts[1], T.LongType())])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from .shared import renamed
 BLOCK, FRAME = 16, 1000
 #: Sources at most; the frame's schedule takes their number times the slots.
 MOST_SOURCES = 5000
-#: Hexadecimal digits of the hash by which a source's documents are dealt for counting.
-DIGITS = 3
+#: Documents that a bucket of the hash is to hold, about: buckets are what a source's documents are numbered in.
+BUCKET = 2000
 
 
 def shares(docs: DataFrame, source: Column, weights: dict[str, int] | None, frame: int) -> DataFrame:
@@ -77,9 +79,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     targets = shares(docs, name, weights, frame)
     if targets.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them first")
+    digits = min(8, max(1, math.ceil(math.log(max(docs.count() / BUCKET, 1), 16))))
     schedule = frame_schedule(targets).withColumnRenamed("source", "name")
-    keyed = docs.select("*", name, digest.alias("hash"), F.substring(digest, 1, DIGITS).alias("bucket"))
-    sizes = docs.select(name, F.substring(digest, 1, DIGITS).alias("bucket")).groupBy("name", "bucket").agg(F.count("*").alias("n"))
+    keyed = docs.select("*", name, digest.alias("hash"), F.substring(digest, 1, digits).alias("bucket"))
+    sizes = docs.select(name, F.substring(digest, 1, digits).alias("bucket")).groupBy("name", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("name", "bucket").orderBy("hash", id_col)

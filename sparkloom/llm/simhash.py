@@ -18,9 +18,9 @@ from .shared import renamed, written
 
 WORDS, MOST_BITS, SEED = 4, 4, 42
 #: Fingerprints, taken by hash, that the upper tree is built from at most.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Fingerprints that a shard is to own, about, and levels of the upper tree at most.
-SHARD, LEVELS = 4096, 7
+SHARD, LEVELS = 4096, 10
 #: Distances computed at once.
 TILE = 1 << 18
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, star_components
 from .shared import written
-from .vectors import matrix, numbered_vectors
+from .vectors import matrix, numbered_vectors, units
 
 COSINE = 0.95
 #: Vectors that the centres are fitted on at most; all vectors are assigned.
@@ -71,26 +71,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     vectors of their own. A component without any id has none, and rows
     without an id aren't kept. An empty table gives an empty one.
     """
-    rows, size = numbered_vectors(vectors, id_col, vector_col)
+    rows, size, dtype = numbered_vectors(vectors, id_col, vector_col)
     usable = rows.where("valid")
     n = usable.count()
-    sample = matrix(pa.array([x[0] for x in usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()], pa.binary()), size)
-    length = np.linalg.norm(sample, axis=1)
-    sample = sample[length > 0] / length[length > 0][:, None]
+    taken = usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()
+    sample = units(matrix(pa.array([x[0] for x in taken], pa.binary()), size, dtype))
+    sample = sample[sample.any(axis=1)]
     centres = spherical_kmeans(sample, min(CELLS, max(1, n // CELL), max(1, len(sample))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = matrix(batch.column(1), size)
-            with np.errstate(over="ignore"):
-                biggest = np.abs(found).max(axis=1, initial=0)[:, None]
-                found = found / np.where(biggest > 0, biggest, 1)  # else squares of very long vectors overflow
-                length = np.linalg.norm(found, axis=1)
-            some = np.flatnonzero(length > 0)
-            unit = found[some] / length[some][:, None]
-            row, cell, own = cells_of(unit, centres, cosine)
-            packed = pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[row])), pa.array(cell.astype(np.int32)), pa.array(own), packed], names=["uid", "cell", "own", "vector"])
+            unit = units(matrix(batch.column(1), size, dtype))
+            some = np.flatnonzero(unit.any(axis=1))
+            row, cell, own = cells_of(unit[some], centres, cosine)
+            row = pa.array(some[row])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(cell.astype(np.int32)), pa.array(own), batch.column(1).take(row)], names=["uid", "cell", "own", "vector"])
 
     routed = written(usable.select("uid", "vector").mapInArrow(route, "uid long, cell int, own boolean, vector binary"), "cells")
     sizes = routed.groupBy("cell").agg(F.count_if("own"), F.count("*")).collect()  # a row per cell
@@ -103,7 +98,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     def compare(table: pa.Table) -> pa.Table:
         member, own = table["member"].to_numpy(), table["own"].to_numpy()
-        uid, all_ = table["uid"].to_numpy(), matrix(table["vector"], size)
+        uid, all_ = table["uid"].to_numpy(), units(matrix(table["vector"], size, dtype))
         mine, asking = np.flatnonzero(member), np.flatnonzero(~member)
         links, forest = np.zeros(len(uid), np.int64), Forest(len(uid))
         for k in range(0, len(asking), 256):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +82,13 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
     without an id, take no part; zero vectors and repeated ids do, a query
     skipping only its own row. Shorter vectors end in zeros.
     """
-    rows, size = numbered_vectors(vectors, id_col, vector_col)
+    rows, size, dtype = numbered_vectors(vectors, id_col, vector_col)
     usable = rows.where("valid AND id IS NOT NULL").select("uid", "id", "vector")
     n = usable.count()
     asked = usable.where(F.col("id") % every == 0)
     groups, askers = max(1, -(-n // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
-    sample = np.floor(SCALE * matrix(pa.array([x[0] for x in usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()], pa.binary()), size))
-    basis = rotation(sample[-min(len(sample), SAMPLE) :])
+    sample = np.floor(SCALE * matrix(pa.array([x[0] for x in usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()], pa.binary()), size, dtype))
+    basis = rotation(sample)
     salt = F.xxhash64("uid", F.lit(5))
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     candidates = usable.select(F.pmod(salt, F.lit(groups)).cast("int").alias("g"), spread(askers).alias("a"), "uid", "id", F.lit(False).alias("asks"), "vector")
@@ -97,7 +96,7 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
 
     def meet(table: pa.Table) -> pa.Table:
         asks, uid, name = table["asks"].to_numpy(), table["uid"].to_numpy(), table["id"].to_numpy()
-        held = np.floor(SCALE * matrix(table["vector"], size))
+        held = np.floor(SCALE * matrix(table["vector"], size, dtype))
         a, b, score = search(held[asks], uid[asks], held[~asks], uid[~asks], name[~asks], basis, top)
         return pa.table({"query": uid[asks][a], "query_id": name[asks][a], "vec_id": name[~asks][b], "score": score.astype(np.int64)})
 

@@ -1,0 +1,199 @@
+"""Near duplicates by the Jaccard similarity of shingle sets, decided exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import spans
+from .components import star_components
+from .shared import renamed, written
+from .simhash import shingle_spans
+
+#: Documents, taken by hash, whose shingles are counted, and common shingles kept at most: both only order the shingles.
+SAMPLE, COMMON = 20_000, 200_000
+#: Members of a bucket, or pairs of a class, that one group of a join is to hold, about.
+GROUP = 512
+
+
+# -- sets --------------------------------------------------------------------
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles' hashes of each text, sorted within it, and the text of each."""
+    joined, begin, end, shingles = shingle_spans(data, offsets, words)
+    owner = np.repeat(np.arange(len(shingles)), shingles)
+    hashes = spans.hash_spans(joined, begin, end)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.zeros(0, bool)
+    return hashes[new], owner[new]
+
+
+def prefixes(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, rare: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(n p / q) + 1 shingles of each set in the order of ``rare`` and hash, and their owners.
+
+    Sets whose similarity is p / q or more share at least ceil(n p / q)
+    shingles of either, so that one is in both prefixes, whatever the order.
+    """
+    p, q = share
+    order = np.lexsort((hashes, rare, owner))
+    nth = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    first = nth < (size - (size * p + q - 1) // q + 1)[owner]
+    return hashes[order[first]], owner[first]
+
+
+def _batches(batches: Iterator[pa.RecordBatch], words: int):
+    """Each slice of the batches (text is the last column) with its texts' sets."""
+    for batch in batches:
+        data, offsets = spans.bytes_of(batch.column(batch.num_columns - 1))
+        for i, j in spans.slices(offsets):
+            yield batch.slice(i, j - i), *sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of common shingles in a sample."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, _ in _batches(batches, words):
+            values, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text")
+    found = sample.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    hashes, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _sets(texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Per row its key, ``node`` (a hash of its set), ``size`` and ``prefix``."""
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for part, hashes, owner in _batches(batches, words):
+            n = part.num_rows
+            size = np.bincount(owner, minlength=n)
+            rare = np.zeros(len(hashes), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                rare = np.where(known[at] == hashes, counts[at], 0)
+            sums = np.zeros(n, np.uint64)
+            np.add.at(sums, owner, spans.mix(hashes + np.uint64(7)))
+            node = spans.mix(sums + size.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), pa.array(size), _lists(*prefixes(hashes, owner, size, rare, share), n)], names=["key", "node", "size", "prefix"])
+
+    return texts.select("key", "text").mapInArrow(emit, "key long, node long, size long, prefix array<long>")
+
+
+# -- pairs -------------------------------------------------------------------
+
+
+def _as_near(a: Column, b: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
+
+
+def _with_set(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the set of one side; a node in many pairs is dealt to several groups."""
+    parts = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    dealt = pairs.join(parts.withColumnRenamed("node", side), side).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
+    held = sets.join(parts, "node").select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias(f"set_{side}"))
+    return written(dealt.drop("parts"), "dealt").join(held, [side, "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have the similarity or more."""
+    p, q = share
+    pairs = written(pairs, "pairs")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, hashes, owner in _batches(batches, words):
+            bounds = np.r_[0, np.cumsum(np.bincount(owner, minlength=part.num_rows))]
+            raw = [hashes[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["node", "set"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both * q >= (len(x) + len(y) - both) * p)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    owners = asked.join(classes.select("node", F.col("least.key").alias("key")), "node")
+    rows = texts.join(owners, "key").dropDuplicates(["node"]).select("node", "text")
+    sets = written(rows.mapInArrow(emit, "node long, set binary"), "sets")
+    both = _with_set(written(_with_set(pairs, "a", sets), "half"), "b", sets)
+    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "near")
+
+
+def _links(classes: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs of similar classes that connect all that are connected.
+
+    Classes meet in a bucket for each shingle of their prefixes. First each is
+    held against one pivot of its bucket, so that a large group of near copies
+    is linked by as many pairs as it has members; then all pairs of a bucket
+    that aren't connected yet are held against each other.
+    """
+    entries = classes.select("node", "size", F.explode("prefix").alias("shingle"))
+    pivot = F.min_by(F.struct("node", "size"), F.struct("size", "node"))
+    buckets = entries.groupBy("shingle").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1")
+    shared = written(entries.join(written(buckets, "buckets"), "shingle"), "shared")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = shared.where(F.col("node") != F.col("pivot.node")).where(_as_near(F.col("size"), F.col("pivot.size"), share)).select(*pair(F.col("node"), F.col("pivot.node"))).distinct()
+    tried = written(stars, "stars")
+    first = _verified(tried, classes, texts, words, share)
+    found = written(star_components(first), "found")
+    named = written(shared.join(found, "node", "left").select("shingle", "node", "size", "n", F.coalesce("component", "node").alias("group")), "named")
+    apart = written(named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("shingle"), "apart")
+    open_ = written(named.join(apart, "shingle").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "open")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = open_.select("shingle", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("group").alias("x_group"), F.col("own").alias("i"), every.alias("j"))
+    right = open_.select("shingle", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("group").alias("y_group"), F.col("own").alias("j"), every.alias("i"))
+    met = left.join(right, ["shingle", "i", "j"]).where("x < y and x_group <> y_group").where(_as_near(F.col("x_size"), F.col("y_size"), share))
+    rest = met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return first.union(_verified(rest, classes, texts, words, share))
+
+
+def one_of_each(docs: DataFrame, words: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest id (then hash); all its columns.
+
+    Two texts are near if the Jaccard similarity of their sets of shingles of
+    ``words`` words is p / q or more, for ``share`` (p, q); groups are what
+    chains of near texts connect. Candidates share a shingle of their
+    prefixes (see ``prefixes``), which no near pair can miss, and a pair counts
+    only after its two sets were compared. A-Z are lower-cased, words are runs
+    of bytes other than white space, and a text with fewer words is one
+    shingle. Null and empty texts are near each other. Null ids come after all
+    others; an empty table gives an empty one.
+    """
+    docs, own = renamed(docs)
+    id_col, text_col = own[id_col], own[text_col]
+    key = F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key")
+    texts = docs.select(key, F.col(text_col).alias("text"))
+    sets = written(_sets(texts, words, share), "shingle-sets")
+    ids = docs.select(key, F.col(id_col).alias("id")).distinct()
+    classes = sets.join(ids, "key").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = written(classes, "classes")
+    found = star_components(_links(classes, texts, words, share))
+    named = written(classes.select("node", "least").join(found, "node", "left").select("least", F.coalesce("component", "node").alias("component")), "named")
+    kept = named.groupBy("component").agg(F.min("least").alias("k")).select(F.col("k.key").alias("key")).distinct()
+    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("string"), text_col)).join(kept, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))  # a key has the rows that are equal in id and text
+    return keyed.withColumn("first", first).where("first = 1").select(list(own.values())).toDF(*own)

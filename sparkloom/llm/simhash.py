@@ -28,19 +28,15 @@ TILE = 1 << 18
 # -- fingerprints ----------------------------------------------------------
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int, lanes: int) -> np.ndarray:
-    """Per text ``lanes`` 64-bit words: a bit is set if it is in over half the shingles' hashes.
-
-    The first lane's hash is XXH64 with seed 42 of the shingle; later lanes
-    mix it again.
-    """
+def shingle_spans(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words joined by one space, start and end in them of every shingle, and each text's number of shingles."""
     upper = (data >= 0x41) & (data <= 0x5A)
     data = np.where(upper, data + 0x20, data).astype(np.uint8)
     begin, end, text = spans.split(data, offsets)
     texts, n = len(offsets) - 1, len(begin)
-    out = np.zeros((texts, lanes), np.uint64)
     if not n:
-        return out
+        none = np.zeros(0, np.int64)
+        return data[:0], none, none, np.zeros(texts, np.int64)
     sizes = end - begin
     to = np.cumsum(sizes + 1) - 1  # ends in the words joined by one space
     at = to - sizes
@@ -52,8 +48,21 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int, lanes: in
     owner = np.repeat(np.arange(texts), shingles)
     start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(start + words, (first + count)[owner]) - 1
+    return joined, at[start], to[last], shingles
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int, lanes: int) -> np.ndarray:
+    """Per text ``lanes`` 64-bit words: a bit is set if it is in over half the shingles' hashes.
+
+    The first lane's hash is XXH64 with seed 42 of the shingle; later lanes
+    mix it again.
+    """
+    joined, begin, end, shingles = shingle_spans(data, offsets, words)
+    out = np.zeros((len(shingles), lanes), np.uint64)
+    if not len(begin):
+        return out
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(at[start].tolist(), to[last].tolist(), strict=True)], np.uint64)
+    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
     some = np.flatnonzero(shingles)
     bounds = (np.cumsum(shingles) - shingles)[some]
     for lane in range(lanes):

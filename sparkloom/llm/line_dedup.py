@@ -40,7 +40,7 @@ def _kept_lines(data, offsets, begin, end, text, gone):
     return data[stays], np.r_[0, np.cumsum(stays)][offsets]
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, passage_words: int = 0) -> DataFrame:
     """``docs`` without lines that repeat an earlier run of ``run`` or more lines.
 
     Winnowing: of each ``run`` consecutive lines the least gram hash is the
@@ -48,6 +48,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     position, and each match grows both ways over all windows that hold it.
     The first copy, in the order of id and place, stays, and a line goes if a
     window of ``run`` lines that covers it stands at an earlier place as well.
+    With ``passage_words``, a shorter run is such a window too if it holds at
+    least so many words: a long passage may stand on one or two lines.
 
     A line is what stands between line feeds; blank lines don't count and go
     with the line before them. ``text`` is rewritten, ``n_lines`` and
@@ -55,7 +57,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     have no lines and come out empty; rows equal in id and text are one
     document; null ids come after all others; an empty table gives an empty one.
     """
-    units = Units(_lines, run, max(1, run - 1), keep_first=True, bytes_a_bit=64)
+    units = Units(_lines, run, max(1, run - 1), keep_first=True, bytes_a_bit=64, also=tuple((width, passage_words) for width in range(1, run)) if passage_words else ())
     return remove_repeats(docs, units, _kept_lines, id_col, text_col, ("n_lines", "n_removed"))
 
 

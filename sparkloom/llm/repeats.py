@@ -48,15 +48,29 @@ class Units:
     keep_first: bool
     #: Text bytes for each bit of the filter.
     bytes_a_bit: int
+    #: Further windows that count: (units, words that they hold at least).
+    also: tuple[tuple[int, int], ...] = ()
+
+    @property
+    def widths(self) -> tuple[int, ...]:
+        return self.window, *(width for width, _ in self.also)
 
 
 def _windows(units: Units, data: np.ndarray, offsets: np.ndarray):
+    """Text and hash of each unit; for each kind of window its width and which are valid, their least fingerprint and its place."""
     begin, end, text = units.split(data, offsets)
-    n = max(len(begin) - units.window + 1, 0)
-    hashes = spans.hash_spans(data, begin, end)
-    valid = text[:n] == text[units.window - 1 :] if n else np.zeros(0, bool)
-    least, place = spans.leftmost_minima(spans.hash_windows(hashes, units.gram), units.window - units.gram + 1)
-    return begin, end, text, hashes, valid, least[:n], place[:n]
+    hashes, kinds = spans.hash_spans(data, begin, end), []
+    if units.also:
+        first, _, _ = spans.split(data, offsets)
+        words = np.searchsorted(first, begin), np.searchsorted(first, end)
+    for width, gram, most in ((units.window, units.gram, 0), *((width, 1, most) for width, most in units.also)):
+        n = max(len(begin) - width + 1, 0)
+        valid = text[:n] == text[width - 1 :] if n else np.zeros(0, bool)
+        if most and n:
+            valid &= words[1][width - 1 :] - words[0][:n] >= most
+        least, place = spans.leftmost_minima(spans.hash_windows(hashes, gram), width - gram + 1)
+        kinds.append((width, valid, least[:n], place[:n]))
+    return text, hashes, kinds
 
 
 def _filter_places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +93,11 @@ def _recurring(docs: DataFrame, units: Units, blocks: int, bits: int) -> np.ndar
             data, offsets = spans.bytes_of(batch.column(TEXT))
             for i, j in spans.slices(offsets):
                 part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                *_, valid, least, place = _windows(units, part, local)
-                _, at = np.unique(place[valid], return_index=True)
-                values, count = np.unique(least[valid][at], return_counts=True)
+                found = []
+                for _, valid, least, place in _windows(units, part, local)[-1]:
+                    _, at = np.unique(place[valid], return_index=True)
+                    found.append(least[valid][at])
+                values, count = np.unique(np.concatenate(found), return_counts=True)
                 values = np.repeat(values, np.minimum(count, 2))
                 rows = packed((values % np.uint64(blocks)).astype(np.int64), values=values)
                 yield pa.RecordBatch.from_arrays([rows["group"], rows["values"]], names=[BLOCK, "values"])
@@ -117,7 +133,7 @@ _FOUND = f"{BLOCK} long, keys binary, places binary"
 
 
 def _matches(docs: DataFrame, units: Units, blocks: int, bits: int, held) -> DataFrame:
-    """Packed (key, place) of every window that goes, by the block of its document."""
+    """Packed (key, place and kind) of every window that goes, by the block of its document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [BLOCK, "hashes", "orders", "keys", "places"]
@@ -127,13 +143,18 @@ def _matches(docs: DataFrame, units: Units, blocks: int, bits: int, held) -> Dat
             orders = batch.column(ORDER).to_numpy(zero_copy_only=False)
             for i, j in spans.slices(offsets):
                 part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, _, text, hashes, valid, least, _ = _windows(units, part, local)
-                at = np.flatnonzero(valid)
-                if held is not None:
-                    at = at[_passes(held.value, least[at], blocks, bits)]
-                hash_at = spans.hash_windows(hashes, units.window)[at]
+                text, hashes, kinds = _windows(units, part, local)
+                all_at, all_hashes, all_kinds = [], [], []
+                for kind, (width, valid, least, _) in enumerate(kinds):
+                    at = np.flatnonzero(valid)
+                    if held is not None:
+                        at = at[_passes(held.value, least[at], blocks, bits)]
+                    all_at.append(at)
+                    all_hashes.append(spans.hash_windows(hashes, width)[at])
+                    all_kinds.append(np.full(len(at), kind))
+                at, hash_at = np.concatenate(all_at), np.concatenate(all_hashes)
                 unit0 = np.searchsorted(text, text[at], side="left")
-                key, order, place = keys[i:j][text[at]], orders[i:j][text[at]], (at - unit0).astype(np.int32)
+                key, order, place = keys[i:j][text[at]], orders[i:j][text[at]], ((at - unit0) * len(kinds) + np.concatenate(all_kinds)).astype(np.int32)
                 sort, new, elsewhere, several = _first_of_equal(hash_at, order, key, place)
                 hash_at, order, key, place = hash_at[sort], order[sort], key[sort], place[sort]
                 goes = elsewhere if units.keep_first else several
@@ -159,14 +180,15 @@ def _matches(docs: DataFrame, units: Units, blocks: int, bits: int, held) -> Dat
 
 
 def covered(units: Units, text: np.ndarray, keys: np.ndarray, found_key: np.ndarray, found_place: np.ndarray, texts: int) -> np.ndarray:
-    """Which units lie in a found window; found_key is sorted."""
+    """Which units lie in a found window; found_key is sorted, found_place is the place times the kinds of windows, plus the kind."""
     low, high = np.searchsorted(found_key, keys, "left"), np.searchsorted(found_key, keys, "right")
     n = high - low
     at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    begin = np.repeat(np.searchsorted(text, np.arange(texts)), n) + found_place[at]
+    place, kind = np.divmod(found_place[at], len(units.widths))
+    begin = np.repeat(np.searchsorted(text, np.arange(texts)), n) + place
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + units.window, -1)
+    np.add.at(edge, begin + np.array(units.widths)[kind], -1)
     return np.cumsum(edge[:-1]) > 0
 
 

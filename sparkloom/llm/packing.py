@@ -6,7 +6,7 @@ import functools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ CACHE_CHUNKS = 400_000
 TRIPLE_LENGTHS = 96
 #: Copies of one length that a combination repeats at most.
 COPIES = 8
+#: Documents, about, that are planned together where their order counts.
+CHUNK = 4096
 #: Letters below are composed already and lower-case one by one, but for U+0130.
 _LATIN_END = "\u0250"
 
@@ -224,6 +226,33 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, windo
     return docs.select(id_col, text_col).mapInArrow(encode, schema)
 
 
+def _pieces_of(length: np.ndarray, rank: np.ndarray, tokens: np.ndarray, crcs: list, rests: pa.Array, planned: tuple, window: int, full_sequence: Callable) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each piece and its start, length, ids_crc32, doc_tokens, sequence_id and offset; ``full_sequence(owner, nth)`` numbers full windows."""
+    some = np.flatnonzero(length)
+    row, start, size, sequence, offset = place(length[some], rank[some], *planned, window)
+    row = some[row]
+    crc = []
+    for k, a, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True):
+        raw = rests[k].as_buffer()
+        crc.append(_crc(np.frombuffer(raw, np.uint16 if len(raw) == 2 * length[k] else np.uint32)[a : a + n]))
+    start = start + tokens[row] - length[row]
+    full = np.array([len(x) for x in crcs], np.int64)
+    owner = np.repeat(np.arange(len(full)), full)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
+    columns = [
+        np.r_[start, nth * window],
+        np.r_[size, np.full(len(owner), window)],
+        np.r_[np.array(crc, np.int64), np.array([c for x in crcs for c in x], np.int64)],
+        np.r_[tokens[row], tokens[owner]],
+        np.r_[sequence, full_sequence(owner, nth)],
+        np.r_[offset, np.zeros(len(owner), np.int64)],
+    ]
+    return np.r_[row, owner], [x.astype(np.int64) for x in columns]
+
+
+_PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences of at most ``window`` tokens that hold all documents, one row per piece.
 
@@ -255,7 +284,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     base, total = np.r_[0, np.cumsum(sizes)[:-1]], int(sizes.sum())
     tail = sequences + total // window + window.bit_length()
     shared = spark.sparkContext.broadcast((slots, taken, base))
-    kinds = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
+    kinds = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in _PIECE)])
     names = kinds.names
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,32 +292,61 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             tokens, crcs, rests = batch.column("doc_tokens").to_numpy(), batch.column("full_crc32").to_pylist(), batch.column("rest")
-            some = np.flatnonzero(length)
-            row, start, size, sequence, offset = place(length[some], rank[some], slots, taken, base, sequences, total, window)
-            row = some[row]
-            crc = []
-            for k, a, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True):
-                raw = rests[k].as_buffer()
-                crc.append(_crc(np.frombuffer(raw, np.uint16 if len(raw) == 2 * length[k] else np.uint32)[a : a + n]))
-            start = start + tokens[row] - length[row]
-            full = np.array([len(x) for x in crcs], np.int64)
-            owner = np.repeat(np.arange(len(full)), full)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
-            columns = (
-                np.r_[start, nth * window],
-                np.r_[size, np.full(len(owner), window)],
-                np.r_[np.array(crc, np.int64), np.array([c for x in crcs for c in x], np.int64)],
-                np.r_[tokens[row], tokens[owner]],
-                np.r_[sequence, tail + (numbered[length[owner]] + rank[owner]) * most_full + nth],
-                np.r_[offset, np.zeros(len(owner), np.int64)],
-            )
-            ids = batch.column("doc_id").take(pa.array(np.r_[row, owner]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in columns)], names=names)
+            number = lambda owner, nth: tail + (numbered[length[owner]] + rank[owner]) * most_full + nth
+            row, columns = _pieces_of(length, rank, tokens, crcs, rests, (slots, taken, base, sequences, total), window, number)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *map(pa.array, columns)], names=names)
 
     ranked = encoded.join(parts.select("length", "part", "first"), ["length", "part"]).withColumn("rank", F.col("first") + F.col("local_rank"))
     return ranked.select("doc_id", "doc_tokens", "full_crc32", "rest", "length", "rank").mapInArrow(pieces, kinds)
 
 
+def pack_in_order(docs: DataFrame, vocabulary: str, schedule: Callable[[DataFrame], DataFrame], keep: tuple[str, ...], window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``pack``, but sequences are numbered in the order of a schedule.
+
+    ``schedule(rows)`` gets rows with ``doc_id`` and the columns ``keep`` and
+    adds ``at``, a different long for each row. Documents that follow each
+    other there are planned together, about ``CHUNK`` at a time, and a chunk's
+    sequences come in the order of the first document that each holds. Rests
+    that fill no window are cut at the end of their chunk.
+    """
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *keep).alias("who"), text_col)
+    encoded = _encoded(rows, vocabulary, "who", text_col, window, end_id).select("doc_id.*", "doc_tokens", "full_crc32", "rest", "length")
+    ordered = written(schedule(written(encoded, "packing")).select("doc_id", "at", "doc_tokens", "full_crc32", "rest", "length"), "scheduled")
+    cell = F.floor(F.col("at") / CHUNK).alias("cell")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = ordered.groupBy(cell).agg(F.count("*").alias("n")).select("cell", F.floor(before / CHUNK).alias("chunk"))
+    kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in _PIECE)])
+    names = kinds.names
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at").combine_chunks()
+        length, tokens = table["length"].to_numpy(), table["doc_tokens"].to_numpy()
+        histogram, order = np.bincount(length, minlength=window), np.argsort(length, kind="stable")
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.r_[0, np.cumsum(histogram)[:-1]][length[order]]
+        histogram[0] = 0
+        slots, taken, sequences = plan(histogram, window)
+        sizes = (histogram - taken) * np.arange(window)
+        base, total = np.r_[0, np.cumsum(sizes)[:-1]], int(sizes.sum())
+        number = lambda owner, nth: sequences + total // window + window.bit_length() + np.arange(len(owner))
+        row, columns = _pieces_of(length, rank, tokens, table["full_crc32"].to_pylist(), table["rest"].combine_chunks(), (slots, taken, base, sequences, total), window, number)
+        sequence, held = np.unique(columns[4], return_inverse=True)
+        first = np.full(len(sequence), len(length))
+        np.minimum.at(first, held, row)
+        new = np.empty(len(sequence), np.int64)
+        new[np.lexsort((sequence, first))] = np.arange(len(sequence))
+        columns[4] = new[held]
+        taken_rows = pa.array(row)
+        return pa.table([table["chunk"].take(taken_rows), table["doc_id"].take(taken_rows), *map(pa.array, columns)], names=names)
+
+    fitted = written(ordered.withColumn("cell", cell).join(F.broadcast(chunks), "cell").drop("cell").groupBy("chunk").applyInArrow(fit, kinds), "fitted")
+    sizes = fitted.groupBy("chunk").agg((F.max("sequence_id") + 1).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("chunk", earlier.alias("first"))
+    numbered = fitted.join(F.broadcast(firsts), "chunk").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
+    return numbered.select("doc_id", *_PIECE)
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

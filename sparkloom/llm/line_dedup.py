@@ -44,20 +44,25 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without lines that repeat an earlier run of ``run`` or more lines.
 
     Winnowing: of each ``run`` consecutive lines the least gram hash is the
-    fingerprint, so equal runs always share one. Fingerprints are matched by
-    position, and each match grows both ways over all windows that hold it.
-    The first copy, in the order of id and place, stays, and a line goes if a
-    window of ``run`` lines that covers it stands at an earlier place as well.
-    With ``passage_words``, a shorter run is such a window too if it holds at
-    least so many words: a long passage may stand on one or two lines.
+    fingerprint, so equal runs always share one. The places of a fingerprint
+    are joined, the lines around them compared, and each match grows both ways
+    for as long as its lines equal the earlier copy's. The first copy, in the
+    order of id and place, stays, and a line goes if a window of ``run`` lines
+    that covers it stands at an earlier place as well. With ``passage_words``,
+    a shorter run is such a window too if it holds at least so many words: a
+    long passage may stand on one or two lines.
 
     A line is what stands between line feeds; blank lines don't count and go
     with the line before them. ``text`` is rewritten, ``n_lines`` and
-    ``n_removed`` follow (replacing input columns of these names). Null texts
-    have no lines and come out empty; rows equal in id and text are one
-    document; null ids come after all others; an empty table gives an empty one.
+    ``n_removed`` follow (replacing input columns of these names; all other
+    columns stay as they are). Null texts have no lines and come out empty.
+    Every row is a document of its own, so of rows that repeat an id and a text
+    one keeps its lines. Null ids, and ids that are no integers, come after all
+    others; rows of one id follow each other as they are read. A very long text
+    is one block of its own (see ``remove_repeats`` for its memory); an empty
+    table gives an empty one.
     """
-    units = Units(_lines, run, max(1, run - 1), keep_first=True, bytes_a_bit=64, also=tuple((width, passage_words) for width in range(1, run)) if passage_words else ())
+    units = Units(_lines, run, max(1, run - 1) , keep_first=True, also=tuple((width, passage_words) for width in range(1, run)) if passage_words else ())
     return remove_repeats(docs, units, _kept_lines, id_col, text_col, ("n_lines", "n_removed"))
 
 

@@ -6,6 +6,7 @@ that a batch costs a few numpy passes and no Python loop over words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ LINE_SEPARATORS = (0x0A,)
 #: Bytes of text worked on at once; numpy temporaries take about 40 times this.
 SLICE_BYTES = 2 << 20
 
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 - 2)  # 3 modulo 8: powers differ in their low bits
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Odd multipliers of the two lanes of hashes: a lane alone is 64 bits, both together 128.
+_FOLD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SPREAD = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x165667B19E3779F9))
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span that are hashed along with all other spans; what is beyond goes through BLAKE2b, span by span.
+_TOGETHER = 4096
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,14 +36,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for at, base in ((0, _BASE), (1, _BASE_INVERSE)):
-            values = np.full(size, base, np.uint64)
-            values[0] = 1
-            _POWERS[at] = np.cumprod(values, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _fold(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of two hashes in order; for either of them given, a bijection of the other."""
+    out = a * _FOLD[lane]
+    out += b
+    out ^= out >> np.uint64(32)
+    out *= _SPREAD[lane]
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,23 +87,43 @@ def split(data: np.ndarray, offsets: np.ndarray, separators: tuple[int, ...] = W
     return begin, np.flatnonzero(ends) + 1, np.searchsorted(offsets[1:], begin, side="right")
 
 
-def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:-1], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * inverse[begin])
-
-
-def hash_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every ``width`` consecutive values."""
-    if len(values) < width:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:-1], out=sums[1:])
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal bytes; lanes are independent.
+
+    Spans are read in words of 8 bytes, each folded in by a bijection, so that
+    spans of up to 8 bytes and equal length never collide and no pattern of
+    bytes cancels out, as it does in a sum of powers modulo 2^64.
+    """
+    size = end - begin
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = _fold(size.astype(np.uint64) + np.uint64(1), words[begin] & _MASK[np.minimum(size, 8)], lane)
+    at, more = 8, np.flatnonzero(size > 8)
+    while len(more) and at < _TOGETHER:
+        out[more] = _fold(out[more], words[begin[more] + at] & _MASK[np.minimum(size[more] - at, 8)], lane)
+        at += 8
+        more = more[size[more] > at]
+    for k in more.tolist():
+        rest = hashlib.blake2b(np.ascontiguousarray(data[begin[k] + at : end[k]]), digest_size=8, salt=bytes([lane])).digest()
+        out[k : k + 1] = _fold(out[k : k + 1], np.frombuffer(rest, "<u8"), lane)
+    return mix(out)
+
+
+def hash_windows(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of every ``width`` consecutive values, from hashes of 1, 2, 4, ... values."""
     n = len(values) - width + 1
-    return mix((sums[width:] - sums[:-width]) * inverse[:n] + np.uint64(width))
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, level, span = np.full(n, width, np.uint64), 0, values, 1
+    while at < width:
+        if width & span:
+            out = _fold(out, level[at : at + n], lane)
+            at += span
+        if at < width:
+            level = _fold(level[:-span], level[span:], lane)
+            span *= 2
+    return out
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

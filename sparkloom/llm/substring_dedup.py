@@ -30,20 +30,24 @@ def _kept_words(data, offsets, begin, end, text, gone):
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with every word removed that a repeated window of ``window`` words covers.
 
-    Each document is parsed greedily into factors that some reference block of
-    the corpus holds, its own block included: a window whose words start at
-    any other place begins a factor, and while the next window does too the
-    factor grows. So the windows that cross from one factor into the next are
-    looked up as all others are, and nothing is lost at the factors' ends.
+    Relative Lempel-Ziv: each document is parsed from left to right into
+    factors that stand at another place of some reference block, its own block
+    included. The index of all blocks answers for every window of ``window``
+    words with such a place, so a factor begins where a window has one, goes on
+    as long as the reference does, and has at least ``window`` words. A window
+    that crosses from one factor into the next has its own answer, and the
+    spans of all factors go.
 
     Words are runs of bytes other than space and tab to carriage return, kept
     as they are. ``text`` becomes the kept words joined by one space, and the
     columns ``n_words`` and ``n_removed`` follow (replacing input columns of
-    these names). Null texts have no words and come out empty; texts shorter
-    than the window stay whole; rows equal in id and text are one document,
-    whose windows aren't repeated by that; an empty table gives an empty one.
+    these names; all others stay). Null texts have no words and come out empty;
+    texts shorter than the window stay whole. Every row is a document of its
+    own: rows that repeat an id and a text repeat each other's windows. A very
+    long text is one block of its own (see ``remove_repeats`` for its memory);
+    an empty table gives an empty one.
     """
-    units = Units(spans.split, window, max(1, window // 2 + 1), keep_first=False, bytes_a_bit=16)
+    units = Units(spans.split, window, max(1, window // 2 + 1), keep_first=False)
     return remove_repeats(docs, units, _kept_words, id_col, text_col, ("n_words", "n_removed"))
 
 

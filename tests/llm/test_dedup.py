@@ -41,11 +41,38 @@ def test_long_texts_are_sliced_alone():
     assert list(spans.slices(np.array([0]), 10)) == []
 
 
-def test_a_corpus_too_large_for_the_filter_does_without(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "FILTER_BITS", 8)
+@pytest.mark.parametrize(("block", "salted"), [(2 << 20, 1024), (3000, 2)])
+def test_small_blocks_and_salts_change_nothing(spark, monkeypatch, block, salted):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(repeats, "SALTED", salted)
     docs = corpus(11)
     found = substring_dedup.remove_repeated_passages(frame(spark, docs)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed) for r in found} == {i: x[:2] for i, x in brute.repeated_passages(docs).items()}
+    docs = lines_corpus()
+    wanted = brute.repeated_lines(docs)
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.remove_repeated_lines(frame(spark, docs)).collect()} == {i: x[:2] for i, x in wanted.items()}
+
+
+def test_windows_that_differ_in_one_patterned_word_stay(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other, rest = one.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(34))
+    rows = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeated_passages(rows).collect()] == [0, 0]
+    rows = spark.createDataFrame([(1, f"{one}\nx\ny"), (2, f"{other}\nx\ny")], "doc_id long, text string")
+    assert [r.n_removed for r in line_dedup.remove_repeated_lines(rows).collect()] == [0, 0]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"{r.getrandbits(40):x}" for _ in range(300_000))
+    rows = spark.createDataFrame([(1, f"{long} {passage} {long[:5_000_00]}"), (2, passage)], "doc_id long, text string")
+    found = {x.doc_id: x for x in substring_dedup.remove_repeated_passages(rows).collect()}
+    repeated = len(long[:5_000_00].split(" "))
+    assert found[2].n_removed == 60 and 60 + 2 * repeated - 2 <= found[1].n_removed <= 60 + 2 * repeated
+    lines = "\n".join(f"{r.getrandbits(60):x}" for _ in range(200_000))
+    rows = spark.createDataFrame([(1, lines), (2, "a\n" + lines)], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in line_dedup.remove_repeated_lines(rows).collect()} == {1: 0, 2: 200_000}
 
 
 def test_empty_tables(spark):
@@ -63,7 +90,10 @@ def test_null_ids_and_repeated_rows(spark):
     found = [(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeated_passages(rows).collect()]
     assert sorted(found, key=str) == [(1, 40), (1, 40), (2, 0), (None, 40)]
     alone = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
-    assert [r.n_removed for r in substring_dedup.remove_repeated_passages(alone).collect()] == [0, 0]
+    assert [r.n_removed for r in substring_dedup.remove_repeated_passages(alone).collect()] == [40, 40]
+    lines = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc")], "doc_id long, text string")
+    found = [(r.doc_id, r.n_removed) for r in line_dedup.remove_repeated_lines(lines).collect()]
+    assert sorted(found, key=str) == [(1, 0), (1, 3), (None, 3)]
 
 
 def lines_corpus():

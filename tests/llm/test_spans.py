@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from sparkloom.llm import blobs, spans
 from sparkloom.llm.components import Forest
-from sparkloom.llm.repeats import Units, covered
+from sparkloom.llm.repeats import Units, coverage
 
 texts = st.lists(st.text(alphabet="ab \n\té,", max_size=30) | st.none(), max_size=12)
 
@@ -72,8 +72,37 @@ def test_forest(n, edges):
     assert forest.roots(np.arange(n)).tolist() == label
 
 
-def test_covered_units():
-    units = Units(spans.split, 2, 1, keep_first=False, bytes_a_bit=16)
-    text, keys = np.array([0, 0, 0, 1, 1, 1, 1]), np.array([7, 9])
-    assert covered(units, text, keys, np.array([7, 9, 9]), np.array([1, 0, 2]), 2).tolist() == [False, True, True, True, True, True, True]
-    assert covered(units, text, keys, np.zeros(0, np.int64), np.zeros(0, np.int32), 2).tolist() == [False] * 7
+def test_factors_and_covered_units():
+    units = Units(spans.split, 3, 1, keep_first=False)
+    runs = [np.array(x) for x in ([4, 1, 6, 12], [2, 2, 1, 1], [9, 9, 9, 9], [104, 50, 200, 300])]
+    (begin, size, block, other), gone = coverage(units, *runs, 20)
+    assert begin.tolist() == [1, 4, 6, 12] and size.tolist() == [4, 4, 3, 3] and other.tolist() == [50, 104, 200, 300]
+    assert np.flatnonzero(gone).tolist() == [*range(1, 9), 12, 13, 14]
+    (begin, size, _, _), _ = coverage(units, *(np.array(x) for x in ([1, 3], [2, 2], [9, 9], [50, 52])), 20)
+    assert begin.tolist() == [1] and size.tolist() == [6]  # one factor, from two runs that go on
+    assert not coverage(units, *(np.zeros(0, np.int64),) * 4, 7)[1].any()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterns_of_bytes_and_words_do_not_collide():
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    for lane in (0, 1):
+        a, b = spans.hash_spans(data, np.array([0, 1024]), np.array([1024, 2048]), lane)
+        assert a != b
+        units = spans.hash_spans(data, np.arange(2048), np.arange(2048) + 1, lane)
+        assert spans.hash_windows(units[:1024], 1024, lane)[0] != spans.hash_windows(units[1024:], 1024, lane)[0]
+
+
+def test_long_spans_are_told_apart_to_their_ends():
+    r = np.random.default_rng(0)
+    data = r.integers(97, 122, 30_000).astype(np.uint8)
+    both = np.concatenate([data, data])
+    both[-1] ^= 1
+    at = np.array([0, 30_000])
+    assert spans.hash_spans(both, at, at + 29_999)[0] == spans.hash_spans(both, at, at + 29_999)[1]
+    assert spans.hash_spans(both, at, at + 30_000)[0] != spans.hash_spans(both, at, at + 30_000)[1]

@@ -7,127 +7,161 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import renamed
+from .shared import renamed, written
 
-#: Documents in a block, and slots in a frame before rounding.
-BLOCK, FRAME = 16, 1000
-#: Sources at most; the frame's schedule takes their number times the slots.
-MOST_SOURCES = 5000
+#: Documents in a block.
+BLOCK = 16
+#: What the default weights add up to, about: a source's weight is its part in so many.
+PARTS = 1000
 #: Documents that a bucket of the hash is to hold, about: buckets are what a source's documents are numbered in.
 BUCKET = 2000
+#: Slots of a schedule that is sent to all tasks; a longer one is joined like any table.
+MOST_SENT = 100_000
+#: Target weights of ``op7_source_mixing``; sources that aren't named have weight 2.
+WEIGHTS = {"src0": 7, "src1": 5, "src2": 3, "src3": 3}
+OTHERS = 2
 
 
-def shares(docs: DataFrame, source: Column, weights: dict[str, int] | None, frame: int) -> DataFrame:
-    """``source`` and ``slots``, its whole number of slots in a frame, at least one.
+def targets(docs: DataFrame, source: Column, weights: dict[str, int] | None, others: int) -> DataFrame:
+    """``source`` and ``w``, its target weight, a whole number of at least one.
 
-    Without ``weights`` a source's target is the square root of its size, so
-    that large sources lead less than they would by size.
+    Without ``weights`` a source's target is its part in ``PARTS`` of the square
+    roots of all sources' sizes, rounded, so that large sources lead less than
+    they would by size.
     """
     sizes = docs.select(source.alias("source")).groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
-        weight = F.greatest(F.lit(1), F.floor(F.sqrt("n"))).cast("long")
+        total = sizes.agg(F.sum(F.sqrt("n"))).scalar()
+        weight = F.round(F.lit(PARTS) * F.sqrt("n") / total)
+    elif weights:
+        table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+        weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(others))
     else:
-        table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map().cast("map<string,int>")
-        weight = F.greatest(F.lit(1), F.coalesce(F.try_element_at(table, F.col("source")), F.lit(1))).cast("long")
-    weighed = sizes.select("source", weight.alias("w"))
-    total = weighed.agg(F.sum("w")).scalar()
-    return weighed.select("source", F.greatest(F.lit(1), F.floor(F.lit(frame) * F.col("w") / total)).cast("long").alias("slots"))
+        weight = F.lit(others)
+    return sizes.select("source", F.greatest(F.lit(1), weight).cast("long").alias("w"))
 
 
-def frame_schedule(shares: DataFrame) -> DataFrame:
-    """``source``, ``nth``, ``slot``, ``slots``, ``frame``: when a frame serves each source's blocks.
+def frame_schedule(weighed: DataFrame) -> DataFrame:
+    """``source``, ``w``, ``frame``, ``nth``, ``slot``: when a frame serves each source's blocks.
 
-    Block i of a source with k of T slots is released at floor(i T / k) and
-    due at ceil((i + 1) T / k). Each slot takes, of the released blocks, the
-    one due first. As the shares add up to the frame, no slot stays idle and
-    every block is served within its window; a frame later all repeats.
+    The weights add up to the frame's W slots. Block i of weight w is released
+    at floor(i W / w) and due at ceil((i + 1) W / w). Each slot takes, of the
+    released blocks, the one due first; no slot stays idle, every block is
+    served within its window, and after W slots each source has had exactly w,
+    so that all repeats and no rounding adds up.
+
+    m sources of equal weight w are scheduled as one of weight m w and take
+    its blocks in turn, which keeps each of them within its own windows. So the
+    fold's state has the size of the distinct weights, not of the sources.
     """
-    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("s"), F.sum("slots").cast("long").alias("t"))
+    members = weighed.select("source", "w", (F.row_number().over(Window.partitionBy("w").orderBy("source")) - 1).cast("long").alias("j"))
+    groups = weighed.groupBy("w").agg(F.count("*").alias("m"))
+    one = groups.agg(F.array_sort(F.collect_list(F.struct("w", "m", (F.col("w") * F.col("m")).alias("v")))).alias("s"), F.sum(F.col("w") * F.col("m")).cast("long").alias("t"))
     edf = F.expr("""
         aggregate(sequence(0L, t - 1),
-          named_struct('n', transform(s, x -> 0L), 'served', cast(array() AS array<int>)),
+          named_struct('n', transform(s, x -> 0L), 'full', cast(array() AS array<array<int>>), 'served', cast(array() AS array<int>)),
           (a, at) -> transform(
             array(array_min(filter(
-              transform(s, (x, i) -> named_struct('due', (a.n[i] + 1) * t div x.slots + if((a.n[i] + 1) * t % x.slots > 0, 1, 0), 'i', i, 'ready', a.n[i] * t div x.slots <= at)),
+              transform(s, (x, i) -> named_struct('due', (a.n[i] + 1) * t div x.v + if((a.n[i] + 1) * t % x.v > 0, 1, 0), 'i', i, 'ready', a.n[i] * t div x.v <= at)),
               x -> x.ready)).i),
-            c -> named_struct('n', transform(a.n, (x, i) -> if(i = c, x + 1, x)), 'served', concat(a.served, array(c))))[0],
-          a -> a.served)
+            c -> named_struct(
+              'n', transform(a.n, (x, i) -> if(i = c, x + 1, x)),
+              'full', if(size(a.served) = 1024, concat(a.full, array(a.served)), a.full),
+              'served', if(size(a.served) = 1024, array(c), concat(a.served, array(c)))))[0],
+          a -> flatten(concat(a.full, array(a.served))))
     """)
     served = one.where("t > 0").select("s", "t", F.posexplode(edf).alias("slot", "i"))
-    row = served.select(F.expr("s[i].source").alias("source"), F.expr("s[i].slots").alias("slots"), F.col("t").alias("frame"), F.col("slot").cast("long").alias("slot"))
-    return row.withColumn("nth", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long"))
+    rows = served.select(F.expr("s[i].w").alias("w"), F.expr("s[i].m").alias("m"), F.col("t").alias("frame"), F.col("slot").cast("long").alias("slot"))
+    turn = F.row_number().over(Window.partitionBy("w").orderBy("slot")) - 1
+    rows = rows.withColumn("turn", turn).select("w", "frame", "slot", F.floor(F.col("turn") / F.col("m")).alias("nth"), F.pmod("turn", F.col("m")).cast("long").alias("j"))
+    return rows.join(members, ["w", "j"]).select("source", "w", "frame", "nth", "slot")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, frame: int = FRAME, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def _numbered(docs: DataFrame, name: Column, id_col: str) -> DataFrame:
+    """``docs`` with ``name`` and ``rank``, a number from 0 in each name, in the order of the MD5 of the id, then the id."""
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    held = written(docs.select("*", name.alias("name"), F.monotonically_increasing_id().alias("uid")), "mixed")
+    digits = min(8, max(1, math.ceil(math.log(max(held.count() / BUCKET, 1), 16))))
+    keyed = held.select("*", digest.alias("hash"), F.substring(digest, 1, digits).alias("bucket"))
+    # equal ids share a bucket: where many do, the rows' own numbers deal it out further
+    parts = keyed.groupBy("name", "bucket").agg(F.count("*").alias("n")).select("name", "bucket", F.when(F.col("n") > 8 * BUCKET, F.ceil(F.col("n") / (4 * BUCKET))).otherwise(1).cast("long").alias("parts"))
+    parts = written(parts, "parts")
+    part = F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")
+    dealt = keyed.join(parts, ["name", "bucket"]).select(*keyed.columns, part)
+    sizes = keyed.select("name", "bucket", "uid").join(parts, ["name", "bucket"]).groupBy("name", "bucket", part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("name").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("name", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("name", "bucket", "part").orderBy("hash", id_col, "uid")
+    ranked = dealt.withColumn("row", F.row_number().over(within) - 1).join(firsts, ["name", "bucket", "part"])
+    return ranked.select(*docs.columns, "name", (F.col("first") + F.col("row")).alias("rank"))
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, others: int = 1, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``mix_block``, ``mix_release``, ``mix_deadline``, ``mix_slot`` and ``mix_place`` (place in the block).
 
+    ``weights`` maps sources to whole target weights, which are kept exactly;
+    sources that it lacks get ``others``, and weights below one count as one.
     In the order of slot and place, any source's blocks so far differ from its
-    target weight's by less than one block, as long as all sources last; when
-    one runs out its slots stay empty and the others go on. All rows stay.
+    target by less than one block, as long as all sources last; when one runs
+    out its slots stay empty and the others go on. All rows stay. There may be
+    any number of sources; the schedule has as many slots as the weights add
+    up to and is made in one task.
 
     A source's documents are ordered by the MD5 of their id (then id), which
     also deals them to buckets, so that no source is numbered in one task:
-    rows are numbered within a bucket and buckets by their counts. Null
-    sources count as the empty source, null ids as the empty id; repeated rows
-    are mixed each; input columns named as the new ones are
-    replaced. An empty table gives an empty one.
+    rows are numbered within a bucket and buckets by their counts. A bucket
+    that many null or equal ids share is dealt out further. Null sources count
+    as the empty source, null ids as the empty id; repeated rows are mixed
+    each; input columns named as the new ones are replaced. Texts, empty or
+    long, don't matter. An empty table gives an empty one.
     """
     new = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
     docs, own = renamed(docs, new)
-    name, id_col = F.coalesce(F.col(own[source_col]), F.lit("")).alias("name"), own[id_col]
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    targets = shares(docs, name, weights, frame)
-    if targets.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them first")
-    digits = min(8, max(1, math.ceil(math.log(max(docs.count() / BUCKET, 1), 16))))
-    schedule = frame_schedule(targets).withColumnRenamed("source", "name")
-    keyed = docs.select("*", name, digest.alias("hash"), F.substring(digest, 1, digits).alias("bucket"))
-    sizes = docs.select(name, F.substring(digest, 1, digits).alias("bucket")).groupBy("name", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("name", "bucket").orderBy("hash", id_col)
-    ranked = keyed.withColumn("row", F.row_number().over(within) - 1).join(firsts, ["name", "bucket"])
-    rank = F.col("first") + F.col("row")
-    ranked = ranked.withColumn("mix_block", F.floor(rank / block)).withColumn("mix_place", F.pmod(rank, F.lit(block)).cast("long"))
-    # at most frame + sources rows, both bounded
-    slots = F.broadcast(schedule.select("name", "slots").distinct())
-    ranked = ranked.join(slots, "name").withColumn("nth", F.pmod(F.col("mix_block"), F.col("slots")))
-    ranked = ranked.join(F.broadcast(schedule.drop("slots")), ["name", "nth"])
-    i, t, k = F.col("mix_block"), F.col("frame"), F.col("slots")
-    ranked = ranked.withColumn("mix_release", F.floor(i * t / k)).withColumn("mix_deadline", F.ceil((i + 1) * t / k))
-    ranked = ranked.withColumn("mix_slot", F.floor(i / k) * t + F.col("slot"))
+    name = F.coalesce(F.col(own[source_col]).cast("string"), F.lit(""))
+    schedule = written(frame_schedule(targets(docs, name, weights, others)), "schedule").withColumnRenamed("source", "name")
+    sources = schedule.groupBy("name").agg(F.first("w").alias("w"), F.first("frame").alias("frame"))
+    sent = F.broadcast if schedule.count() <= MOST_SENT else lambda df: df
+    ranked = _numbered(docs, name, own[id_col])
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("rank") / block)).withColumn("mix_place", F.pmod("rank", F.lit(block)).cast("long"))
+    ranked = ranked.join(sent(sources), "name").withColumn("nth", F.pmod(F.col("mix_block"), F.col("w")))
+    ranked = ranked.join(sent(schedule.select("name", "nth", "slot")), ["name", "nth"])
+    i, t, w = F.col("mix_block"), F.col("frame"), F.col("w")
+    ranked = ranked.withColumn("mix_release", F.expr("mix_block * frame div w")).withColumn("mix_deadline", F.expr("((mix_block + 1) * frame + w - 1) div w"))
+    ranked = ranked.withColumn("mix_slot", F.floor(i / w) * t + F.col("slot"))
     return ranked.select(*own.values(), *new).toDF(*own, *new)
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs)
+    return mix(docs, WEIGHTS, OTHERS)
 
 
 OP7_SQL = r"""
-WITH RECURSIVE sizes AS (
-  SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1
-), weighed AS (
-  SELECT source, greatest(1, CAST(floor(sqrt(n)) AS BIGINT)) AS w FROM sizes
-), shares AS (
-  SELECT source, greatest(1, 1000 * w // (SELECT CAST(sum(w) AS BIGINT) FROM weighed)) AS k FROM weighed
+WITH RECURSIVE weighed AS (
+  SELECT DISTINCT coalesce(source, '') AS source, CAST(CASE coalesce(source, '') WHEN 'src0' THEN 7 WHEN 'src1' THEN 5 WHEN 'src2' THEN 3 WHEN 'src3' THEN 3 ELSE 2 END AS BIGINT) AS w FROM documents
+), members AS (
+  SELECT source, w, row_number() OVER (PARTITION BY w ORDER BY source) - 1 AS j FROM weighed
+), groups AS (
+  SELECT w, count(*) AS m, CAST(w * count(*) AS BIGINT) AS v FROM weighed GROUP BY w
 ), one AS (
-  SELECT list(source ORDER BY source) AS s, list(k ORDER BY source) AS k, CAST(sum(k) AS BIGINT) AS t FROM shares
+  SELECT list(w ORDER BY w) AS w, list(m ORDER BY w) AS m, list(v ORDER BY w) AS v, CAST(sum(v) AS BIGINT) AS t FROM groups
 ), edf(tick, n, c) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(k, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM one
+  SELECT CAST(-1 AS BIGINT), list_transform(v, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM one
   UNION ALL
   SELECT tick + 1, list_transform(range(1, len(n) + 1), lambda i: n[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
     SELECT tick, n, CAST(list_sort(list_filter(list_transform(range(1, len(n) + 1),
-             lambda i: [CASE WHEN n[i] * t // k[i] <= tick + 1 THEN ((n[i] + 1) * t + k[i] - 1) // k[i] ELSE 9000000000000000000 END, i]), lambda x: x[1] < 9000000000000000000))[1][2] AS BIGINT) AS pick
+             lambda i: [CASE WHEN n[i] * t // v[i] <= tick + 1 THEN ((n[i] + 1) * t + v[i] - 1) // v[i] ELSE 9000000000000000000 END, i]), lambda x: x[1] < 9000000000000000000))[1][2] AS BIGINT) AS pick
     FROM edf, one WHERE tick + 1 < t)
+), served AS (
+  SELECT w[c] AS w, m[c] AS m, t AS frame, tick AS slot, row_number() OVER (PARTITION BY c ORDER BY tick) - 1 AS turn FROM edf, one WHERE tick >= 0
 ), schedule AS (
-  SELECT s[c] AS source, k[c] AS slots, t AS frame, tick AS slot, row_number() OVER (PARTITION BY c ORDER BY tick) - 1 AS nth FROM edf, one WHERE tick >= 0
+  SELECT source, served.w, frame, slot, turn // m AS nth FROM served JOIN members ON served.w = members.w AND turn % m = j
 ), ranked AS (
   SELECT doc_id, source, coalesce(source, '') AS key, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r FROM documents
 ), blocks AS (
   SELECT doc_id, source, key, CAST(r // 16 AS BIGINT) AS b, CAST(r % 16 AS BIGINT) AS p FROM ranked
 )
-SELECT doc_id, blocks.source, b AS mix_block, CAST(b * frame // slots AS BIGINT) AS mix_release, CAST(((b + 1) * frame + slots - 1) // slots AS BIGINT) AS mix_deadline,
-       CAST(b // slots * frame + slot AS BIGINT) AS mix_slot, p AS mix_place
-FROM blocks JOIN schedule ON schedule.source = blocks.key AND nth = b % slots
+SELECT doc_id, blocks.source, b AS mix_block, CAST(b * frame // w AS BIGINT) AS mix_release, CAST(((b + 1) * frame + w - 1) // w AS BIGINT) AS mix_deadline,
+       CAST(b // w * frame + slot AS BIGINT) AS mix_slot, p AS mix_place
+FROM blocks JOIN schedule ON schedule.source = blocks.key AND nth = b % w
 """

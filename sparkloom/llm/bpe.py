@@ -64,14 +64,16 @@ class Merges:
         In every round each sequence merges all places of its own lowest-rank
         pair, from the left; sequences in which no pair merges are done.
         """
-        lengths = np.array([len(x) for x in sequences], np.int64)
-        data = np.frombuffer(b"".join(sequences), np.uint8)
+        return self.merge_bytes(np.frombuffer(b"".join(sequences), np.uint8), np.array([len(x) for x in sequences], np.int64))
+
+    def merge_bytes(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, of sequences that follow each other in ``data``."""
         ends = np.cumsum(lengths)
         symbols, alive = self.of_byte[data], np.ones(len(data), bool)
         last = ends[lengths > 0] - 1
         symbols[last] = self.of_last[data[last]]
         at, now = np.arange(len(data)), symbols.copy()
-        owner = np.repeat(np.arange(len(sequences)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         rank = np.full(len(data), self.none, np.int64)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         rank[inner] = self.rank(now[inner], now[inner + 1])

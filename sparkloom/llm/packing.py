@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,73 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .bpe import Merges
+from .encoding import Encoder, ragged
 from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-#: Chunks whose ids a worker keeps at most; then those not met again go.
-CACHE_CHUNKS = 400_000
 #: Lengths, the most frequent ones, that triples are made of.
 TRIPLE_LENGTHS = 96
 #: Copies of one length that a combination repeats at most.
 COPIES = 8
 #: Documents, about, that are planned together where their order counts.
 CHUNK = 4096
-#: Letters below are composed already and lower-case one by one, but for U+0130.
-_LATIN_END = "\u0250"
 
 
 # -- token ids -------------------------------------------------------------
 
 
-class Encoder:
-    """Token ids of texts, from ids of chunks between white space that the library gave once.
-
-    The vocabulary's pre-tokens never span white space, so a text's ids are
-    its chunks' ids in a row.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.merges = Merges(path)
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        self.ids.update((c, np.array(x.ids, self.type).tobytes()) for c, x in zip(chunks, found, strict=True))
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Words of Latin letters alone are one pre-token each, lower-cased, whose pairs merge here."""
-        ids, count = self.merges.merge([x.lower().encode() for x in words])
-        raw, size = ids.astype(self.type).tobytes(), np.dtype(self.type).itemsize
-        at = (np.cumsum(count) * size).tolist()
-        self.ids.update(zip(words, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # str.split also splits at the four separators from 0x1C, which are no white space to the library
-        split = [re.split(r"[^\S\x1c-\x1f]+", x) if re.search(r"[\x1c-\x1f]", x) else x.split() for x in texts]
-        if len(self.ids) > CACHE_CHUNKS:
-            self.ids, self.older = {}, self.ids
-        missing = set().union(*split).difference(self.ids)
-        known = missing & self.older.keys()
-        self.ids.update((x, self.older[x]) for x in known)
-        missing -= known
-        parts = {x: w for x in missing if (w := x.rstrip(".,;:!?")) != x and w.isalpha()}
-        new = (missing - parts.keys() | set(parts.values()) | {x[len(w) :] for x, w in parts.items()}).difference(self.ids)
-        words = [x for x in new if x.isalpha() and max(x) < _LATIN_END and "\u0130" not in x]
-        self._learn_words(words)
-        self._learn(list(new.difference(words)))
-        for chunk, word in parts.items():
-            self.ids[chunk] = self.ids[word] + self.ids[chunk[len(word) :]]
-        return [b"".join(map(self.ids.__getitem__, x)) for x in split]
-
-
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -92,6 +39,16 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _ended(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end_id`` after each text's, and where each text's begin."""
+    bounds = np.r_[0, np.cumsum(count + 1)]
+    out = np.empty(int(bounds[-1]), "<u4")
+    inside = np.ones(len(out), bool)
+    inside[bounds[1:] - 1] = False
+    out[inside], out[~inside] = ids, end_id
+    return out, bounds
+
+
 # -- plan ------------------------------------------------------------------
 
 
@@ -206,20 +163,23 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, windo
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = _encoder(vocabulary), np.zeros(window, np.int64), TaskContext.get().partitionId()
+        small = encoder.merges.size <= 1 << 16
         for batch in batches:
-            _, offsets = spans.bytes_of(batch.column(1))
+            data, offsets = spans.bytes_of(batch.column(1))
             for i, j in spans.slices(offsets):
-                tokens, crcs, rests, ranks = [], [], [], []
-                for raw in encoder.encode([x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]):
-                    ids = np.append(np.frombuffer(raw, encoder.type), encoder.type(end_id))
-                    full = len(ids) // window * window
-                    tokens.append(len(ids))
-                    crcs.append([_crc(ids[k : k + window]) for k in range(0, full, window)])
-                    rests.append(ids[full:].astype(np.uint32 if encoder.type is np.uint32 else np.uint16).tobytes())
-                    ranks.append(seen[len(ids) - full])
-                    seen[len(ids) - full] += 1
-                tokens = np.array(tokens, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(tokens), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array(tokens % window), pa.array(np.full(j - i, part)), pa.array(ranks, pa.int64())], names=names)
+                ids, bounds = _ended(*encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
+                tokens = np.diff(bounds)
+                full, length = tokens // window, tokens % window
+                raw, crcs, ranks = memoryview(ids.tobytes()), [], []
+                for a, n, rest in zip(bounds[:-1].tolist(), full.tolist(), length.tolist(), strict=True):
+                    crcs.append([zlib.crc32(raw[4 * (a + k * window) : 4 * (a + (k + 1) * window)]) for k in range(n)])
+                    ranks.append(seen[rest])
+                    seen[rest] += 1
+                at = ragged(bounds[1:] - length, length)
+                rests = ids[at].astype(np.uint16) if small else ids[at]
+                edges = np.r_[0, np.cumsum(length)] * rests.itemsize
+                rests = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(rests)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(tokens), pa.array(crcs, pa.list_(pa.int64())), rests, pa.array(length), pa.array(np.full(j - i, part)), pa.array(ranks, pa.int64())], names=names)
 
     kinds = (docs.schema[id_col].dataType, T.LongType(), T.ArrayType(T.LongType()), T.BinaryType(), T.LongType(), T.LongType(), T.LongType())
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])

@@ -109,6 +109,21 @@ def test_url_parts_and_cascade(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages.where("page_id < 3"), listed.limit(0)).collect()} == {"allow"}
 
 
+def check_mix(found, weights, rows):
+    """Every block within its window, and no source ever a block away from its exact target while all last."""
+    assert len(found) == rows and len({(r.mix_slot, r.mix_place) for r in found}) == rows
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in found)
+    total, blocks = sum(weights.values()), {}
+    for r in found:
+        assert blocks.setdefault(r.mix_slot, r.source or "") == (r.source or "")
+    end = min(max(s for s, x in blocks.items() if x == name) for name in weights)
+    count = dict.fromkeys(weights, 0)
+    for at in range(end):
+        count[blocks[at]] += 1
+        assert all(abs(count[n] * total - (at + 1) * w) < total for n, w in weights.items()), at
+    return end / total
+
+
 def test_mixing_deviates_by_less_than_a_block(spark):
     sizes = {"big": 4000, "mid": 900, "small": 200, "": 30, None: 10}
     rows, k = [], 0
@@ -118,22 +133,29 @@ def test_mixing_deviates_by_less_than_a_block(spark):
             k += 1
     rows += [(None, "big", "x"), (5, "big", "x"), (5, "big", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
-    found = mixing.mix(docs, block=4, frame=100).collect()
-    assert len(found) == len(rows) and len({(r.mix_slot, r.mix_place) for r in found}) == len(rows)
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in found)
-    shares = {r.source: r.slots for r in mixing.shares(docs, mixing.F.coalesce("source", mixing.F.lit("")), None, 100).collect()}
-    frame, blocks = sum(shares.values()), {}
-    for r in found:
-        blocks[r.mix_slot] = r.source or ""
-    end = min(max(s for s, x in blocks.items() if x == name) for name in shares)
-    for name, slots in shares.items():
-        count = 0
-        for at in range(end):
-            count += blocks.get(at) == name
-            assert abs(count - (at + 1) * slots / frame) < 1
+    roots = {n: m**0.5 for n, m in {"big": 4003, "mid": 900, "small": 200, "": 40}.items()}
+    weights = {n: round(1000 * m / sum(roots.values())) for n, m in roots.items()}
+    check_mix(mixing.mix(docs, block=4).collect(), weights, len(rows))
     assert mixing.mix(docs.limit(0)).count() == 0
-    given = mixing.mix(docs, {"big": 3, "mid": 1}, block=4, frame=60).where("source = 'big'").agg({"mix_slot": "max"}).first()[0]
-    assert given > 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 3}, {"a": 10_000, "b": 1}, {"a": 5773, "b": 2000, "c": 1000}])
+def test_exact_weights_over_many_frames(spark, weights):
+    frames = 12 if sum(weights.values()) < 100 else 2
+    docs = spark.createDataFrame([(k, s) for s, w in weights.items() for k in range(w * frames)], "doc_id long, source string")
+    assert check_mix(mixing.mix(docs, weights, block=1).collect(), weights, docs.count()) > frames - 1.5
+
+
+def test_many_small_sources_beside_a_hot_one(spark):
+    weights = {"hot": 300} | {f"s{k}": 1 + k % 3 for k in range(200)}
+    docs = spark.createDataFrame([(k, s) for s, w in weights.items() for k in range(2 * w)], "doc_id long, source string")
+    check_mix(mixing.mix(docs, weights, block=1).collect(), weights, docs.count())
+
+
+def test_a_bucket_of_one_id_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 5)
+    docs = spark.createDataFrame([(None, "a")] * 300 + [(7, "a")] * 100 + [(k, "b") for k in range(100)], "doc_id long, source string").repartition(3)
+    check_mix(mixing.mix(docs, {"a": 2, "b": 1}, block=4).collect(), {"a": 2, "b": 1}, 500)
 
 
 @pytest.mark.parametrize("step", [512, 7])

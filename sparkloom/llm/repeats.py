@@ -232,7 +232,8 @@ def _payload(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _rows_of(payload: pa.Scalar) -> pa.Table:
+def rows_of(payload: pa.Scalar) -> pa.Table:
+    """The rows that a block's payload holds."""
     return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
 
@@ -301,19 +302,19 @@ def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                yield from told(_anchor_entries(units, *texts(_rows_of(payload)), block), block, False).to_batches()
+                yield from told(_anchor_entries(units, *texts(rows_of(payload)), block), block, False).to_batches()
 
     def emit_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         place, count = unpacked(right["places"], np.int32).astype(np.int64), unpacked(right["counts"], np.int32)
         place = np.repeat(place, count) + kinds * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        parts = [told(_window_entries(units, *texts(_rows_of(payload)), block, place), block, keep_first) for block, payload in zip(left["block"].to_pylist(), left["payload"], strict=True)]
+        parts = [told(_window_entries(units, *texts(rows_of(payload)), block, place), block, keep_first) for block, payload in zip(left["block"].to_pylist(), left["payload"], strict=True)]
         return pa.concat_tables(parts) if parts else pa.Table.from_batches([], pa.schema([(x, pa.int64() if x in ("bucket", "block") else pa.binary()) for x in _ENTRY_NAMES]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         found = (unpacked(right["places"], np.int32).astype(np.int64), unpacked(right["counts"], np.int32).astype(np.int64), unpacked(right["other_blocks"], np.int64), unpacked(right["others"], np.int32).astype(np.int64))
         parts = []
         for payload in left["payload"]:
-            rows = _rows_of(payload)
+            rows = rows_of(payload)
             data, offsets = spans.bytes_of(rows[text_col])
             begin, end, text = units.split(data, offsets)
             _, gone = coverage(units, *found, len(text))

@@ -6,21 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
 from .blobs import packed, unpacked
 from .components import Forest, star_components
-from .shared import renamed, written
+from .shared import written
 
 WORDS, MOST_BITS, SEED = 4, 4, 42
 #: Fingerprints, taken by hash, that the upper tree is built from at most.
 SAMPLE = 8192
-#: Fingerprints that a shard is to own, about, and levels of the upper tree at most.
-SHARD, LEVELS = 4096, 10
+#: Fingerprints that a shard is to own, about, and levels of the upper tree at most; what is more is dealt to parts.
+SHARD, LEVELS = 4096, 11
+#: A shard's members, and members with visitors, that one group holds, about.
+MEMBERS, ENTRIES = 16_384, 262_144
 #: Distances computed at once.
 TILE = 1 << 18
 
@@ -51,41 +52,45 @@ def shingle_spans(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
     return joined, at[start], to[last], shingles
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int, lanes: int) -> np.ndarray:
-    """Per text ``lanes`` 64-bit words: a bit is set if it is in over half the shingles' hashes.
+_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
-    The first lane's hash is XXH64 with seed 42 of the shingle; later lanes
-    mix it again.
-    """
-    joined, begin, end, shingles = shingle_spans(data, offsets, words)
-    out = np.zeros((len(shingles), lanes), np.uint64)
-    if not len(begin):
+
+def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per text, which owns the next ``count`` hashes, the 64 bits that are set in over half of them."""
+    texts, out = len(count), np.zeros(len(count), np.uint64)
+    some = np.flatnonzero(count)
+    if not len(some):
         return out
-    raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
-    some = np.flatnonzero(shingles)
-    bounds = (np.cumsum(shingles) - shingles)[some]
-    for lane in range(lanes):
+    if len(hashes) < 64 * texts:  # short texts: bits are added one by one
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
-        out[some, lane] = np.packbits(2 * sums > shingles[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        hashes = spans.mix(hashes + np.uint64(lane + 1))
+        sums = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int32)
+    else:  # long ones: by how often each byte has each value
+        owner = np.repeat(np.arange(len(some)) * 256, count[some])
+        seen = [np.bincount(owner + byte, minlength=len(some) * 256).reshape(-1, 256) @ _BITS_OF_BYTE for byte in hashes.view(np.uint8).reshape(-1, 8).T]
+        sums = np.concatenate(seen, axis=1)
+    out[some] = np.packbits(2 * sums > count[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` its id, ``key`` (a hash of id and text) and the fingerprint's ``lanes`` as longs f0, f1, ..."""
-    names = [id_col, "key", *(f"f{k}" for k in range(lanes))]
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """Per text 64 bits: a bit is set if it is in over half its shingles' XXH64 with seed 42."""
+    joined, begin, end, shingles = shingle_spans(data, offsets, words)
+    return majority_bits(spans.xxh64(joined, begin, end, SEED), shingles)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs`` its id and the fingerprint as a long, f0."""
+    names = [id_col, "f0"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = spans.bytes_of(batch.column(2))
+            data, offsets = spans.bytes_of(batch.column(1))
             for i, j in spans.slices(offsets):
-                found = fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, lanes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T)], names=names)
+                found = fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found.view(np.int64))], names=names)
 
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in names[1:])])
-    return docs.select(id_col, F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key"), text_col).mapInArrow(emit, schema)
+    schema = T.StructType([docs.schema[id_col], T.StructField("f0", T.LongType())])
+    return docs.select(id_col, text_col).mapInArrow(emit, schema)
 
 
 # -- vantage-point trees ---------------------------------------------------
@@ -172,69 +177,81 @@ def link(forest: Forest, prints: np.ndarray, queries: np.ndarray, members: np.nd
         forest.union(some[a], members[b])
 
 
-def _edges(classes: DataFrame, lanes: int, most: int) -> DataFrame:
-    """A spanning forest's edges (a, b: node numbers) of the graph of near fingerprints; ``classes`` has node and lanes."""
-    columns = [f"f{k}" for k in range(lanes)]
-    as_array = lambda rows: np.array([[*x] for x in rows], np.int64).reshape(-1, lanes).view(np.uint64)
-    sample = as_array(classes.select(*columns).orderBy(F.xxhash64(F.lit(1), *columns), *columns).limit(SAMPLE).collect())
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(classes.count(), 1) / SHARD)))))
-    heap = build_tree(sample, levels)
+def _parts(sample: np.ndarray, heap: list, n: int, most: int) -> np.ndarray:
+    """Into how many parts each shard's members and visitors are dealt, from where the sample's fingerprints go."""
+    shards = len(heap) + 1
+    _, shard, own = shards_of(sample, heap, most)
+    scale = n / max(len(sample), 1)
+    members, entries = np.bincount(shard[own], minlength=shards) * scale, np.bincount(shard, minlength=shards) * scale
+    return np.maximum(1, np.ceil(np.stack([members / MEMBERS, entries / ENTRIES], axis=1))).astype(np.int64)
+
+
+def _edges(classes: DataFrame, most: int) -> DataFrame:
+    """A spanning forest's edges (a, b: fingerprints) of the graph of near fingerprints; ``classes`` has the column f0."""
+    n = classes.count()
+    rows = classes.select("f0").orderBy(F.xxhash64(F.lit(1), "f0"), "f0").limit(SAMPLE).collect()
+    sample = np.array([x[0] for x in rows], np.int64).view(np.uint64)[:, None]
+    heap = build_tree(sample, min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD))))))
+    parts = _parts(sample, heap, n, most)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(lanes)], axis=1)
-            row, shard, own = shards_of(prints.view(np.uint64), heap, most)
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = packed(shard, nodes=nodes[row], prints=prints[row], own=own)
-            yield pa.RecordBatch.from_arrays(list(rows.values()), names=["shard", "nodes", "prints", "own"])
+            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            row, shard, own = shards_of(prints[:, None], heap, most)
+            salt = spans.mix(prints)[row]
+            i, j = (parts[shard, k] for k in (0, 1))
+            mine_i, mine_j = (salt % i.astype(np.uint64)).astype(np.int64), ((salt >> np.uint64(32)) % j.astype(np.uint64)).astype(np.int64)
+            asks, holds = np.arange(len(row)), np.flatnonzero(own)
+            asked = np.repeat(asks, i[asks])  # a fingerprint asks every part of the members in its part of the entries
+            held = np.repeat(holds, j[holds])
+            group = np.r_[
+                shard[asked] << 40 | (np.arange(len(asked)) - np.repeat(np.cumsum(i[asks]) - i[asks], i[asks])) << 20 | mine_j[asked],
+                shard[held] << 40 | mine_i[held] << 20 | (np.arange(len(held)) - np.repeat(np.cumsum(j[holds]) - j[holds], j[holds])),
+            ]
+            member = np.r_[np.zeros(len(asked), bool), np.ones(len(held), bool)]
+            rows = packed(group, prints=prints[row[np.r_[asked, held]]], member=member)
+            yield pa.RecordBatch.from_arrays(list(rows.values()), names=["group", "prints", "member"])
 
     def search(table: pa.Table) -> pa.Table:
-        nodes, own = unpacked(table["nodes"], np.int64), unpacked(table["own"], np.bool_)
-        prints = unpacked(table["prints"], np.uint64).reshape(-1, lanes)
-        members, forest = np.flatnonzero(own), Forest(len(nodes))
-        link(forest, prints, np.arange(len(nodes)), members, most)
+        prints, member = unpacked(table["prints"], np.uint64), unpacked(table["member"], np.bool_)
+        nodes, number = np.unique(prints, return_inverse=True)
+        forest = Forest(len(nodes))
+        link(forest, nodes[:, None], np.unique(number[~member]), np.unique(number[member]), most)
         a, b = forest.edges()
-        return pa.table({"a": nodes[a], "b": nodes[b]})
+        return pa.table({"a": nodes[a].view(np.int64), "b": nodes[b].view(np.int64)})
 
-    routed = classes.select("node", *columns).mapInArrow(route, "shard long, nodes binary, prints binary, own binary")
-    return routed.groupBy("shard").applyInArrow(search, "a long, b long")
+    routed = classes.select("f0").mapInArrow(route, "group long, prints binary, member binary")
+    return routed.groupBy("group").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` its id, ``key``, fingerprint lanes and ``component_id``, the smallest id reachable over near fingerprints.
+def near_duplicates(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs`` its id, the fingerprint ``f0`` and ``component_id``, the smallest id reachable over near fingerprints.
 
     Equal fingerprints are one class, however many documents share it. A tree
     of vantage points, built from a bounded sample, deals the classes to
     shards by Hamming distance; a class also visits the shards that its ball
     overlaps, and inside a shard a tree over its members prunes by the
     triangle inequality, so that every pair of classes within ``most_bits`` is
-    met. Shards return spanning forests, never all pairs of a group.
+    met. A shard's members and its visitors are dealt to parts, and a group
+    holds one part of either, whatever the number of documents. Groups return
+    spanning forests, never all pairs.
 
     A-Z are lower-cased, words are runs of bytes other than white space, and a
     text with fewer than ``words`` words is one shingle. Null and empty texts
     have fingerprint zero and are linked like any other. Rows with a null id
-    link others but name no component unless all of it is null. An empty table
-    gives an empty one.
+    link others but name no component unless all of it is null; rows that
+    repeat an id are classified each. Other columns, whatever their names, are
+    left out. A text is held whole in one task, at about 100 bytes for each of
+    its bytes. An empty table gives an empty one.
     """
-    lanes_of = [f"f{k}" for k in range(lanes)]
-    prints = written(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*lanes_of)
-    classes = written(prints.groupBy(*lanes_of).agg(F.min(id_col).alias("least")).withColumn("node", node), "classes")
-    found = star_components(_edges(classes, lanes, most_bits))
-    named = written(classes.join(found, "node", "left").select(*lanes_of, "least", F.coalesce("component", "node").alias("component")), "named")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = written(fingerprints(plain, words, "id", "text"), "fingerprints")
+    classes = written(prints.groupBy("f0").agg(F.min("id").alias("least")), "classes")
+    found = star_components(_edges(classes, most_bits)).withColumnRenamed("node", "f0")
+    named = written(classes.join(found, "f0", "left").select("f0", "least", F.coalesce("component", "f0").alias("component")), "named")
     roots = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "roots")  # a plain table, so that the join can split a large component
-    return prints.join(named.join(roots, "component").select(*lanes_of, "component_id"), lanes_of)
-
-
-def one_of_each(docs: DataFrame, words: int, most_bits: int, lanes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest id (then hash); all its columns."""
-    docs, own = renamed(docs)
-    id_col, text_col = own[id_col], own[text_col]
-    found = near_duplicates(docs, words, most_bits, lanes, id_col, text_col)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "key")).alias("k")).select(F.col("k.key").alias("key")).distinct()
-    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("string"), text_col)).join(kept, "key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))  # a key has the rows that are equal in id and text
-    return keyed.withColumn("first", first).where("first = 1").select(list(own.values())).toDF(*own)
+    joined = prints.join(named.join(roots, "component").select("f0", "component_id"), "f0")
+    return joined.select(F.col("id").alias(id_col), "f0", "component_id")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _fold(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+def fold(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
     """A hash of two hashes in order; for either of them given, a bijection of the other."""
     out = a * _FOLD[lane]
     out += b
@@ -98,15 +98,15 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int =
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = _fold(size.astype(np.uint64) + np.uint64(1), words[begin] & _MASK[np.minimum(size, 8)], lane)
+    out = fold(size.astype(np.uint64) + np.uint64(1), words[begin] & _MASK[np.minimum(size, 8)], lane)
     at, more = 8, np.flatnonzero(size > 8)
     while len(more) and at < _TOGETHER:
-        out[more] = _fold(out[more], words[begin[more] + at] & _MASK[np.minimum(size[more] - at, 8)], lane)
+        out[more] = fold(out[more], words[begin[more] + at] & _MASK[np.minimum(size[more] - at, 8)], lane)
         at += 8
         more = more[size[more] > at]
     for k in more.tolist():
         rest = hashlib.blake2b(np.ascontiguousarray(data[begin[k] + at : end[k]]), digest_size=8, salt=bytes([lane])).digest()
-        out[k : k + 1] = _fold(out[k : k + 1], np.frombuffer(rest, "<u8"), lane)
+        out[k : k + 1] = fold(out[k : k + 1], np.frombuffer(rest, "<u8"), lane)
     return mix(out)
 
 
@@ -118,14 +118,62 @@ def hash_windows(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     out, at, level, span = np.full(n, width, np.uint64), 0, values, 1
     while at < width:
         if width & span:
-            out = _fold(out, level[at : at + n], lane)
+            out = fold(out, level[at : at + n], lane)
             at += span
         if at < width:
-            level = _fold(level[:-span], level[span:], lane)
+            level = fold(level[:-span], level[span:], lane)
             span *= 2
     return out
 
 
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _left(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span of bytes, all spans at once, step by step of the hash's published definition."""
+    size, seed = end - begin, np.uint64(seed)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    halves = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
+    round_ = lambda acc, word: _left(acc + word * _P[1], 31) * _P[0]
+    out, at = np.full(len(begin), seed + _P[4]), begin.copy()
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        acc = [np.full(len(long), x) for x in (seed + _P[0] + _P[1], seed + _P[1], seed, seed - _P[0])]
+        some = np.arange(len(long))
+        while len(some):
+            for k in range(4):
+                acc[k][some] = round_(acc[k][some], words[at[long[some]] + 8 * k])
+            at[long[some]] += 32
+            some = some[at[long[some]] + 32 <= end[long[some]]]
+        h = _left(acc[0], 1) + _left(acc[1], 7) + _left(acc[2], 12) + _left(acc[3], 18)
+        for k in range(4):
+            h = (h ^ round_(np.zeros(len(long), np.uint64), acc[k])) * _P[0] + _P[3]
+        out[long] = h
+    out += size.astype(np.uint64)
+    some = np.flatnonzero(at + 8 <= end)
+    while len(some):
+        out[some] = _left(out[some] ^ round_(np.zeros(len(some), np.uint64), words[at[some]]), 27) * _P[0] + _P[3]
+        at[some] += 8
+        some = some[at[some] + 8 <= end[some]]
+    some = np.flatnonzero(at + 4 <= end)
+    out[some] = _left(out[some] ^ (halves[at[some]].astype(np.uint64) * _P[0]), 23) * _P[1] + _P[2]
+    at[some] += 4
+    some = np.flatnonzero(at < end)
+    while len(some):
+        out[some] = _left(out[some] ^ (padded[at[some]].astype(np.uint64) * _P[4]), 11) * _P[0]
+        at[some] += 1
+        some = some[at[some] < end[some]]
+    out = (out ^ (out >> np.uint64(33))) * _P[1]
+    out = (out ^ (out >> np.uint64(29))) * _P[2]
+    return out ^ (out >> np.uint64(32))
+
+
 def leftmost_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The least of every ``width`` consecutive values and its leftmost place."""
     n = len(values) - width + 1

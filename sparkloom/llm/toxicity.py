@@ -12,34 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from .blobs import packed, unpacked
+from .blobs import unpacked
 from .shared import renamed, written
 
 #: All ASCII that is neither letter nor digit stands between words.
 SEPARATORS = tuple(b for b in range(128) if not chr(b).isalnum())
-#: A feature is a word, the first bytes of a longer word, or two words at one of these distances.
-PREFIX, GAPS = 4, (1, 2)
-#: Labelled rows to learn from, about, chosen by a hash of their id; the classifier's one bounded sample.
-MOST_ROWS = 16_000
-#: Rows of that sample that a feature is in at least, and share of its rows at most: commoner ones tell as little as the bias.
-LEAST_ROWS, MOST_SHARE = 8, 0.5
-SHARDS, EPOCHS = 4, 6
-_BUCKETS = 64
+#: A feature is a word or two words at one of these distances: n-grams of one and two words, and skip-grams.
+GAPS = (1, 2)
+#: Features are hashed to this many coordinates.
+BUCKETS = 1 << 22
+#: Labelled rows, and bytes of their texts, to learn from, about, chosen by a hash of their id: the classifier's one bounded sample.
+MOST_ROWS, MOST_BYTES = 16_000, 256 << 20
+#: Passes over the sample.
+EPOCHS = 6
 
 
 @dataclass(frozen=True)
 class Rates:
     """FTRL-proximal's parameters: step size alpha / (beta + sqrt(n)), and both penalties."""
 
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 10.0
     l2: float = 0.1
 
 
 @dataclass(frozen=True)
 class Model:
-    """Features (sorted hashes) of non-zero weight, their weights, and the bias."""
+    """Coordinates of non-zero weight, their weights, and the bias."""
 
     features: np.ndarray
     weights: np.ndarray
@@ -47,97 +47,47 @@ class Model:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, hash) of all occurrences, kind by kind."""
+    """(text number, coordinate) of all occurrences, kind by kind."""
     begin, end, text = spans.split(data, offsets, SEPARATORS)
     words = spans.hash_spans(data, begin, end)
-    yield text, words
-    longer = end - begin > PREFIX
-    yield text[longer], spans.mix(spans.hash_spans(data, begin[longer], begin[longer] + PREFIX) + np.uint64(1))
+    yield text, (words % np.uint64(BUCKETS)).astype(np.int64)
     for gap in GAPS:
         if len(words) > gap:
             near = text[:-gap] == text[gap:]
-            pair = spans.mix(words[:-gap][near] * np.uint64(2 * gap + 1) + spans.mix(words[gap:][near] + np.uint64(gap)))
-            yield text[:-gap][near], pair
+            pair = spans.mix(spans.fold(words[:-gap][near], words[gap:][near], 0) + np.uint64(gap))
+            yield text[:-gap][near], (pair % np.uint64(BUCKETS)).astype(np.int64)
 
 
-class _Lookup:
-    """Places of hashes in a sorted array; a table of low bits turns most others away."""
-
-    def __init__(self, known: np.ndarray) -> None:
-        self.known, self.mask = known, np.uint64((1 << 20) - 1)
-        self.low = np.zeros(1 << 20, bool)
-        self.low[known & self.mask] = True
-
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct pairs (text number, place) of the texts' known features."""
-        n = max(len(self.known), 1)
-        codes = []
-        for text, hashes in _features(data, offsets):
-            some = np.flatnonzero(self.low[hashes & self.mask])
-            at = np.minimum(np.searchsorted(self.known, hashes[some]), n - 1)
-            ok = self.known[at] == hashes[some] if len(self.known) else np.zeros(0, bool)
-            codes.append(text[some][ok] * n + at[ok])
-        codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        return codes // n, codes % n
-
-
-def _vocabulary(rows: DataFrame) -> np.ndarray:
-    """Hashes of the features that are neither too rare nor too common in the bounded sample's rows."""
-    most = MOST_SHARE * rows.count()
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = spans.bytes_of(batch.column(0))
-            for i, j in spans.slices(offsets):
-                found = list(_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                text, hashes = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                order = np.lexsort((text, hashes))
-                text, hashes = text[order], hashes[order]
-                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])] if len(text) else np.zeros(0, bool)
-                values, count = np.unique(hashes[new], return_counts=True)
-                out = packed((values % np.uint64(_BUCKETS)).astype(np.int64), values=values, counts=count.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=["bucket", "values", "counts"])
-
-    def keep(table: pa.Table) -> pa.Table:
-        values, at = np.unique(unpacked(table["values"], np.uint64), return_inverse=True)
-        count = np.bincount(at, unpacked(table["counts"], np.int32), minlength=len(values))
-        return pa.table({"values": pa.array([values[(count >= LEAST_ROWS) & (count <= most)].tobytes()], pa.binary())})
-
-    found = rows.select("text").mapInArrow(emit, "bucket long, values binary, counts binary").groupBy("bucket").applyInArrow(keep, "values binary")
-    parts = [np.frombuffer(x[0], np.uint64) for x in found.collect()]  # bounded by MOST_ROWS and LEAST_ROWS
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs (text number, coordinate) of the texts' features, or of those marked in ``wanted``."""
+    codes = []
+    for text, at in _features(data, offsets):
+        if wanted is not None:
+            some = wanted[at]
+            text, at = text[some], at[some]
+        codes.append(text * BUCKETS + at)
+    codes = np.unique(np.concatenate(codes))
+    return np.divmod(codes, BUCKETS)
 
 
 def _weights(z: np.ndarray, n: np.ndarray, rates: Rates, l1: float) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((rates.beta + np.sqrt(n)) / rates.alpha + rates.l2))
 
 
-def _learn(rows: list[tuple[int, np.ndarray]], z: np.ndarray, n: np.ndarray, rates: Rates) -> None:
-    """One pass of FTRL-proximal over (label, features); the last coordinate is the bias, without L1."""
-    for label, at in rows:
-        w = _weights(z[at], n[at], rates, rates.l1)
-        bias = _weights(z[-1:], n[-1:], rates, 0.0)[0]
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - label
-        step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / rates.alpha
-        z[at] += g - step * w
-        z[-1] += g - (np.sqrt(n[-1] + g * g) - np.sqrt(n[-1])) / rates.alpha * bias
-        n[at] += g * g
-        n[-1] += g * g
-
-
-def _round(state, rates: Rates):
-    """A shard's pass from the shared state; returns the coordinates that it moved and by how much."""
-
-    def go_on(table: pa.Table) -> pa.Table:
-        z, n = (x.astype(np.float64) for x in state.value)
-        before = z.copy(), n.copy()
-        table = table.sort_by([("order", "ascending"), ("label", "ascending")])
-        _learn([(y, np.frombuffer(x, np.int32)) for y, x in zip(table["label"].to_pylist(), table["features"].to_pylist(), strict=True)], z, n, rates)
-        moved = np.flatnonzero(n != before[1]).astype(np.int32)
-        change = (moved, (z - before[0])[moved].astype(np.float32), (n - before[1])[moved].astype(np.float32))
-        return pa.table({k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("at", "z", "n"), change, strict=True)})
-
-    return go_on
+def learn(rows: list[tuple[int, np.ndarray]], rates: Rates, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias after FTRL-proximal's passes over (label, coordinates) in order; the bias has no L1."""
+    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for _ in range(epochs):
+        for label, at in rows:
+            w = _weights(z[at], n[at], rates, rates.l1)
+            bias = _weights(z[-1:], n[-1:], rates, 0.0)[0]
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - label
+            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / rates.alpha
+            z[at] += g - step * w
+            z[-1] += g - (np.sqrt(n[-1] + g * g) - np.sqrt(n[-1])) / rates.alpha * bias
+            n[at] += g * g
+            n[-1] += g * g
+    return _weights(z[:-1], n[:-1], rates, rates.l1), float(_weights(z[-1:], n[-1:], rates, 0.0)[0])
 
 
 def held_out(id_col: Column) -> Column:
@@ -145,58 +95,58 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
-    """A model of ``labels``, learned from about ``most_rows`` labelled rows that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
+    """A model of ``labels``, learned from about ``most_rows`` labelled rows, and ``most_bytes`` of text, that aren't held out.
+
+    Features are words, pairs of neighbours and skip-grams, hashed to
+    ``BUCKETS`` coordinates; none is dropped, L1 alone decides which get a
+    weight. They are extracted where the texts are. The sample's coordinates
+    then go, in the order of a hash of the id, through FTRL-proximal with its
+    rates per coordinate, which is a sequence by nature and runs in one task;
+    what it holds is bounded by the sample, and only the weights that aren't
+    zero come back.
 
-    The sample is dealt to shards by a hash of the id. In each of a few rounds
-    every shard goes on from the shared state with FTRL-proximal; then the
-    shards' changes are added, those of a coordinate that m shards moved
-    divided by the root of m. Only state of the size of the vocabulary, which
-    the sample bounds, passes through the driver.
+    Labels that are null or whose id is null don't count; of an id with several
+    labels the largest does; a document that occurs twice is learned twice.
+    Without labels the model is empty and every score 0.5.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    share = min(1.0, most_rows / max(known.count(), 1))
-    order = F.xxhash64("__id", F.lit(1))
-    sample = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(SHARDS)))
     texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("text"))
-    rows = written(texts.join(F.broadcast(sample), "__id").select("shard", "order", "label", "text"), "labelled")  # the sample has a bounded number of rows
-    vocabulary = _vocabulary(rows)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    mean = docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 1.0
+    share = min(1.0, min(most_rows, most_bytes / mean) / max(known.count(), 1))
+    order = F.xxhash64("__id", F.lit(1))
+    sample = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("order", order)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(shared.value)
         for batch in batches:
-            data, offsets = spans.bytes_of(batch.column(3))
+            data, offsets = spans.bytes_of(batch.column(2))
             for i, j in spans.slices(offsets):
-                text, at = lookup.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                text, at = present(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bounds = np.searchsorted(text, np.arange(j - i + 1))
                 held = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(held, pa.binary())], names=["shard", "order", "label", "features"])
-
-    examples = written(rows.mapInArrow(extract, "shard long, order long, label int, features binary"), "examples")
-    size = len(vocabulary) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(EPOCHS):
-        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-        dz, dn, m = np.zeros(size), np.zeros(size), np.zeros(size)
-        for at, a, b in sorted(map(tuple, examples.groupBy("shard").applyInArrow(_round(state, rates), "at binary, z binary, n binary").collect())):
-            at = np.frombuffer(at, np.int32)
-            dz[at] += np.frombuffer(a, np.float32)
-            dn[at] += np.frombuffer(b, np.float32)
-            m[at] += 1
-        z, n = z + dz / np.sqrt(np.maximum(m, 1)), n + dn
-    weights = _weights(z[:-1], n[:-1], rates, rates.l1)
-    some = np.flatnonzero(weights)
-    return Model(vocabulary[some], weights[some], float(_weights(z[-1:], n[-1:], rates, 0.0)[0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(held, pa.binary()), pa.array(np.zeros(j - i, np.int64))], names=["order", "label", "features", "model"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("label", "ascending"), ("features", "ascending")])
+        rows = [(y, np.frombuffer(x.as_buffer(), np.int32)) for y, x in zip(table["label"].to_pylist(), table["features"], strict=True)]
+        weights, bias = learn(rows, rates)
+        some = np.flatnonzero(weights)
+        return pa.table({"features": pa.array([some.tobytes()], pa.binary()), "weights": pa.array([weights[some].tobytes()], pa.binary()), "bias": [bias]})
+
+    rows = texts.join(F.broadcast(sample), "__id").select("order", "label", "text")  # the sample's rows are bounded
+    examples = written(rows.mapInArrow(extract, "order long, label int, features binary, model long"), "examples")
+    found = examples.groupBy("model").applyInArrow(fit, "features binary, weights binary, bias double").toArrow()
+    return Model(unpacked(found["features"], np.int64), unpacked(found["weights"], np.float64), sum(found["bias"].to_pylist()))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), replacing columns of these names.
 
     Whole texts are scored by the presence of features; null and empty texts
-    get the bias alone. All rows stay, repeated or not.
+    get the bias alone. All rows stay, repeated or not, and so do all other
+    columns. A very long text is held whole in one task, at about 150 bytes
+    for each of its bytes. An empty table gives an empty one.
     """
     docs, own = renamed(docs, ("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -204,13 +154,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        lookup = _Lookup(model.features)
+        wanted, weights = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.float64)
+        wanted[model.features], weights[model.features] = True, model.weights
         for batch in batches:
             data, offsets = spans.bytes_of(batch.column(len(names)))
             sums = []
             for i, j in spans.slices(offsets):
-                text, at = lookup.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums.append(np.bincount(text, model.weights[at], minlength=j - i) if len(at) else np.zeros(j - i))
+                text, at = present(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], wanted)
+                sums.append(np.bincount(text, weights[at], minlength=j - i) if len(at) else np.zeros(j - i))
             total = np.concatenate(sums) + model.bias if sums else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*names, "score"])
 

@@ -3,6 +3,9 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 
 from sparkloom.llm import components, embedding_dedup, line_dedup, repeats, simhash, spans, substring_dedup
 from tests.llm import brute
@@ -80,7 +83,6 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeated_passages(none).count() == 0
     assert line_dedup.remove_repeated_lines(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.one_of_each(none, 5, 44, 4).count() == 0
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -126,6 +128,39 @@ def test_fingerprints_and_components_equal_brute_force(spark):
         assert r.f0 % (1 << 64) == prints[r.doc_id] and r.component_id == groups[r.doc_id]
 
 
+@pytest.mark.parametrize(("shard", "members", "entries"), [(20, 8, 30), (1000, 7, 7), (16, 10_000, 10_000)])
+def test_parts_of_shards_lose_no_link(spark, monkeypatch, shard, members, entries):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "ENTRIES", entries)
+    r = random.Random(6)
+    prints = [r.getrandbits(64) for _ in range(60)]
+    for _ in range(340):
+        prints.append(r.choice(prints) ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
+    prints = sorted({x - (1 << 64) if x >> 63 else x for x in prints})
+    classes = spark.createDataFrame([(x,) for x in prints], "f0 long").repartition(3)
+    groups = brute.components(range(len(prints)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 if prints[a] ^ prints[b] >= 0 else ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 4)
+    forest = components.Forest(len(prints))
+    number = {x: k for k, x in enumerate(prints)}
+    edges = [(number[x.a], number[x.b]) for x in simhash._edges(classes, 4).collect()]
+    forest.union(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+    assert forest.roots(np.arange(len(prints))).tolist() == [groups[k] for k in range(len(prints))]
+
+
+@given(st.lists(st.binary(max_size=150), max_size=12))
+def test_xxh64_equals_the_library(held):
+    data = np.frombuffer(b"".join(held), np.uint8)
+    end = np.cumsum([0, *map(len, held)])
+    assert spans.xxh64(data, end[:-1], end[1:], 42).tolist() == [xxhash.xxh64_intdigest(x, 42) for x in held]
+
+
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), max_size=9), max_size=9), st.booleans())
+def test_majority_bits(held, long):
+    held = [x * (1 + 70 * long) for x in held]
+    found = simhash.majority_bits(np.array([h for x in held for h in x], np.uint64), np.array([len(x) for x in held], np.int64))
+    assert found.tolist() == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x)) for x in held]
+
+
 @pytest.mark.parametrize(("lanes", "most", "levels"), [(1, 4, 5), (1, 12, 3), (2, 10, 4)])
 def test_vantage_point_shards_lose_no_pair(lanes, most, levels):
     r = np.random.default_rng(1)
@@ -150,13 +185,6 @@ def test_vantage_point_shards_lose_no_pair(lanes, most, levels):
     assert (forest.roots(np.arange(len(prints))) == full.roots(np.arange(len(prints)))).all()
 
 
-def test_one_of_each_keeps_one_row(spark):
-    text = " ".join(f"word{i}" for i in range(120))
-    rows = spark.createDataFrame([(3, text), (2, text), (2, text), (9, text + " tail"), (4, "quite another text of its own"), (None, None), (8, "")], "doc_id long, text string")
-    kept = simhash.one_of_each(rows, 5, 44, 4).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == [2, 4, 8]
-
-
 def test_star_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 80)] + [(500, 501), (501, 500), (7, 7)]
     found = {r.node: r.component for r in components.star_components(spark.createDataFrame(edges, "a long, b long")).collect()}

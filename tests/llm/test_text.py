@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sparkloom.llm import inner_products, mixing, packing, token_counts, toxicity, url_filter
+from sparkloom.llm import inner_products, mixing, packing, spans, token_counts, toxicity, url_filter
 
 ODD = [chr(x) for x in range(256)] + list(" \t\n\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200b\ufeffΣσß漢😀\u0301'") * 4 + ["<|endoftext|>", "<|startoftext|>", "'s", "  ", "aaaaaaaa", "word.", "İ"]
 
@@ -86,12 +87,65 @@ def test_toxicity_learns_and_holds_out(spark):
     out = [r for r in found if r.held and r.doc_id in truth]
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
     assert len(found) == len(docs) and len(out) > 100 and np.mean([r.predicted == truth[r.doc_id] for r in out]) > 0.97
-    assert len(model.features) < 2000
+    assert 0 < len(model.features) < 2000
     nothing = toxicity.train(rows, known.limit(0))
     assert {r.score for r in toxicity.score(rows, nothing).collect()} == {0.5}
     assert toxicity.score(rows.limit(0), model).count() == 0
 
 
+def plain_features(text):
+    """Coordinates of a text, word by word."""
+    low = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower())
+    of = lambda w: spans.hash_spans(x := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(x)]))
+    words = [of(w) for w in low.split(" ") if w]
+    at = [int(w[0]) for w in words]
+    for gap in (1, 2):
+        at += [int(spans.mix(spans.fold(a, b, 0) + np.uint64(gap))[0]) for a, b in zip(words, words[gap:], strict=False)]
+    return {x % toxicity.BUCKETS for x in at}
+
+
+def plain_ftrl(rows, rates, epochs):
+    """FTRL-proximal coordinate by coordinate, as published."""
+    z, n = {}, {}
+
+    def weight(i, l1):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((rates.beta + math.sqrt(n.get(i, 0.0))) / rates.alpha + rates.l2)
+
+    for _ in range(epochs):
+        for y, at in rows:
+            w = {i: weight(i, rates.l1) for i in at} | {None: weight(None, 0.0)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, x in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / rates.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * x
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i, rates.l1) for i in z if i is not None}, weight(None, 0.0)
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    r = random.Random(3)
+    texts = {i: None if i == 0 else " ".join(r.choice(["Ok", "fine", "vile", "hut", "été", "x-y"]) for _ in range(r.randint(0, 9))) for i in range(120)}
+    labels = {i: int("vile" in (t or "")) for i, t in texts.items()}
+    rows = spark.createDataFrame([(i, t, "a", 7.5) for i, t in texts.items()], "doc_id long, text string, predicted string, weights double").repartition(3)
+    rates = toxicity.Rates(alpha=1.0, l1=0.5)
+    model = toxicity.train(rows, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), rates)
+    order = {x.doc_id: x.o for x in rows.selectExpr("doc_id", "xxhash64(doc_id, 1) AS o").collect()}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    weights, bias = plain_ftrl([(labels[i], plain_features(texts[i])) for i in sorted(held, key=order.get)], rates, toxicity.EPOCHS)
+    assert dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)) == pytest.approx({i: w for i, w in weights.items() if w}) and model.bias == pytest.approx(bias)
+    found = toxicity.score(rows, model)
+    assert found.columns == ["doc_id", "text", "weights", "score", "predicted"]
+    for x in found.collect():
+        assert x.score == pytest.approx(1 / (1 + math.exp(-bias - sum(weights.get(i, 0.0) for i in plain_features(x.text))))) and x.weights == 7.5
+
+
+def test_a_very_long_toxic_text(spark):
+    model = toxicity.Model(np.array(sorted(plain_features("vile"))), np.array([9.0]), -4.0)
+    rows = spark.createDataFrame([(1, "word " * 1_000_000 + "vile"), (2, "word " * 1_000_000)], "doc_id long, text string")
+    assert {x.doc_id: x.predicted for x in toxicity.score(rows, model).collect()} == {1: 1, 2: 0}
+
+
 def test_url_parts_and_cascade(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "http://example.com", "ftp://x.net/es/://y", "s://h?p/en/", "a://b://c/d", "http://xexample.net/fr/1", "http://İ.net/a\nb"]
     hosts = [f"http://host{i}.org/" for i in range(3000)]

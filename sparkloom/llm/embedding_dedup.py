@@ -9,17 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import packed, unpacked
 from .components import Forest, star_components
 from .shared import written
+from .spans import mix
 from .vectors import matrix, numbered_vectors, units
 
 COSINE = 0.95
 #: Vectors that the centres are fitted on at most; all vectors are assigned.
 SAMPLE = 8192
-#: Vectors in a cell, about, and cells at most.
-CELL, CELLS = 2048, 256
-#: Vectors on either side of one block of products, about.
-BLOCK = 2048
+#: Vectors in a cell, about, and cells at most; larger cells are dealt to blocks.
+CELL, CELLS = 8192, 256
+#: Vectors on either side of one block of products, about: the fewer blocks, the fewer copies of a vector.
+BLOCK = 8192
+#: What a row is in a block: a member of the cell by a copy, a vector that asks the members, one of the cell's own.
+_MEMBER, _ASKS, _OWN = 1, 2, 4
 
 
 def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -65,56 +69,81 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     a cell's edge visit the cells beyond it. A cell's members and visitors are
     dealt to blocks by a hash, so that a cell with a third of all rows becomes
     many block products; these return counts and spanning forests, not pairs.
+    Rows travel as packed matrices, one for each batch and block.
 
     Null, zero and non-finite vectors have no links and are their own
     component; shorter vectors end in zeros. Rows that repeat an id are
     vectors of their own. A component without any id has none, and rows
-    without an id aren't kept. An empty table gives an empty one.
+    without an id aren't kept. Other columns, whatever their names, are left
+    out. An empty table gives an empty one.
     """
     rows, size, dtype = numbered_vectors(vectors, id_col, vector_col)
-    usable = rows.where("valid")
+    usable = rows.where("valid").select("uid", "vector")
     n = usable.count()
     taken = usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()
     sample = units(matrix(pa.array([x[0] for x in taken], pa.binary()), size, dtype))
     sample = sample[sample.any(axis=1)]
     centres = spherical_kmeans(sample, min(CELLS, max(1, n // CELL), max(1, len(sample))))
 
+    def placed(batch: pa.RecordBatch):
+        unit = units(matrix(batch.column(1), size, dtype))
+        some = np.flatnonzero(unit.any(axis=1))
+        row, cell, own = cells_of(unit[some], centres, cosine)
+        return some[row], cell, own
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, cell, own = placed(batch)
+            held = [np.bincount(x, minlength=len(centres)) for x in (cell[own], cell)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), *map(pa.array, held)], names=["cell", "members", "entries"])
+
+    parts = np.ones((len(centres), 2), np.int64)
+    for cell, members, entries in usable.mapInArrow(count, "cell long, members long, entries long").groupBy("cell").agg(F.sum("members"), F.sum("entries")).collect():  # a row per cell
+        parts[cell] = max(1, -(-members // BLOCK)), max(1, -(-entries // BLOCK))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = units(matrix(batch.column(1), size, dtype))
-            some = np.flatnonzero(unit.any(axis=1))
-            row, cell, own = cells_of(unit[some], centres, cosine)
-            row = pa.array(some[row])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(cell.astype(np.int32)), pa.array(own), batch.column(1).take(row)], names=["uid", "cell", "own", "vector"])
-
-    routed = written(usable.select("uid", "vector").mapInArrow(route, "uid long, cell int, own boolean, vector binary"), "cells")
-    sizes = routed.groupBy("cell").agg(F.count_if("own"), F.count("*")).collect()  # a row per cell
-    blocks = {c: (max(1, -(-m // BLOCK)), max(1, -(-e // BLOCK))) for c, m, e in sizes}
-    of = lambda k: F.coalesce(F.get(F.array(*(F.lit(blocks.get(c, (1, 1))[k]) for c in range(len(centres)))), F.col("cell")), F.lit(1))
-    salt = F.xxhash64("uid", F.lit(3))
-    every = lambda k: F.explode(F.sequence(F.lit(0), of(k) - 1))
-    members = routed.where("own").select("cell", F.pmod(salt, of(0)).cast("int").alias("i"), every(1).alias("j"), "uid", F.lit(True).alias("member"), F.lit(True).alias("own"), "vector")
-    entries = routed.select("cell", every(0).alias("i"), F.pmod(salt, of(1)).cast("int").alias("j"), "uid", F.lit(False).alias("member"), "own", "vector")
+            row, cell, own = placed(batch)
+            uid = batch.column(0).to_numpy()
+            salt = mix(uid.view(np.uint64) + np.uint64(3))[row]
+            i, j = parts[cell].T
+            mine_i, mine_j = (salt % i.astype(np.uint64)).astype(np.int64), ((salt >> np.uint64(32)) % j.astype(np.uint64)).astype(np.int64)
+            alone = (i == 1) & (j == 1)
+            holds = np.flatnonzero(own & ~alone)
+            asked, held = np.repeat(np.arange(len(row)), i), np.repeat(holds, j[holds])
+            group = np.r_[
+                cell[asked] << 40 | (np.arange(len(asked)) - np.repeat(np.cumsum(i) - i, i)) << 20 | mine_j[asked],
+                cell[held] << 40 | mine_i[held] << 20 | (np.arange(len(held)) - np.repeat(np.cumsum(j[holds]) - j[holds], j[holds])),
+            ]
+            role = np.r_[_ASKS + own[asked] * _OWN + (own & alone)[asked] * _MEMBER, np.full(len(held), _MEMBER + _OWN)].astype(np.uint8)
+            at = row[np.r_[asked, held]]
+            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype).reshape(-1, size)
+            out = packed(group, uids=uid[at], roles=role, vectors=vectors[at])
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=["group", "uids", "roles", "vectors"])
 
     def compare(table: pa.Table) -> pa.Table:
-        member, own = table["member"].to_numpy(), table["own"].to_numpy()
-        uid, all_ = table["uid"].to_numpy(), units(matrix(table["vector"], size, dtype))
-        mine, asking = np.flatnonzero(member), np.flatnonzero(~member)
+        uid, role = unpacked(table["uids"], np.int64), unpacked(table["roles"], np.uint8)
+        all_ = units(unpacked(table["vectors"], dtype).astype(np.float64).reshape(-1, size))
+        mine, asking, own = np.flatnonzero(role & _MEMBER), np.flatnonzero(role & _ASKS), role & _OWN > 0
         links, forest = np.zeros(len(uid), np.int64), Forest(len(uid))
+        members = all_[mine].T.copy()
         for k in range(0, len(asking), 256):
             some = asking[k : k + 256]
-            near = (all_[some] @ all_[mine].T >= cosine) & (uid[some][:, None] != uid[mine][None, :])
-            links[mine] += near.sum(axis=0)
-            links[some] += np.where(own[some], 0, near.sum(axis=1))  # two members meet twice, a visitor once
-            a, b = np.nonzero(near)
-            forest.union(some[a], mine[b])
+            a, b = np.nonzero(all_[some] @ members >= cosine)
+            a, b = some[a], mine[b]
+            apart = uid[a] != uid[b]
+            a, b = a[apart], b[apart]
+            np.add.at(links, b, 1)
+            np.add.at(links, a[~own[a]], 1)  # two members meet twice, a visitor once
+            forest.union(a, b)
         a, b = forest.edges()
         held = np.flatnonzero(links)
         return pa.table({
             "uid": np.r_[uid[held], uid[a]], "other": pa.array(np.r_[uid[held], uid[b]]), "links": np.r_[links[held], np.zeros(len(a), np.int64)],
         })
 
-    found = written(members.union(entries).groupBy("cell", "i", "j").applyInArrow(compare, "uid long, other long, links long"), "links")
+    routed = usable.mapInArrow(route, "group long, uids binary, roles binary, vectors binary")
+    found = written(routed.groupBy("group").applyInArrow(compare, "uid long, other long, links long"), "links")
     # a vector may stand twice in a group, as member and as entry: its two places are one node
     component = star_components(found.where("uid <> other").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("n"))

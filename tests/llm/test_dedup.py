@@ -200,7 +200,7 @@ def vectors(n=400, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [8192, 16])
 def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     rows = vectors()
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
@@ -216,3 +216,9 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (links[i], groups[i], groups[i] == i) for i, _ in rows}
     assert max(links.values()) > 5
+
+
+def test_embeddings_with_repeated_and_null_ids_and_clashing_columns(spark):
+    rows = [(5, [1.0, 0.0], 1, "x"), (5, [1.0, 0.0], 2, "y"), (None, [2.0, 0.0], 3, "z"), (7, [0.0, 1.0], 4, "u"), (7, [0.0, 1.0], 4, "u"), (None, [-1.0, 0.0], 5, "v"), (3, None, 6, "w")]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int, component string"))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, False), (3, 0, 3, True)], key=str)

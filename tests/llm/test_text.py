@@ -151,7 +151,7 @@ def test_url_parts_and_cascade(spark):
     hosts = [f"http://host{i}.org/" for i in range(3000)]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + hosts + hosts[:5])], "page_id long, url string, rule string")
     listed = spark.createDataFrame([(f"host{i}.org",) for i in range(0, 3000, 7)] + [("absent.org",), (None,), ("host0.org",)], "host string")
-    for most in (url_filter.MOST_WORDS, 1):  # with filters, and with the join that replaces filters beyond the bound
+    for most in (url_filter.MOST_WORDS, 16):  # with one cascade, and with keys dealt to several
         found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, listed, most_words=most).collect()}
         assert [found[i] for i in range(len(urls))] == [
             ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/x", "example.com/en/", "block"), ("www.example.com", "/en/", "www.example.com/en/", "allow"),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from ..sources.session import shared_folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, so that lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, in folders by the columns ``by``, and read back, so that lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: C0 controls other than tab, line feed and carriage return, and delete.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+_CONTROL_CHARACTERS = "".join(map(chr, [*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
+_BLANKS = " \t\n\x0b\x0c\r"
 #: The entities that markup must write for these characters, ampersand first.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 
@@ -24,8 +26,8 @@ def first_filled(*columns: Column) -> Column:
 
 def clean_text(text: Column, limit: int = 3000) -> Column:
     """Text without control characters and outer white space, cut to ``limit``; null becomes empty."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, "")
-    return F.substring(F.regexp_replace(kept, r"^\s+|\s+$", ""), 1, limit)
+    kept = F.translate(F.coalesce(text, F.lit("")), _CONTROL_CHARACTERS, "")
+    return F.substring(F.btrim(kept, F.lit(_BLANKS)), 1, limit)
 
 
 def escape_markup(text: Column) -> Column:
@@ -179,3 +181,11 @@ def sprite_offsets(position: Column, columns: int = 5, rows: int = 10) -> tuple[
     """Percentages across and down at which a numbered tile (from 1) of a sheet lies."""
     at = position - 1
     return F.round((at % columns) / (columns - 1) * 100, 4), F.round(F.floor(at / columns) / (rows - 1) * 100, 4)
+
+
+def item_href(kind: Column, folder: str, special: Mapping[str, str]) -> Column:
+    """The page of an item by its slug: one of its own for the special ones, else ``/folder/slug``."""
+    out = F.concat(F.lit(f"/{folder}/"), kind)
+    for slug, page in special.items():
+        out = F.when(kind == slug, F.lit(page)).otherwise(out)
+    return out

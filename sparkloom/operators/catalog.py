@@ -81,3 +81,28 @@ def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     """The first row of each key: what insertion without replacement leaves."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+
+
+def all_but(rows: DataFrame, column: str, left_out: Sequence[str]) -> DataFrame:
+    """Rows whose value isn't among those left out; null values stay."""
+    return rows.where(F.coalesce(~F.col(column).isin(*left_out), F.lit(True)))
+
+
+def first_match(rows: DataFrame, group: Sequence[str], holds: Column, order: str) -> DataFrame:
+    """Each group with the ``order`` of its first row for which a condition holds, null where none does."""
+    return rows.groupBy(*group).agg(F.min(F.when(holds, F.col(order))).alias(order))
+
+
+def flattened(rows: DataFrame, group: Sequence[str], lists: Sequence[str], order: str, out: str) -> DataFrame:
+    """Each group's lists one after the other: row by row in an order, and of a row column by column; null lists are empty."""
+    whole = F.concat(*(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in lists))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), whole.alias("v"))))
+    return rows.groupBy(*group).agg(F.flatten(F.transform(pairs, lambda x: x["v"])).alias(out))
+
+
+def concatenated(*lists: DataFrame) -> DataFrame:
+    """Rows of several tables of like columns, repeats included."""
+    out = lists[0]
+    for other in lists[1:]:
+        out = out.unionByName(other)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import clean_text, first_filled
 
 #: Limits of the intake.
-MOST_BYTES, LEAST_MILLISECONDS, MOST_FIELDS = 32_000, 1200, 80
+MOST_BYTES, LEAST_MILLISECONDS, MOST_FIELDS, MOST_NAMES = 32_000, 1200, 80, 15
 #: Request types that are taken, beside those of the pattern.
 TYPES = (
     "Website Enquiry", "General Enquiry", "General Quote", "Workshop Consultation", "Online Tuning Compatibility Review",
@@ -22,7 +22,6 @@ RESERVED = ("website", "startedAt")
 
 #: Columns of a submission; ``body`` is the raw text, so that broken JSON stays a case.
 SUBMISSION = T.StructType([T.StructField(n, T.StringType()) for n in ("submission_id", "method", "host", "origin", "content_length", "body")])
-_BODY = "website string, startedAt string, ref string, type string, page string, fields string"
 
 
 def valid_type(kind: Column) -> Column:
@@ -34,40 +33,47 @@ def origin_host(origin: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(origin, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#\s]+)(?:[/?#]\S*)?$", 1)), F.lit(""))
 
 
-def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = None) -> DataFrame:
-    """``submissions`` with ``status`` and ``code``: the first condition that holds decides.
+def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = None, delivered: Column | None = None) -> DataFrame:
+    """``submissions`` with ``status``, ``code`` and, where the form was taken and delivered, its ``ref``: the first condition that holds decides.
 
-    ``now_ms`` is an argument, so that a decision can be repeated. Text that
-    isn't a number never passes a comparison of numbers. The body is parsed
-    once, in a projection below the decision.
+    ``now_ms`` is an argument, so that a decision can be repeated; ``configured``
+    and ``delivered`` tell whether a backend is there and whether it took the
+    form (both true if left out). Text that isn't a number never passes a
+    comparison of numbers. The body is parsed once, in a projection below the
+    decision.
     """
     text = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit("{}"))
     parsed = submissions.withColumns({
-        "__shape": F.schema_of_variant(F.try_parse_json(text)), "__read": F.from_json(text, _BODY),
-        "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)), "__ok": F.lit(True) if configured is None else configured,
-    }).withColumns({"__fields": F.from_json("__read.fields", "map<string,string>"), "__origin": origin_host(F.col("__sent"))})
-    field = lambda name, limit: clean_text(F.try_element_at("__fields", F.lit(name)), limit)
-    started = F.coalesce(F.col("__read.startedAt").try_cast("double"), F.lit(0.0))
-    words = first_filled(*(F.try_element_at("__fields", F.lit(n)) for n in ("message", "modifications", "engineDetails")))
-    filled = (clean_text(F.col("__read.ref"), 80) != "") & valid_type(clean_text(F.col("__read.type"), 120)) & (field("name", 200) != "") & (field("phone", 200) != "") & (field("vehicle", 300) != "") & (clean_text(words) != "")
+        "__body": F.try_parse_json(text), "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)),
+        "__ok": F.lit(True) if configured is None else configured, "__done": F.lit(True) if delivered is None else delivered,
+    })
+    read = lambda path: F.try_variant_get("__body", f"$.{path}", "string")
+    parsed = parsed.withColumns({
+        "__shape": F.schema_of_variant("__body"), "__origin": origin_host(F.col("__sent")), "__website": read("website"), "__started": read("startedAt"), "__ref": clean_text(read("ref"), 80), "__type": read("type"),
+        "__name": read("fields.name"), "__phone": read("fields.phone"), "__vehicle": read("fields.vehicle"), "__words": first_filled(*(read(f"fields.{n}") for n in ("message", "modifications", "engineDetails"))),
+    })
+    started = F.coalesce(F.col("__started").try_cast("double"), F.lit(0.0))
+    given = lambda name, limit: clean_text(F.col(name), limit) != ""
+    filled = (F.col("__ref") != "") & valid_type(clean_text(F.col("__type"), 120)) & given("__name", 200) & given("__phone", 200) & given("__vehicle", 300) & given("__words", 3000)
     other = F.col("__origin").isNull() | ((F.col("__asked") != "") & (F.col("__origin") != F.col("__asked")))
     steps = [
         (F.coalesce(F.col("method") != "POST", F.lit(True)), 405, "method_not_allowed"),
         ((F.col("__sent") != "") & other, 403, "origin_not_allowed"),
         (F.coalesce(F.col("content_length").try_cast("double"), F.lit(0.0)) > MOST_BYTES, 413, "payload_too_large"),
-        (F.col("__shape").isNull(), 400, "invalid_json"),
+        (F.col("__body").isNull(), 400, "invalid_json"),
         (~F.startswith("__shape", F.lit("OBJECT")), 400, "invalid_payload"),
-        (clean_text(F.col("__read.website"), 120) != "", 202, "accepted"),
+        (given("__website", 120), 202, "accepted"),
         ((started != 0) & (now_ms - started < LEAST_MILLISECONDS), 429, "submission_too_fast"),
         (~F.coalesce(filled, F.lit(False)), 400, "missing_or_invalid_required_fields"),
         (~F.col("__ok"), 503, "backend_not_configured"),
+        (~F.coalesce("__done", F.lit(False)), 502, "delivery_failed"),
     ]
     out = None
     for holds, status, code in steps:
         value = F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"))
         out = F.when(holds, value) if out is None else out.when(holds, value)
     decided = parsed.withColumn("__out", out.otherwise(F.struct(F.lit(200).alias("status"), F.lit("accepted").alias("code"))))
-    return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), "__out.status", "__out.code")
+    return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), "__out.status", "__out.code", F.when(F.col("__out.status") == 200, F.col("__ref")).alias("ref"))
 
 
 def delivery(mode: Column, api_ok: Column) -> Column:
@@ -81,18 +87,33 @@ def delivery(mode: Column, api_ok: Column) -> Column:
 
 
 def merged_fields(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
-    """Form entries (key, name, value, pos) as one row per name with its values in order; blanks give way to later values."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("value").alias("value"))))
-    values = F.filter(F.transform(pairs, lambda x: x["value"]), lambda v: F.coalesce(v, F.lit("")) != "")
-    rows = entries.where(~F.col("name").isin("files", *RESERVED)).groupBy(key, "name").agg(F.min(pos).alias("pos"), values.alias("values"))
+    """Form entries (key, name, value, pos) as one row per name: cleaned values in order, joined.
+
+    A blank first value gives way to the next one; a blank that follows a
+    filled value is kept in its place.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), clean_text(F.col("value")).alias("value"))))
+    values = F.transform(pairs, lambda x: x["value"])
+    first = F.coalesce(F.array_position(F.transform(values, lambda v: v != ""), F.lit(True)), F.lit(0)).cast("int")
+    kept = F.when(first > 0, F.slice(values, first, F.greatest(F.size(values) - first + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    rows = entries.where(~F.col("name").isin("files", *RESERVED)).groupBy(key, "name").agg(F.min(pos).alias("pos"), kept.alias("values"))
     return rows.withColumn("value", F.array_join("values", ", "))
 
 
+def attached_names(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """``names``: of each form the first ``MOST_NAMES`` names of attached files, in order."""
+    files = entries.where((F.col("name") == "files") & (F.coalesce("value", F.lit("")) != ""))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), clean_text(F.col("value")).alias("value"))))
+    return files.groupBy(key).agg(F.slice(F.transform(pairs, lambda x: x["value"]), 1, MOST_NAMES).alias("names"))
+
+
 def field_rows(submissions: DataFrame, key: str, fields: Column) -> DataFrame:
-    """``key``, ``pos``, ``name``, ``value``: the filled fields of a map in its order, without reserved ones, at most eighty."""
+    """``key``, ``pos``, ``name``, ``value``: the filled fields of a JSON object, as a string map, in its order, without reserved ones, at most eighty; lists are joined."""
     kept = F.filter(F.map_entries(fields), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & ~e["key"].isin(*RESERVED))
     rows = submissions.select(key, F.posexplode(F.slice(kept, 1, MOST_FIELDS)).alias("pos", "e"))
-    return rows.select(key, "pos", clean_text(F.col("e.key"), 80).alias("name"), clean_text(F.col("e.value")).alias("value"))
+    listed = F.when(F.startswith(F.ltrim(F.col("e.value")), F.lit("[")), F.from_json("e.value", "array<string>"))
+    value = F.when(listed.isNotNull() & (F.size(listed) > 0), F.array_join(F.transform(listed, lambda x: F.coalesce(x, F.lit(""))), ", ")).otherwise(F.col("e.value"))
+    return rows.select(key, "pos", clean_text(F.col("e.key"), 80).alias("name"), clean_text(value).alias("value"))
 
 
 def basket_key(kind: Column, title: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,16 @@ from pyspark.sql import functions as F
 
 #: The attributes of a localized page by locale.
 LANG, DIRECTION = {"en": "en", "ar": "ar-KW"}, {"en": "ltr", "ar": "rtl"}
+#: The alternates that a localized page names.
+ALTERNATES = ("en-KW", "ar-KW", "x-default")
 #: Lengths of a description that are right, both included.
 SHORTEST, LONGEST = 35, 165
 #: Text that a finished page doesn't have.
 PLACEHOLDERS = ("lorem ipsum", "insert image here", "fake review", "coming soon")
+#: Number of source files from which there are too many, and endings of those whose text is searched.
+MOST_FILES, SEARCHED = 100, ("js", "mjs", "html", "css", "json", "webmanifest")
 #: Rules that only localized pages must pass.
-LOCALIZED = ("canonical", "lang", "dir", "locale_mark", "alternates", "structured_data")
+LOCALIZED = ("canonical", "lang", "dir", "locale_mark", "alternates", "structured_data", "dictionaries", "theme")
 
 
 def page_fields(html: Column) -> dict[str, Column]:
@@ -35,27 +40,53 @@ def locale_of(path: Column, locales: Sequence[str]) -> Column:
     return F.when(first.isin(*locales), first)
 
 
-def page_rules(html: Column, locale: Column, terms: Sequence[str] = PLACEHOLDERS, lang: Mapping[str, str] = LANG, direction: Mapping[str, str] = DIRECTION) -> dict[str, Column]:
-    """Whether a page passes each rule; rules for localized pages are null for others, and a page without content has none of what they ask for."""
+def page_rules(
+    html: Column, locale: Column, terms: Sequence[str] = PLACEHOLDERS, lang: Mapping[str, str] = LANG, direction: Mapping[str, str] = DIRECTION,
+    removed: Sequence[str] = (), alternates: Sequence[str] = ALTERNATES, dictionaries: Sequence[str] = (), theme: Sequence[str] = (),
+) -> dict[str, Column]:
+    """Whether a page passes each rule; rules for localized pages are null for others, and a page without content has none of what they ask for.
+
+    Language and direction count on the opening ``<html`` alone; a heading is
+    ``<h1`` and then white space or ``>``; every one of ``alternates`` must be
+    named; all of ``dictionaries`` (scripts) and ``theme`` (what an early theme
+    script holds) must occur. ``terms`` are placeholders and ``removed`` names
+    of features that are gone; neither may occur, in any case of letters.
+    """
     html = F.coalesce(html, F.lit(""))
     fields, low = page_fields(html), F.lower(html)
-    by_locale = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), locale)
-    has = lambda text: F.coalesce(F.contains(html, text), F.lit(False))
-    attribute = lambda name, value: has(F.concat(F.lit(f' {name}="'), value, F.lit('"')))
     length = F.coalesce(F.length(fields["description"]), F.lit(0))
+    any_case = lambda pattern: F.rlike(html, F.lit(f"(?i){pattern}"))
+
+    def attribute(name: str, table: Mapping[str, str]) -> Column:
+        out = F.lit(False)
+        for key, value in table.items():
+            out = F.when(locale == key, any_case(f'<html[^>]+{name}="{re.escape(value)}"')).otherwise(out)
+        return out
+
+    def all_of(parts: Sequence[str]) -> Column:
+        out = F.lit(True)
+        for part in parts:
+            out = out & low.contains(part.lower())
+        return out
+
     rules = {
         "title": fields["title"].isNotNull(),
         "description_length": length.between(SHORTEST, LONGEST),
-        "heading": low.contains("<h1"),
+        "heading": any_case(r"<h1[\s>]"),
         "canonical": fields["canonical"].isNotNull(),
-        "lang": attribute("lang", by_locale(lang)),
-        "dir": attribute("dir", by_locale(direction)),
-        "locale_mark": attribute("data-locale", locale),
-        "alternates": F.size(F.regexp_extract_all(html, F.lit('(hreflang="[^"]+")'))) >= 3,
+        "lang": attribute("lang", lang),
+        "dir": attribute("dir", direction),
+        "locale_mark": F.coalesce(F.contains(low, F.concat(F.lit('data-locale="'), F.lower(locale), F.lit('"'))), F.lit(False)),
+        "alternates": all_of([f'hreflang="{x}"' for x in alternates]),
         "structured_data": low.contains("application/ld+json"),
     }
-    for term in terms:
-        rules[f"free_of_{term.replace(' ', '_')}"] = ~low.contains(term)
+    if dictionaries:
+        rules["dictionaries"] = all_of(dictionaries)
+    if theme:
+        rules["theme"] = all_of(theme)
+    for kind, words in (("free_of", terms), ("removed", removed)):
+        for term in words:
+            rules[f"{kind}_{term.replace(' ', '_')}"] = ~low.contains(term)
     return {name: F.when(locale.isNotNull(), ok) if name in LOCALIZED else ok for name, ok in rules.items()}
 
 
@@ -77,11 +108,11 @@ def duplicates(rows: DataFrame, value: str, within: Sequence[str], key: str) ->
 
 
 def count_checks(tables: Mapping[str, tuple[DataFrame, int, str]]) -> DataFrame:
-    """``check``, ``expected``, ``found``, ``passed`` for (table, number, comparison: = or >=) by name."""
+    """``check``, ``expected``, ``found``, ``passed`` for (table, number, comparison: =, >= or <) by name."""
     out = None
     for name, (table, number, how) in tables.items():
         row = table.agg(F.count("*").alias("found")).select(F.lit(name).alias("check"), F.lit(number).cast("long").alias("expected"), "found")
-        row = row.withColumn("passed", F.col("found") >= number if how == ">=" else F.col("found") == number)
+        row = row.withColumn("passed", F.col("found") >= number if how == ">=" else F.col("found") < number if how == "<" else F.col("found") == number)
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -104,12 +135,20 @@ def exit_code(failures: DataFrame) -> DataFrame:
     return failures.agg(F.count("*").alias("n_failures")).withColumn("exit_code", (F.col("n_failures") > 0).cast("int"))
 
 
+def report(found: DataFrame, warnings: Sequence[str]) -> DataFrame:
+    """One row: numbers of failures and of warnings (rules named so), and 1 if anything fails; warnings alone don't."""
+    warns = F.col("rule").isin(*warnings)
+    counts = found.agg(F.count_if(~warns).alias("n_failures"), F.count_if(warns).alias("n_warnings"))
+    return counts.withColumn("exit_code", (F.col("n_failures") > 0).cast("int"))
+
+
 def lint_rules(source: Column) -> dict[str, Column]:
     """Whether source text passes each check: no debugger statement, no secret in a literal, no evaluation of text."""
     text = F.coalesce(source, F.lit(""))
+    # fixed values: the patterns of what is looked for
     patterns = {
-        "debugger": r"\bdebugger\b",
-        "secret": r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*[\"'][^\"']{12,}[\"']",
+        "debugger": r"\bdebugger\s*;",
+        "secret": r"(?:RESEND_API_KEY|API_KEY|SECRET|TOKEN)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{20,}[\"']",
         "eval": r"\beval\s*\(",
     }
     return {name: ~F.rlike(text, F.lit(pattern)) for name, pattern in patterns.items()}
@@ -132,3 +171,32 @@ def manifest_violations(manifest: DataFrame, outputs: DataFrame, locales: Mappin
 def item_rules(width: Column, height: Column) -> dict[str, Column]:
     """Whether a media item has sizes above zero."""
     return {"width": F.coalesce(width > 0, F.lit(False)), "height": F.coalesce(height > 0, F.lit(False))}
+
+
+def without_file(items: DataFrame, path: str, files: DataFrame, file_path: str) -> DataFrame:
+    """Items whose path no file has; a null path has none."""
+    there = files.select(F.col(file_path).alias("__path")).distinct()
+    return items.join(there, F.col(path) == F.col("__path"), "left_anti")
+
+
+def missing_names(wanted: DataFrame, there: DataFrame, name: str) -> DataFrame:
+    """Required names, such as assets, that a table lacks."""
+    return wanted.select(name).join(there.select(name), name, "left_anti")
+
+
+def present_names(barred: DataFrame, there: DataFrame, name: str) -> DataFrame:
+    """Names, such as removed tables or keys, that are barred and yet there."""
+    return barred.select(name).join(there.select(name), name, "left_semi")
+
+
+def text_features(text: Column, patterns: Mapping[str, str]) -> dict[str, Column]:
+    """Whether text, such as a style sheet, has what each pattern describes."""
+    return {name: F.rlike(F.coalesce(text, F.lit("")), F.lit(pattern)) for name, pattern in patterns.items()}
+
+
+def remaining_terms(files: DataFrame, path: str, text: str, terms: Sequence[str], endings: Sequence[str] = SEARCHED) -> DataFrame:
+    """``path`` and ``term``: searched source files, by the ending of their name, that still hold a removed term."""
+    searched = files.where(F.rlike(F.col(path), F.lit(rf"(?i)\.(?:{'|'.join(endings)})$")))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hits = F.filter(F.array(*(F.when(low.contains(t.lower()), F.lit(t)) for t in terms)), lambda x: x.isNotNull())
+    return searched.select(F.col(path).alias("path"), F.explode(hits).alias("term"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import item_href
 from ..operators import catalog as O
 from ..operators import rules, sequences
 from ..sources.tables import table
@@ -186,7 +187,48 @@ SELECT locale, count(*) AS n_missing FROM documents d, (VALUES ('en'), ('fr'), (
 WHERE NOT EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = d.doc_id AND d.lang = locale) GROUP BY locale
 """
 
+
+def first_matches(spark, sf_dir: str) -> DataFrame:
+    return O.first_match(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderkey")
+
+
+FIRST_MATCHES = "SELECT o_custkey, min(o_orderkey) FILTER (o_orderstatus = 'F') AS o_orderkey FROM orders GROUP BY o_custkey"
+
+
+def concatenated_lists(spark, sf_dir: str) -> DataFrame:
+    customers = O.all_but(table(spark, sf_dir, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"]).select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    return O.concatenated(customers, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name")))
+
+
+CONCATENATED_LISTS = """
+SELECT c_name AS name, c_nationkey AS nation FROM customer WHERE coalesce(c_mktsegment NOT IN ('BUILDING', 'MACHINERY'), true) UNION ALL SELECT s_name, s_nationkey FROM supplier
+"""
+
+
+def flattened_lists(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_returnflag", "l_linestatus").alias("flags"), F.when(F.col("l_linenumber") % 2 == 0, F.array(F.col("l_linenumber").cast("string"))).alias("even"))
+    return O.flattened(rows, ["l_orderkey"], ["flags", "even"], "l_linenumber", "all").select("l_orderkey", F.array_join("all", ",").alias("flat"))
+
+
+FLATTENED_LISTS = """
+SELECT l_orderkey, string_agg(l_returnflag || ',' || l_linestatus || CASE WHEN l_linenumber % 2 = 0 THEN ',' || l_linenumber ELSE '' END, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS flat FROM lineitem GROUP BY l_orderkey
+"""
+
+
+def item_hrefs(spark, sf_dir: str) -> DataFrame:
+    slug = F.lower(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", item_href(slug, "orders", {"1-urgent": "/now", "5-low": "/later"}).alias("href"))
+
+
+ITEM_HREFS = """
+SELECT o_orderkey, CASE lower(o_orderpriority) WHEN '1-urgent' THEN '/now' WHEN '5-low' THEN '/later' ELSE '/orders/' || lower(o_orderpriority) END AS href FROM orders
+"""
+
 QUERIES = {
+    "first_matches": (first_matches, FIRST_MATCHES),
+    "concatenated_lists": (concatenated_lists, CONCATENATED_LISTS),
+    "flattened_lists": (flattened_lists, FLATTENED_LISTS),
+    "item_hrefs": (item_hrefs, ITEM_HREFS),
     "overlay_labels": (overlay_labels, OVERLAY_LABELS),
     "positional_overlay": (positional_overlay, POSITIONAL_OVERLAY),
     "code_labels": (code_labels, CODE_LABELS),

@@ -34,38 +34,54 @@ def _submissions_of(e: DataFrame) -> DataFrame:
 
 
 def intake_decision(spark, sf_dir: str) -> DataFrame:
-    decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1)
-    return decided.select("event_id", "status", "code")
+    decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1, F.col("k") % 10 != 3)
+    return decided.select("event_id", "status", "code", "ref")
 
 
 INTAKE_DECISION = r"""
 WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), d AS (
   SELECT event_id, CASE WHEN event_type = 'error' THEN 1 WHEN k % 19 = 0 OR k % 23 = 0 THEN 2 WHEN k % 29 = 0 THEN 3 WHEN k % 37 = 0 THEN 4 WHEN k % 41 = 0 THEN 5 WHEN k % 13 = 0 THEN 6
-       WHEN k <> 0 AND 9000 - k * 100 < 1200 THEN 7 WHEN k % 11 = 0 OR k % 7 = 0 THEN 8 WHEN k % 4 = 1 THEN 9 ELSE 10 END AS c FROM e)
-SELECT event_id, CAST([405, 403, 413, 400, 400, 202, 429, 400, 503, 200][c] AS INTEGER) AS status,
-       ['method_not_allowed', 'origin_not_allowed', 'payload_too_large', 'invalid_json', 'invalid_payload', 'accepted', 'submission_too_fast', 'missing_or_invalid_required_fields', 'backend_not_configured', 'accepted'][c] AS code
+       WHEN k <> 0 AND 9000 - k * 100 < 1200 THEN 7 WHEN k % 11 = 0 OR k % 7 = 0 THEN 8 WHEN k % 4 = 1 THEN 9 WHEN k % 10 = 3 THEN 10 ELSE 11 END AS c FROM e)
+SELECT event_id, CAST([405, 403, 413, 400, 400, 202, 429, 400, 503, 502, 200][c] AS INTEGER) AS status,
+       ['method_not_allowed', 'origin_not_allowed', 'payload_too_large', 'invalid_json', 'invalid_payload', 'accepted', 'submission_too_fast', 'missing_or_invalid_required_fields', 'backend_not_configured', 'delivery_failed', 'accepted'][c] AS code,
+       CASE WHEN c = 11 THEN 'R-' || event_id END AS ref
 FROM d
 """
 
 
 def field_rows(spark, sf_dir: str) -> DataFrame:
-    fields = F.map_concat(F.create_map(F.lit("type"), F.col("event_type"), F.lit("website"), F.lit("x"), F.lit("empty"), F.lit(""), F.lit("user"), F.col("user_id").cast("string")), F.from_json("props", "map<string,string>"))
+    several = F.concat(F.lit('["a, b", "'), F.col("event_type"), F.lit('", null]'))
+    fields = F.map_concat(F.create_map(F.lit("type"), F.col("event_type"), F.lit("website"), F.lit("x"), F.lit("empty"), F.lit(""), F.lit("user"), F.col("user_id").cast("string"), F.lit("several"), several), F.from_json("props", "map<string,string>"))
     return O.field_rows(table(spark, sf_dir, "events"), "event_id", fields)
 
 
 FIELD_ROWS = """
-SELECT event_id, CAST(i AS INTEGER) AS pos, ['type', 'user', 'k'][i + 1] AS name, [event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')][i + 1] AS value
-FROM events, (VALUES (0), (1), (2)) x(i)
+SELECT event_id, CAST(i AS INTEGER) AS pos, ['type', 'user', 'several', 'k'][i + 1] AS name, [event_type, CAST(user_id AS VARCHAR), trim('a, b, ' || event_type || ', '), json_extract_string(props, '$.k')][i + 1] AS value
+FROM events, (VALUES (0), (1), (2), (3)) x(i)
 """
 
 
 def merged_fields(spark, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("text", 1, 12)).alias("value"), F.col("turn").alias("pos"))
+    entries = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("value"), F.col("turn").alias("pos"))
     return O.merged_fields(entries, "conv_id").select("conv_id", "name", "pos", "value")
 
 
-MERGED_FIELDS = """
-SELECT conv_id, role AS name, min(turn) AS pos, coalesce(string_agg(text[1:12], ', ' ORDER BY turn) FILTER (turn % 3 <> 0 AND text[1:12] <> ''), '') AS value FROM conversations GROUP BY conv_id, role
+MERGED_FIELDS = r"""
+WITH e AS (
+  SELECT conv_id, role AS name, turn AS pos, CASE WHEN turn % 3 = 0 THEN '' ELSE left(trim(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), E' \t\n\x0b\x0c\r'), 3000) END AS v FROM conversations
+), f AS (SELECT *, min(CASE WHEN v <> '' THEN pos END) OVER (PARTITION BY conv_id, name) AS first FROM e)
+SELECT conv_id, name, min(pos) AS pos, coalesce(string_agg(v, ', ' ORDER BY pos, v) FILTER (pos >= first), '') AS value FROM f GROUP BY conv_id, name
+"""
+
+
+def attached_names(spark, sf_dir: str) -> DataFrame:
+    """A user's events are the files of one form."""
+    entries = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", "other").otherwise("files").alias("name"), F.concat("event_type", F.lit("-"), "event_id").alias("value"), F.col("event_id").alias("pos"))
+    return O.attached_names(entries, "user_id").select("user_id", F.array_join("names", "|").alias("names"))
+
+
+ATTACHED_NAMES = """
+SELECT user_id, string_agg(event_type || '-' || event_id, '|' ORDER BY event_id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 15 GROUP BY user_id
 """
 
 
@@ -107,7 +123,7 @@ WHERE event_type <> 'error' AND (gone IS NULL OR event_id > gone) GROUP BY e.use
 """
 
 def delivery_modes(spark, sf_dir: str) -> DataFrame:
-    decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1)
+    decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1, F.col("k") % 10 != 3)
     mode = F.when(F.col("k") % 3 == 0, "api").when(F.col("k") % 3 == 1, "auto").otherwise("whatsapp")
     return decided.groupBy(mode.alias("mode"), O.delivery(mode, F.col("status") == 200).alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -122,11 +138,11 @@ def streamed_decisions(spark, sf_dir: str) -> DataFrame:
     """The decisions of a stream over the events' files, delivered batch by batch to a table and read back."""
     events = table(spark, sf_dir, "events")
     arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    decided = O.decide(_submissions_of(arriving), F.lit(9000), F.col("k") % 4 != 1).select("event_id", "status", "code")
+    decided = O.decide(_submissions_of(arriving), F.lit(9000), F.col("k") % 4 != 1, F.col("k") % 10 != 3).select("event_id", "status", "code", "ref")
     folder = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
     query = streaming.deliver(decided, f"{folder}/out", f"{folder}/checkpoint")
     query.awaitTermination()
-    return spark.read.option("basePath", f"{folder}/out").schema("event_id long, code string, status int").parquet(f"{folder}/out/batch=*").select("event_id", "status", "code")
+    return spark.read.option("basePath", f"{folder}/out").schema("event_id long, code string, ref string, status int").parquet(f"{folder}/out/batch=*").select("event_id", "status", "code", "ref")
 
 
 QUERIES = {
@@ -134,6 +150,7 @@ QUERIES = {
     "streamed_decisions": (streamed_decisions, INTAKE_DECISION),
     "intake_decision": (intake_decision, INTAKE_DECISION),
     "field_rows": (field_rows, FIELD_ROWS),
+    "attached_names": (attached_names, ATTACHED_NAMES),
     "merged_fields": (merged_fields, MERGED_FIELDS),
     "hand_off_text": (hand_off_text, HAND_OFF_TEXT),
     "basket_first": (basket_first, BASKET_FIRST),

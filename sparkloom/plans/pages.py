@@ -134,12 +134,12 @@ FROM part
 
 def text_scalars(spark, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", S.escape_markup(F.concat(F.lit("<a href='x'>\"&"), F.substring(text, 1, 200))).alias("escaped"), S.clean_text(F.concat(F.lit(" \x01\t"), text, F.lit("\n ")), 300).alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.escape_markup(F.concat(F.lit("<a href='x'>\"&"), text)).alias("escaped"), S.clean_text(F.concat(F.lit(" \x01\t"), text, F.lit("\n "))).alias("cleaned"))
 
 
 TEXT_SCALARS = r"""
-SELECT doc_id, replace(replace(replace(replace(replace('<a href=''x''>"&' || text[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
-       regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g')[1:300] AS cleaned
+SELECT doc_id, replace(replace(replace(replace(replace('<a href=''x''>"&' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+       regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g')[1:3000] AS cleaned
 FROM documents
 """
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -24,10 +25,16 @@ def with_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``, which all executors share; a local one where that is unset, as in tests."""
+    """This application's folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset a session on one machine, as in tests, gets a folder of
+    its own; on a cluster executors couldn't read such a folder, so it raises.
+    """
     name = spark.sparkContext.applicationId
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return f"{folder.rstrip('/')}/{name}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if name not in _OWN:
         _OWN[name] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
     return _OWN[name]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">'
+#: Fixed value: entries that a sitemap has at most.
+MOST_ENTRIES = 50_000
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
@@ -19,9 +21,8 @@ def write_manifest(pages: DataFrame, folder: str) -> None:
 
 
 def write_sitemap(entries: DataFrame, folder: str, order: str = "pos") -> None:
-    """``entry`` rows in order, each part file a sitemap of its own as large sites need."""
-    ordered = entries.repartitionByRange(order).sortWithinPartitions(order)
-    part = ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.array_sort(F.collect_list(F.struct(order, "entry"))).alias("rows"))
+    """``entry`` rows in order of a number that counts them from 0; each line of the files is a sitemap of at most ``MOST_ENTRIES``."""
+    part = entries.groupBy(F.floor(F.col(order) / MOST_ENTRIES).alias("part")).agg(F.array_sort(F.collect_list(F.struct(order, "entry"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda x: x["entry"]), "\n")
     part.select(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("value")).write.mode("overwrite").text(folder)
 

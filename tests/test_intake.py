@@ -92,3 +92,18 @@ def test_basket_stream_keeps_the_first(spark, tmp_path):
     query = streaming.basket_stream(changes, "who", "item", "t").writeStream.format("memory").queryName("basket").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert spark.table("basket").count() == 2
+
+
+def test_delivery_failure_and_reference(spark):
+    body = '{"ref":"R1","type":"General Quote","fields":{"name":"n","phone":1,"vehicle":"v","message":"m"}}'
+    rows = spark.createDataFrame([("1", "POST", "h", "", "9", body, True), ("2", "POST", "h", "", "9", body, False), ("3", "GET", "h", "", "9", body, True)], "submission_id string, method string, host string, origin string, content_length string, body string, sent boolean")
+    found = {r.submission_id: (r.status, r.code, r.ref) for r in intake.decide(rows, F.lit(0), delivered=F.col("sent")).collect()}
+    assert found == {"1": (200, "accepted", "R1"), "2": (502, "delivery_failed", None), "3": (405, "method_not_allowed", None)}
+
+
+def test_lists_blanks_and_attached_names(spark):
+    entries = spark.createDataFrame([("f", "x", "", 0), ("f", "x", " a ", 1), ("f", "x", "", 2), ("f", "x", "b", 3), ("f", "y", "", 4), *(("f", "files", f"n{k}", 10 + k) for k in range(20))], "form string, name string, value string, pos int")
+    assert {r.name: r.value for r in intake.merged_fields(entries, "form").collect()} == {"x": "a, , b", "y": ""}
+    assert intake.attached_names(entries, "form").first().names == [f"n{k}" for k in range(15)]
+    rows = spark.createDataFrame([(1, {"a": '["p","q"]', "b": "[not a list", "c": "plain"})], "k int, f map<string,string>")
+    assert {r.name: r.value for r in intake.field_rows(rows, "k", F.col("f")).collect()} == {"a": "p, q", "b": "[not a list", "c": "plain"}

@@ -74,7 +74,7 @@ def test_breadcrumbs(spark):
 
 GOOD = (
     '<html lang="ar-KW" dir="rtl" data-locale="ar"><title>T</title><meta name="description" content="' + "d" * 35 + '"><link rel="canonical" href="u">'
-    '<link hreflang="a"><link hreflang="b"><link hreflang="c"><script type="application/ld+json">{}</script><h1>x</h1>'
+    '<link hreflang="en-KW"><link hreflang="ar-KW"><link hreflang="x-default"><script type="application/ld+json">{}</script><h1>x</h1>'
 )
 
 
@@ -100,3 +100,29 @@ def test_counts_and_gaps(spark):
     assert [(r.check, r.passed) for r in rules.count_checks({"a": (t, 3, "="), "b": (t, 4, ">=")}).orderBy("check").collect()] == [("a", True), ("b", False)]
     base, local = spark.createDataFrame([("x",), ("y",)], "slug string"), spark.createDataFrame([("ar", "x"), ("ar", "zz")], "locale string, slug string")
     assert [tuple(r) for r in rules.incomplete_translations(base, local, "slug", ["ar"]).collect()] == [("ar", 1)]
+
+
+def test_rules_look_at_the_opening_tag_and_at_each_alternate(spark):
+    bodies = {
+        "lang": GOOD.replace('lang="ar-KW" ', "") + '<p lang="ar-KW">', "dir": GOOD.replace('dir="rtl" ', "") + '<p dir="rtl">', "heading": GOOD.replace("<h1>", "<h12>"),
+        "alternates": GOOD.replace('"x-default"', '"en-KW"'), "dictionaries": GOOD.replace("a.js", "c.js"), "theme": GOOD.replace("dataset.theme", ""), "removed_old_thing": GOOD + "Old Thing",
+    }
+    good = "<script src=a.js></script><script src=b.js>dataset.theme</script>"
+    rows = spark.createDataFrame([(k, (v.replace("</h1>", "</h1>" + good) if k not in ("dictionaries", "theme") else v + (good.replace("a.js", "x") if k == "dictionaries" else good.replace("dataset.theme", "")))) for k, v in bodies.items()], "name string, html string")
+    checks = rules.page_rules(F.col("html"), F.lit("ar"), removed=("old thing",), dictionaries=("a.js", "b.js"), theme=("dataset.theme",))
+    assert {(r.name, r.rule) for r in rules.violations(rows, ["name"], checks).collect()} == {(k, k) for k in bodies}
+
+
+def test_lint_patterns(spark):
+    texts = ["debugger ;", "debugger", f"API_KEY = '{'a' * 20}'", f"API_KEY = '{'a' * 19}'", "api_key = 'aaaaaaaaaaaaaaaaaaaaaaaa'", "eval (x)", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {(r.i, r.rule) for r in rules.violations(rows, ["i"], rules.lint_rules(F.col("text"))).collect()} == {(0, "debugger"), (2, "secret"), (5, "eval")}
+
+
+def test_names_files_and_terms(spark):
+    of = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
+    assert [r.name for r in rules.missing_names(of("a", "b"), of("b", "c"), "name").collect()] == ["a"]
+    assert [r.name for r in rules.present_names(of("a", "b"), of("b", "c"), "name").collect()] == ["b"]
+    files = spark.createDataFrame([("a.js", "x OLD y"), ("b.png", "old"), ("c.HTML", None)], "path string, text string")
+    assert [tuple(r) for r in rules.remaining_terms(files, "path", "text", ["old"]).collect()] == [("a.js", "old")]
+    assert [r.name for r in rules.without_file(of("a.js", "q", None), "name", files, "path").orderBy("name").collect()] == [None, "q"]

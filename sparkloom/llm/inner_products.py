@@ -16,7 +16,7 @@ CANDIDATES, QUERIES, BANDS = 8192, 2048, 16
 #: Vectors that the rotation is fitted on at most; it is exact for all.
 SAMPLE = 4096
 #: Candidates met at once, and numbers of rotated components after which partial sums are bounded.
-STEP, STAGES = 512, (8, 16, 32, 48)
+STEP, STAGES = 512, (16, 32, 48)
 
 
 def rotation(sample: np.ndarray) -> np.ndarray:
@@ -24,11 +24,6 @@ def rotation(sample: np.ndarray) -> np.ndarray:
     return np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) else np.eye(sample.shape[1])
 
 
-def _products(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """Inner products of the pairs (at, to), by blocks where most of ``n`` pairs are asked for."""
-    return (a @ b.T)[at, to] if len(at) * 4 > n else np.einsum("ij,ij->i", a[at], b[to])
-
-
 def search(queries: np.ndarray, query_id: np.ndarray, rows: np.ndarray, row_id: np.ndarray, row_name: np.ndarray, basis: np.ndarray, top: int, floor: np.ndarray | None = None):
     """(query number, row number, score) of each query's ``top`` best rows other than itself, ties to the smaller name, and the number of pairs scored.
 
@@ -55,15 +50,30 @@ def search(queries: np.ndarray, query_id: np.ndarray, rows: np.ndarray, row_id:
         if not len(active):
             break
         n = len(active) * len(some)
-        a, b = (x.ravel() for x in np.indices((len(active), len(some))))
-        partial, before = np.zeros(n), 0
+        partial, before, pairs = np.zeros((len(active), len(some))), 0, None
         for nth, s in enumerate(stages):
-            partial += _products(q[active, before:s], c[some, before:s], a, b, n)
-            stays = partial + q_rest[nth][active][a] * c_rest[nth][some][b] + slack[active][a] >= worst[active][a]
-            a, b, partial, before = a[stays], b[stays], partial[stays], s
+            mine, theirs, rests = q[active, before:s], c[some, before:s], (q_rest[nth][active], c_rest[nth][some])
+            least = worst[active] - slack[active]
+            if pairs is None:  # most are left: whole blocks
+                partial += mine @ theirs.T
+                stays = partial + rests[0][:, None] * rests[1] >= least[:, None]
+                if np.count_nonzero(stays) * 4 <= n:
+                    pairs = np.nonzero(stays)
+                    partial = partial[pairs]
+            else:
+                a, b = pairs
+                partial = partial + np.einsum("ij,ij->i", mine[a], theirs[b])
+                stays = partial + rests[0][a] * rests[1][b] >= least[a]
+                pairs, partial = (a[stays], b[stays]), partial[stays]
+            before = s
+        if pairs is None:
+            a, b = np.nonzero(stays) if stages else (x.ravel() for x in np.indices((len(active), len(some))))
+            score = (queries[active] @ rows[some].T)[a, b]
+        else:
+            a, b = pairs
+            score = np.einsum("ij,ij->i", queries[active[a]], rows[some[b]])
         other = query_id[active[a]] != row_id[some[b]]
-        a, b = a[other], b[other]
-        score = _products(queries[active], rows[some], a, b, n)
+        a, b, score = a[other], b[other], score[other]
         scored += len(a)
         a, b = active[a], some[b]
         enough = score >= worst[a]
@@ -109,7 +119,8 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
 
     usable = written(usable.select("uid", "id", "vector").mapInArrow(measure, "uid long, id long, vector binary, length double"), "lengths")
     n, asking = usable.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    edges = usable.agg(F.percentile_approx("length", [k / BANDS for k in range(1, BANDS)], 10_000)).first()[0] or []
+    bands = max(1, min(BANDS, n // CANDIDATES))
+    edges = (usable.agg(F.percentile_approx("length", [k / bands for k in range(1, bands)], 10_000)).first()[0] or []) if bands > 1 else []
     band = sum((F.when(F.col("length") >= x, 0).otherwise(1) for x in edges), F.lit(0)).alias("band")  # band 0 is the longest
     banded = usable.select("*", band)
     sizes = {b: (max(1, -(-m // CANDIDATES)), x) for b, m, x in banded.groupBy("band").agg(F.count("*"), F.max("length")).collect()}  # a row per band
@@ -117,7 +128,7 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
     sample = np.floor(SCALE * matrix(pa.array([x[0] for x in usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()], pa.binary()), size, dtype))
     basis = spark.sparkContext.broadcast(rotation(sample))
     salt = F.xxhash64("uid", F.lit(5))
-    groups = F.coalesce(F.get(F.array(*(F.lit(sizes.get(b, (1, 0.0))[0]) for b in range(BANDS))), F.col("band")), F.lit(1))
+    groups = F.coalesce(F.get(F.array(*(F.lit(sizes.get(b, (1, 0.0))[0]) for b in range(bands))), F.col("band")), F.lit(1))
     candidates = written(banded.select("band", F.pmod(salt, groups).cast("int").alias("g"), "uid", "id", "vector"), "candidates")
     queries = usable.where(F.col("id") % every == 0).select(F.pmod(salt, F.lit(askers)).cast("int").alias("a"), "uid", "id", "vector", "length")
 
@@ -138,8 +149,8 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
     first = met(candidates.where((F.col("band") == longest) & (F.col("g") == 0)), queries.select(F.lit(longest).alias("band"), F.lit(0).alias("g"), "a", "uid", "id", "vector", none.alias("floor")))
     floors = written(first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("worst")).where(F.col("n") >= top).select(F.col("query").alias("uid"), "worst"), "floors")
     reached = queries.join(floors, "uid", "left").select("a", "uid", "id", "vector", "length", F.coalesce("worst", none).alias("floor"))
-    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(m).alias("parts"), F.lit(x).alias("most")) for b, (m, x) in sorted(sizes.items()))) if sizes else F.array(F.struct(F.lit(0).alias("band"), F.lit(1).alias("parts"), F.lit(0.0).alias("most")))
-    visits = reached.select("*", F.explode(bands).alias("x")).where(F.col("length") * F.col("x.most") * (1 + 1e-9) + 1e-9 >= F.col("floor"))
+    held = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(m).alias("parts"), F.lit(x).alias("most")) for b, (m, x) in sorted(sizes.items()))) if sizes else F.array(F.struct(F.lit(0).alias("band"), F.lit(1).alias("parts"), F.lit(0.0).alias("most")))
+    visits = reached.select("*", F.explode(held).alias("x")).where(F.col("length") * F.col("x.most") * (1 + 1e-9) + 1e-9 >= F.col("floor"))
     visits = visits.select(F.col("x.band").alias("band"), F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("g"), "a", "uid", "id", "vector", "floor")
     found = met(candidates, visits)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

@@ -81,6 +81,16 @@ def canonical_url(site: str, locale: Column, route: Column) -> Column:
     return F.concat(F.lit(site), localized_path(locale, route))
 
 
+def localized_url(locale: Column, route: Column) -> Column:
+    """The localized path followed by the route's own query, from its first question mark on."""
+    return F.concat(localized_path(locale, route), F.regexp_extract(F.coalesce(route, F.lit("")), r"(?s)(\?.*)$", 1))
+
+
+def parsed_or(text: Column, schema: str, fallback: Column) -> Column:
+    """JSON text as a value of a type, or ``fallback`` where it is null, empty, broken or of another type."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(F.nullif(text, F.lit(""))), "$", schema), fallback)
+
+
 def segments(route: Column) -> Column:
     """The route's parts that aren't empty."""
     return F.filter(F.split(route, "/"), lambda x: x != "")
@@ -153,7 +163,7 @@ def label(code: Column, labels: Mapping[str, str]) -> Column:
 def reference_code(kind: Column, key: Column, year: int, brand: str = "REF") -> Column:
     """A reference with a prefix for the kind, the year, and five characters that the key determines."""
     prefix = F.when(kind.contains("Tuning"), "TUNE").when(kind.contains("Engine"), "ENG").when(kind.contains("Parts"), "PART").otherwise("WEB")
-    code = F.substring(F.conv(F.hex(F.xxhash64(key)), 16, 36), 1, 5)
+    code = F.substring(F.conv(F.substring(F.md5(key.cast("string")), 1, 10), 16, 36), 1, 5)
     return F.concat_ws("-", F.lit(brand), prefix, F.lit(str(year)), F.lpad(code, 5, "0"))
 
 

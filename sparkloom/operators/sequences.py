@@ -10,16 +10,49 @@ from pyspark.sql import functions as F
 from ..functions.scalars import padded_ordinal
 
 
+#: Keys that the order is cut by are taken from a sample of this size, into this many stretches.
+SAMPLE, STRETCHES = 8192, 256
+
+
+def _stretch(key: Column, cuts: list) -> Column:
+    """The number of cuts that don't lie above the key, by halving; null keys come first."""
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= cuts[middle], among(middle + 1, high)).otherwise(among(low, middle))
+    return among(0, len(cuts))
+
+
 def ring(items: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """Each item's ``position`` and ``n_items`` in its group, a label ``i / n``, and the next and previous key round the ring."""
-    ordered = Window.partitionBy(*group).orderBy(key)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    position, n = F.row_number().over(ordered), F.count("*").over(whole)
-    return items.select(
-        *group, key, position.alias("position"), n.alias("n_items"), padded_ordinal(position).alias("ordinal"),
+    """Each item's ``position`` and ``n_items`` in its group, a label ``i / n``, and the next and previous key round the ring.
+
+    Items are sorted within stretches of their group's order, so that one with
+    a third of all rows isn't sorted in one task; the stretches' counts and
+    ends, at most ``STRETCHES`` rows a group, place them in the whole. Null
+    keys come first; a null group is a group. An empty table gives an empty one.
+    """
+    some = items.where(F.col(key).isNotNull()).select(key, F.xxhash64(*group, key).alias("h")).orderBy("h").limit(SAMPLE)
+    sample = sorted(row[0] for row in some.collect())
+    cuts = sorted({sample[len(sample) * i // STRETCHES] for i in range(1, STRETCHES)}) if sample else []
+    placed = items.select(*group, key, _stretch(F.col(key), cuts).alias("__stretch"))
+    inside = Window.partitionBy(*group, "__stretch").orderBy(key)
+    numbered = placed.withColumns({"__at": F.row_number().over(inside), "__next": F.lead(F.struct(key)).over(inside), "__previous": F.lag(F.struct(key)).over(inside)})
+    held = placed.groupBy(*group, "__stretch").agg(F.count("*").alias("n"), F.min(F.struct(key)).alias("low"), F.max(F.struct(key)).alias("high"))
+    across = Window.partitionBy(*group).orderBy("__stretch")
+    whole, earlier = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = held.select(
+        *(F.col(g).alias(f"__end_{i}") for i, g in enumerate(group)), F.col("__stretch").alias("__end"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"), F.sum("n").over(whole).alias("n_items"),
+        F.coalesce(F.lead("low").over(across), F.first("low").over(whole)).alias("__after"), F.coalesce(F.lag("high").over(across), F.last("high").over(whole)).alias("__back"),
+    )
+    same = F.col("__stretch") == F.col("__end")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"__end_{i}"))
+    position, n = (F.col("__before") + F.col("__at")).cast("int"), F.col("n_items")
+    return numbered.join(ends, same).select(
+        *group, key, position.alias("position"), n, padded_ordinal(position).alias("ordinal"),
         F.concat_ws(" / ", position.cast("string"), n.cast("string")).alias("position_label"),
-        F.coalesce(F.lead(key).over(ordered), F.first(key).over(whole)).alias("next_key"),
-        F.coalesce(F.lag(key).over(ordered), F.last(key).over(whole)).alias("previous_key"),
+        F.coalesce("__next", "__after")[key].alias("next_key"), F.coalesce("__previous", "__back")[key].alias("previous_key"),
     )
 
 

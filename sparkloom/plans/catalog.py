@@ -96,11 +96,11 @@ SELECT * FROM numbered WHERE element IN (SELECT p_partkey FROM part WHERE p_size
 
 
 def named_in_order(spark, sf_dir: str) -> DataFrame:
-    names = ["NATION_7", "NATION_3", "NATION_99", "NATION_12"]
-    return O.in_given_order(names, table(spark, sf_dir, "nation"), "n_name").select("pos", "n_name", "n_nationkey")
+    names = ["Customer#000000007", "Customer#000000003", "nobody", "Customer#000000012"]
+    return O.in_given_order(names, table(spark, sf_dir, "customer"), "c_name").select("pos", "c_name", "c_custkey")
 
 
-NAMED_IN_ORDER = "SELECT pos, n_name, n_nationkey FROM nation JOIN (VALUES (CAST(0 AS BIGINT), 'NATION_7'), (1, 'NATION_3'), (2, 'NATION_99'), (3, 'NATION_12')) w(pos, name) ON n_name = name"
+NAMED_IN_ORDER = "SELECT pos, c_name, c_custkey FROM customer JOIN (VALUES (CAST(0 AS BIGINT), 'Customer#000000007'), (1, 'Customer#000000003'), (2, 'nobody'), (3, 'Customer#000000012')) w(pos, name) ON c_name = name"
 
 
 def bridge_top(spark, sf_dir: str) -> DataFrame:

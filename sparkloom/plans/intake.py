@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import catalog
 from ..operators import intake as O
+from ..sources import sinks
 from ..sources.session import shared_folder
-from ..sources.tables import table
+from ..sources.tables import keyed_state, table
 from ..streaming import intake as streaming
 
 
@@ -122,6 +123,51 @@ SELECT e.user_id, e.item, min(event_id) AS added FROM e LEFT JOIN g ON e.user_id
 WHERE event_type <> 'error' AND (gone IS NULL OR event_id > gone) GROUP BY e.user_id, e.item
 """
 
+
+def basket_written(spark, sf_dir: str) -> DataFrame:
+    """The baskets as keyed state, written and read back."""
+    folder = f"{shared_folder(spark)}/baskets-{uuid.uuid4().hex}"
+    sinks.write_state(basket_state(spark, sf_dir), folder, ["user_id", "item"])
+    return keyed_state(spark, folder, "added long")
+
+
+def basket_streamed(spark, sf_dir: str) -> DataFrame:
+    """The baskets that a stream over the events' files leaves; each batch replaces the items that it changed."""
+    events = table(spark, sf_dir, "events")
+    arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    changes = arriving.select("user_id", F.get_json_object("props", "$.k").alias("item"), "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
+    folder = f"{shared_folder(spark)}/baskets-{uuid.uuid4().hex}"
+    state = streaming.basket_stream(changes, "user_id", "item", "event_id", "action")
+    batch = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    state.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    written = spark.read.option("basePath", f"{folder}/out").schema("user_id long, item string, added long, batch int").parquet(f"{folder}/out/batch=*")
+    last = written.groupBy("user_id", "item").agg(F.max_by("added", "batch").alias("added"))
+    return last.where("added IS NOT NULL")
+
+
+def parsed_props(spark, sf_dir: str) -> DataFrame:
+    """Stored JSON, some of it broken, blank or of another type, with a fallback."""
+    kept = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).when(F.col("event_type") == "view", "").when(F.col("event_id") % 9 == 0, "[1]").otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", S.parsed_or(kept, "map<string,int>", F.create_map(F.lit("k"), F.lit(-1)))["k"].alias("k"))
+
+
+PARSED_PROPS = """
+SELECT event_id, CASE WHEN event_type IN ('error', 'view') OR event_id % 9 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events
+"""
+
+
+def reference_codes(spark, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "GM HP Tuners Online Tuning").when(F.col("event_type") == "view", "Engine Build Enquiry").when(F.col("event_type") == "error", "Brand / Parts Enquiry").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", S.reference_code(kind, F.col("event_id"), 2024).alias("ref"))
+
+
+REFERENCE_CODES = """
+SELECT event_id, 'REF-' || CASE event_type WHEN 'click' THEN 'TUNE' WHEN 'view' THEN 'ENG' WHEN 'error' THEN 'PART' ELSE 'WEB' END || '-2024-' ||
+       lpad(to_base(CAST('0x' || md5(CAST(event_id AS VARCHAR))[1:10] AS BIGINT), 36)[1:5], 5, '0') AS ref
+FROM events
+"""
+
+
 def delivery_modes(spark, sf_dir: str) -> DataFrame:
     decided = O.decide(_submissions(spark, sf_dir), F.lit(9000), F.col("k") % 4 != 1, F.col("k") % 10 != 3)
     mode = F.when(F.col("k") % 3 == 0, "api").when(F.col("k") % 3 == 1, "auto").otherwise("whatsapp")
@@ -155,4 +201,8 @@ QUERIES = {
     "hand_off_text": (hand_off_text, HAND_OFF_TEXT),
     "basket_first": (basket_first, BASKET_FIRST),
     "basket_state": (basket_state, BASKET_STATE),
+    "basket_written": (basket_written, BASKET_STATE),
+    "basket_streamed": (basket_streamed, BASKET_STATE),
+    "parsed_props": (parsed_props, PARSED_PROPS),
+    "reference_codes": (reference_codes, REFERENCE_CODES),
 }

@@ -27,6 +27,13 @@ def write_sitemap(entries: DataFrame, folder: str, order: str = "pos") -> None:
     part.select(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("value")).write.mode("overwrite").text(folder)
 
 
+def write_state(state: DataFrame, folder: str, keys: list[str], buckets: int = 64) -> None:
+    """Keyed state: ``keys`` and the other columns as JSON, in a folder for each bucket of the keys, replacing what was there."""
+    rest = F.to_json(F.struct(*(c for c in state.columns if c not in keys)), {"ignoreNullFields": "false"})
+    placed = state.select(*keys, rest.alias("state"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"))
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
 def write_report(violations: DataFrame, folder: str) -> None:
     """Violations as Parquet by rule."""
     violations.write.mode("overwrite").partitionBy("rule").parquet(folder)

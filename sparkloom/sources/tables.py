@@ -31,6 +31,12 @@ def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
+def keyed_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What ``sinks.write_state`` wrote, with the JSON read as a given schema."""
+    rows = spark.read.parquet(folder)
+    return rows.select(*(c for c in rows.columns if c not in ("state", "bucket")), F.from_json("state", schema).alias("s")).select("*", "s.*").drop("s")
+
+
 def submissions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Submissions from lines of JSON; a line that can't be read comes with nulls and its text in ``_corrupt_record``."""
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.intake import SUBMISSION, decide
@@ -34,6 +37,29 @@ def deliver(decided: DataFrame, folder: str, checkpoint: str, sink: Callable[[Da
     return decided.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def basket_stream(changes: DataFrame, owner: str, item: str, time: str, late: str = "1 hour") -> DataFrame:
-    """Insertions without what an owner's basket already holds; state is dropped once it is ``late``."""
-    return changes.withWatermark(time, late).dropDuplicatesWithinWatermark([owner, item])
+def basket_stream(changes: DataFrame, owner: str, item: str, order: str, action: str) -> DataFrame:
+    """``owner``, ``item``, ``added``: an item's state after each batch that changes it, for a sink in update mode; ``added`` is null once it is out.
+
+    The same as ``operators.intake.basket``: inserting what is there changes
+    nothing, and removing takes it out (of equal numbers, the removal counts
+    last). A later batch's changes count as later. State is one number for
+    each owner and item that is in, so an owner's basket isn't held in one place.
+    """
+    kinds = {f.name: f.dataType for f in changes.schema.fields}
+    out = T.StructType([T.StructField(owner, kinds[owner]), T.StructField(item, kinds[item]), T.StructField("added", T.LongType())])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["order", "out"], kind="stable")
+        gone = rows["out"].to_numpy().nonzero()[0]
+        added = state.get[0] if state.exists and not len(gone) else None
+        after = rows["order"].iloc[gone[-1] + 1 :] if len(gone) else rows["order"]
+        if added is None and len(after):
+            added = int(after.iloc[0])
+        if added is not None:
+            state.update((added,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({owner: [key[0]], item: [key[1]], "added": pd.array([added], "Int64")})
+
+    plain = changes.select(owner, item, F.col(order).cast("long").alias("order"), F.coalesce(F.col(action) == "remove", F.lit(False)).alias("out"))
+    return plain.groupBy(owner, item).applyInPandasWithState(step, out, "added long", "update", "NoTimeout")

@@ -126,3 +126,17 @@ def test_names_files_and_terms(spark):
     files = spark.createDataFrame([("a.js", "x OLD y"), ("b.png", "old"), ("c.HTML", None)], "path string, text string")
     assert [tuple(r) for r in rules.remaining_terms(files, "path", "text", ["old"]).collect()] == [("a.js", "old")]
     assert [r.name for r in rules.without_file(of("a.js", "q", None), "name", files, "path").orderBy("name").collect()] == [None, "q"]
+
+
+def test_ring_over_stretches_equals_one_window(spark, monkeypatch):
+    """Hot, single, null and empty groups, with a null key, over many stretches."""
+    rows = [("hot", i) for i in range(400)] + [("one", 7), (None, 3), (None, 1), ("null", None), ("null", 2)]
+    items = spark.createDataFrame(rows, "g string, k int")
+    monkeypatch.setattr(sequences, "STRETCHES", 37)
+    found = {(r.g, r.k): (r.position, r.n_items, r.next_key, r.previous_key) for r in sequences.ring(items, ["g"], "k").collect()}
+    wanted = {}
+    for g in {g for g, _ in rows}:
+        keys = sorted((k for h, k in rows if h == g), key=lambda k: (k is not None, k or 0))
+        wanted |= {(g, k): (i + 1, len(keys), keys[(i + 1) % len(keys)], keys[i - 1]) for i, k in enumerate(keys)}
+    assert found == wanted
+    assert sequences.ring(items.limit(0), ["g"], "k").collect() == []

@@ -66,3 +66,14 @@ def test_json_script_keeps_nulls_and_hides_markup(spark):
 def test_sprite(spark):
     across, down = S.sprite_offsets(F.lit(12))
     assert (one(spark, across), one(spark, down)) == (25.0, pytest.approx(22.2222))
+
+
+@pytest.mark.parametrize("route, wanted", [("/a/b?x=1?y", "en/a/b/?x=1?y"), ("?q", "en/?q"), (None, "en/"), ("/a#b", "en/a#b/")])
+def test_localized_url_keeps_the_query(spark, route, wanted):
+    assert one(spark, S.localized_url(F.lit("en"), F.lit(route).cast("string"))) == wanted
+
+
+@pytest.mark.parametrize("text, wanted", [('[{"a":1}]', [1]), ("", []), (None, []), ("{broken", []), ('{"a":1}', []), ("[]", [])])
+def test_parsed_or_fallback(spark, text, wanted):
+    found = one(spark, S.parsed_or(F.lit(text).cast("string"), "array<struct<a:int>>", F.array().cast("array<struct<a:int>>")))
+    assert [x.a for x in found] == wanted

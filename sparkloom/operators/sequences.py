@@ -11,7 +11,7 @@ from ..functions.scalars import padded_ordinal
 
 
 #: Keys that the order is cut by are taken from a sample of this size, into this many stretches.
-SAMPLE, STRETCHES = 8192, 256
+SAMPLE, STRETCHES = 8192, 64
 
 
 def _stretch(key: Column, cuts: list) -> Column:

@@ -140,9 +140,9 @@ def basket_streamed(spark, sf_dir: str) -> DataFrame:
     state = streaming.basket_stream(changes, "user_id", "item", "event_id", "action")
     batch = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
     state.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    written = spark.read.option("basePath", f"{folder}/out").schema("user_id long, item string, added long, batch int").parquet(f"{folder}/out/batch=*")
-    last = written.groupBy("user_id", "item").agg(F.max_by("added", "batch").alias("added"))
-    return last.where("added IS NOT NULL")
+    written = spark.read.option("basePath", f"{folder}/out").schema("user_id long, item string, held boolean, since long, batch int").parquet(f"{folder}/out/batch=*")
+    last = written.groupBy("user_id", "item").agg(F.max_by(F.struct("held", "since"), "batch").alias("s"))
+    return last.where("s.held").select("user_id", "item", F.col("s.since").alias("added"))
 
 
 def parsed_props(spark, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_basket_stream_equals_the_batch(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         changes = spark.readStream.schema(kinds).parquet(f"file://{tmp_path}/in")
-        keep = lambda found, _: last.update({(r.who, r.item): r.added for r in found.collect()})
+        keep = lambda found, _: last.update({(r.who, r.item): r.since if r.held else None for r in found.collect()})
         query = streaming.basket_stream(changes, "who", "item", "t", "action").writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
         assert query.awaitTermination(120)
     whole = intake.basket(spark.createDataFrame(sum(batches, []), kinds), "who", "item", "t", F.col("action"))

@@ -37,8 +37,11 @@ from .shared import renamed, written
 
 #: Text bytes that one reference block holds, about; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Text bytes for each bucket of hashes, about, and blocks that meet under one salt.
-BUCKET_BYTES, SALTED = 32 << 20, 1024
+#: Text bytes for each bucket of hashes, about.
+BUCKET_BYTES = 32 << 20
+#: Blocks that meet under one salt, about: as a block tells a hash once, what a very common one adds to a group (40 MB). Fewer
+#: would only cut the other hashes into groups of a few entries.
+SALTED = 1 << 20
 _COUNTER_BITS = 33
 
 

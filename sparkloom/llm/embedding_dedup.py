@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +12,19 @@ from pyspark.sql import functions as F
 
 from .blobs import packed, unpacked
 from .components import Forest, star_components
-from .shared import written
+from .shared import sampled, written
 from .spans import mix
 from .vectors import matrix, numbered_vectors, units
 
 COSINE = 0.95
-#: Vectors that the centres are fitted on at most; all vectors are assigned.
-SAMPLE = 8192
-#: Vectors in a cell, about, and cells at most; larger cells are dealt to blocks.
-CELL, CELLS = 8192, 256
+#: Vectors in a cell, about; larger cells are dealt to blocks.
+CELL = 8192
+#: Cells of the first level, cells within one of these, and cells in all, at most.
+COARSE, FINE, CELLS = 256, 256, 4096
+#: Vectors that the centres are fitted on for each cell, vectors at least, and their bytes at most; all vectors are assigned.
+FITTED, SAMPLE, SAMPLE_BYTES = 32, 8192, 32 << 20
 #: Vectors on either side of one block of products, about: the fewer blocks, the fewer copies of a vector.
-BLOCK = 8192
+BLOCK = 16_384
 #: What a row is in a block: a member of the cell by a copy, a vector that asks the members, one of the cell's own.
 _MEMBER, _ASKS, _OWN = 1, 2, 4
 
@@ -44,29 +47,67 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray
     return centres
 
 
-def cells_of(vectors: np.ndarray, centres: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Cells:
+    """The centres of the first level and, for each, of the cells within its own; each with their distances from each other."""
+
+    coarse: tuple[np.ndarray, np.ndarray]
+    fine: list[tuple[np.ndarray, np.ndarray]]
+
+    def __len__(self) -> int:
+        return sum(len(centres) for centres, _ in self.fine)
+
+
+def fit_cells(sample: np.ndarray, cells: int) -> Cells:
+    """About ``cells`` cells in two levels; a cell of the first has as many within it as its part of the sample asks for."""
+    apart = lambda centres: np.array([np.linalg.norm(centres - x, axis=1) for x in centres])
+    coarse = spherical_kmeans(sample, max(1, min(COARSE, cells, len(sample))))
+    home, fine = np.argmax(sample @ coarse.T, axis=1), []
+    for k in range(len(coarse)):
+        mine = sample[home == k]
+        n = min(FINE, cells * len(mine) // max(len(sample), 1), len(mine))
+        fine.append(spherical_kmeans(mine, n) if n > 1 else coarse[k : k + 1])
+    return Cells((coarse, apart(coarse)), [(x, apart(x)) for x in fine])
+
+
+def cells_of(vectors: np.ndarray, cells: Cells, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, own): each vector's cell and the later cells that a vector within the angle may belong to.
 
     If y is nearer to centre j than to x's centre h, the plane between the two
     lies between x and y, so the sine of their angle is at least x's distance
-    from it. Of two cells the earlier one's vectors visit the later's.
+    from it. Of two cells the earlier one's vectors visit the later's. This
+    holds among the centres of the first level, and again among those within
+    one of its cells, also for an x that comes from another.
     """
-    dots = vectors @ centres.T
-    home = np.argmax(dots, axis=1)
-    apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
-    reach = np.sqrt(1 - cosine * cosine) * apart[home] + 1e-9
-    visits = (dots[np.arange(len(home)), home][:, None] - dots <= reach) & (np.arange(len(centres)) >= home[:, None])
-    visits[np.arange(len(home)), home] = True
-    row, cell = np.nonzero(visits)
-    return row, cell, cell == home[row]
+    sine = np.sqrt(1 - cosine * cosine)
+
+    def reached(vectors: np.ndarray, centres: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dots = vectors @ centres.T
+        home = np.argmax(dots, axis=1)
+        return dots[np.arange(len(home)), home][:, None] - dots <= sine * apart[home] + 1e-9, home
+
+    near, home = reached(vectors, *cells.coarse)
+    near &= np.arange(near.shape[1]) >= home[:, None]
+    rows, places, owns, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
+    for k, fine in enumerate(cells.fine):
+        at = np.flatnonzero(near[:, k])
+        inside, nearest = reached(vectors[at], *fine)
+        own = home[at] == k
+        inside &= ~own[:, None] | (np.arange(inside.shape[1]) >= nearest[:, None])
+        row, place = np.nonzero(inside)
+        rows.append(at[row])
+        places.append(first + place)
+        owns.append(own[row] & (place == nearest[row]))
+        first += len(fine[0])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(owns)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row of ``vectors`` its id, ``n_links``, ``component_id`` and ``kept``.
 
     Vectors whose cosine, in doubles, is at least ``cosine`` are linked. Cells
-    of spherical k-means share out the work and lose no link, as vectors near
-    a cell's edge visit the cells beyond it. A cell's members and visitors are
+    of spherical k-means, in two levels, share out the work and lose no link,
+    as vectors near a cell's edge visit the cells beyond it. A cell's members and visitors are
     dealt to blocks by a hash, so that a cell with a third of all rows becomes
     many block products; these return counts and spanning forests, not pairs.
     Rows travel as packed matrices, one for each batch and block.
@@ -80,10 +121,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     rows, size, dtype = numbered_vectors(vectors, id_col, vector_col)
     usable = rows.where("valid").select("uid", "vector")
     n = usable.count()
-    taken = usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()
+    cells = max(1, min(CELLS, n // CELL))
+    most = max(1, min(max(SAMPLE, FITTED * cells), SAMPLE_BYTES // (size * dtype().itemsize)))
+    taken = sampled(usable, F.xxhash64("uid"), n, most).select("vector").collect()
     sample = units(matrix(pa.array([x[0] for x in taken], pa.binary()), size, dtype))
     sample = sample[sample.any(axis=1)]
-    centres = spherical_kmeans(sample, min(CELLS, max(1, n // CELL), max(1, len(sample))))
+    centres = fit_cells(sample, cells)
 
     def placed(batch: pa.RecordBatch):
         unit = units(matrix(batch.column(1), size, dtype))

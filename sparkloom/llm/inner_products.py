@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import sampled, written
 from .vectors import matrix, numbered_vectors
 
 TOP, EVERY, SCALE = 20, 20, 64
@@ -125,7 +125,7 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, i
     banded = usable.select("*", band)
     sizes = {b: (max(1, -(-m // CANDIDATES)), x) for b, m, x in banded.groupBy("band").agg(F.count("*"), F.max("length")).collect()}  # a row per band
     askers = max(1, -(-asking // QUERIES))
-    sample = np.floor(SCALE * matrix(pa.array([x[0] for x in usable.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vector").collect()], pa.binary()), size, dtype))
+    sample = np.floor(SCALE * matrix(pa.array([x[0] for x in sampled(usable, F.xxhash64("uid"), n, SAMPLE).select("vector").collect()], pa.binary()), size, dtype))
     basis = spark.sparkContext.broadcast(rotation(sample))
     salt = F.xxhash64("uid", F.lit(5))
     groups = F.coalesce(F.get(F.array(*(F.lit(sizes.get(b, (1, 0.0))[0]) for b in range(bands))), F.col("band")), F.lit(1))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.session import shared_folder
 
@@ -27,6 +29,12 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def sampled(df: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """``most`` of the ``n`` rows, or all, chosen by the hash ``key``; few others are left when the sort begins, however many tasks there are."""
+    share = min(1.0, 1.25 * most / max(n, 1))
+    return df.where(F.pmod(key, F.lit(1 << 40)) < math.ceil(share * (1 << 40))).orderBy(key).limit(most)
+
+
 def renamed(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """``df`` under the names c0, c1, ..., and these by the columns' own names, so that no column clashes with an operator's; columns in ``without`` are left out."""
     names = {c: f"c{i}" for i, c in enumerate(c for c in df.columns if c not in without)}

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from . import spans
 from .blobs import packed, unpacked
 from .components import Forest, star_components
-from .shared import written
+from .shared import sampled, written
 
 WORDS, MOST_BITS, SEED = 4, 4, 42
 #: Fingerprints, taken by hash, that the upper tree is built from at most.
@@ -189,7 +189,7 @@ def _parts(sample: np.ndarray, heap: list, n: int, most: int) -> np.ndarray:
 def _edges(classes: DataFrame, most: int) -> DataFrame:
     """A spanning forest's edges (a, b: fingerprints) of the graph of near fingerprints; ``classes`` has the column f0."""
     n = classes.count()
-    rows = classes.select("f0").orderBy(F.xxhash64(F.lit(1), "f0"), "f0").limit(SAMPLE).collect()
+    rows = sampled(classes.select("f0"), F.xxhash64(F.lit(1), "f0"), n, SAMPLE).collect()
     sample = np.array([x[0] for x in rows], np.int64).view(np.uint64)[:, None]
     heap = build_tree(sample, min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD))))))
     parts = _parts(sample, heap, n, most)

@@ -200,11 +200,26 @@ def vectors(n=400, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("block", [8192, 16])
-def test_embeddings_equal_brute_force(spark, monkeypatch, block):
+def test_cells_in_two_levels_lose_no_near_vector():
+    r = np.random.default_rng(4)
+    rows = np.repeat(r.normal(size=(60, 5)), 12, axis=0) + r.normal(size=(720, 5)) * 0.2
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for cells in (embedding_dedup.fit_cells(rows[::3], 40), embedding_dedup.fit_cells(rows[:1], 40), embedding_dedup.fit_cells(rows[:0], 1)):
+        row, cell, own = embedding_dedup.cells_of(rows, cells, 0.95)
+        assert own.sum() == len(rows) and sorted(row[own]) == list(range(len(rows))) and cell.max() < len(cells)
+        home = dict(zip(row[own].tolist(), cell[own].tolist(), strict=True))
+        visits = set(zip(row.tolist(), cell.tolist(), strict=True))
+        for a, b in zip(*np.nonzero(rows @ rows.T >= 0.95), strict=True):
+            assert (int(a), home[int(b)]) in visits or (int(b), home[int(a)]) in visits
+    assert embedding_dedup.cells_of(rows[:0], cells, 0.95)[0].size == 0
+
+
+@pytest.mark.parametrize("block, coarse", [(8192, 256), (16, 256), (16, 3)])
+def test_embeddings_equal_brute_force(spark, monkeypatch, block, coarse):
     rows = vectors()
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     monkeypatch.setattr(embedding_dedup, "CELL", 50)
+    monkeypatch.setattr(embedding_dedup, "COARSE", coarse)
     unit = {}
     for i, v in rows:
         if v and None not in v and np.isfinite(v).all() and np.any(v):

@@ -6,8 +6,9 @@ import pytest
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sparkloom.llm import components, embedding_dedup, line_dedup, repeats, simhash, spans, substring_dedup
+from sparkloom.llm import components, embedding_dedup, line_dedup, repeats, shared, simhash, spans, substring_dedup
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, n_words string, __key int"
@@ -237,3 +238,9 @@ def test_embeddings_with_repeated_and_null_ids_and_clashing_columns(spark):
     rows = [(5, [1.0, 0.0], 1, "x"), (5, [1.0, 0.0], 2, "y"), (None, [2.0, 0.0], 3, "z"), (7, [0.0, 1.0], 4, "u"), (7, [0.0, 1.0], 4, "u"), (None, [-1.0, 0.0], 5, "v"), (3, None, 6, "w")]
     found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int, component string"))
     assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, False), (3, 0, 3, True)], key=str)
+
+
+def test_samples_have_their_size(spark):
+    for n, most in ((0, 5), (3, 5), (5000, 4500), (20_000, 1000)):
+        rows = shared.sampled(spark.range(n), F.xxhash64("id"), n, most).collect()
+        assert len(rows) == len({r.id for r in rows}) == min(n, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, inner_products, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import embedding_dedup, inner_products, lexical_search, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_exact_top_k": inner_products.op9_exact_top_k,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 ORACLES = {
     "op2_url_filter": url_filter.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_source_mixing": mixing.OP7_SQL,
     "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_exact_top_k": inner_products.OP9_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }

@@ -10,6 +10,13 @@ _SLOTS = 1 << 18
 _SPREAD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Merges:
     """The merges of a vocabulary file, looked up by pair in an open-addressed table.
 
@@ -23,10 +30,7 @@ class Merges:
         vocabulary, merges = held["model"]["vocab"], held["model"]["merges"]
         suffix = held["model"].get("end_of_word_suffix") or ""
         self.special = [x["content"] for x in held.get("added_tokens", [])]
-        # the byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        letters = byte_letters()
         self.of_byte = np.array([vocabulary[letters[b]] for b in range(256)], np.int64)
         self.of_last = np.array([vocabulary[letters[b] + suffix] for b in range(256)], np.int64)
         self.size = max(vocabulary.values()) + 1

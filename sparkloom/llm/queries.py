@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, inner_products, lexical_search, line_dedup, mixing, packing, simhash, substring_dedup, token_alignment, token_counts, toxicity, url_filter
+from . import embedding_dedup, inner_products, language_model, lexical_search, line_dedup, mixing, packing, simhash, substring_dedup, token_alignment, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": inner_products.op9_exact_top_k,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_lm_scoring": language_model.op12_lm_scoring,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES = {

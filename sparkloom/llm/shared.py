@@ -20,6 +20,15 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder whose files hold the rows of a hash of ``key``: grouping or joining by it later moves the other side only."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(spark)}/{table}")
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that only tables already written were made from."""
     for table in tables:

@@ -25,7 +25,7 @@ from .shared import written
 #: Text bytes of one block of documents, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Stretches whose alignment a worker keeps; beyond, it forgets all before the next block.
-KEPT_STRETCHES = 1_000_000
+KEPT_STRETCHES = 300_000
 #: Linked pairs that a task adds up before it tells them.
 HELD_PAIRS = 2_000_000
 #: Linked pairs of blocks for each bucket, about.

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json import strict_json
+
 #: C0 controls other than tab, line feed and carriage return, and delete.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _CONTROL_CHARACTERS = "".join(map(chr, [*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
@@ -88,7 +90,7 @@ def localized_url(locale: Column, route: Column) -> Column:
 
 def parsed_or(text: Column, schema: str, fallback: Column) -> Column:
     """JSON text as a value of a type, or ``fallback`` where it is null, empty, broken or of another type."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(F.nullif(text, F.lit(""))), "$", schema), fallback)
+    return F.coalesce(F.try_variant_get(strict_json(text), "$", schema), fallback)
 
 
 def segments(route: Column) -> Column:
@@ -134,11 +136,11 @@ def encode_component(text: Column) -> Column:
 
 
 def is_email(text: Column) -> Column:
-    return F.coalesce(F.rlike(text, F.lit(r"^\S+@\S+\.\S+$")), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(r"^\S+@\S+\.\S+\z")), F.lit(False))
 
 
 def is_year(text: Column) -> Column:
-    return F.coalesce(F.rlike(text, F.lit("^[0-9]{4}$")), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(r"^[0-9]{4}\z")), F.lit(False))
 
 
 def first_match(text: Column, cases: Sequence[tuple[str, Sequence[str]]], default: str | None = "") -> Column:
@@ -147,7 +149,8 @@ def first_match(text: Column, cases: Sequence[tuple[str, Sequence[str]]], defaul
     for name, terms in cases:
         hit = None
         for term in terms:
-            hit = low.contains(term) if hit is None else hit | low.contains(term)
+            found = low.contains(term.lower())
+            hit = found if hit is None else hit | found
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 

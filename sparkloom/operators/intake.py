@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clean_text, first_filled
+from ..functions import json
+from ..functions.scalars import clean_text
+from ..sources.session import json_settings
 
 #: Limits of the intake.
 MOST_BYTES, LEAST_MILLISECONDS, MOST_FIELDS, MOST_NAMES = 32_000, 1200, 80, 15
@@ -16,7 +18,7 @@ TYPES = (
     "Engine Build Enquiry", "Parts Enquiry", "Brand / Parts Enquiry", "Project Consultation", "Technical Enquiry",
     "MHD Online Tuning", "Porsche COBB Online Tuning", "GM HP Tuners Online Tuning",
 )
-TYPE_PATTERN = r"^[A-Za-z0-9/&+.,() -]{2,100} Enquiry$"
+TYPE_PATTERN = r"^[A-Za-z0-9/&+.,() -]{2,100} Enquiry\z"
 #: Fields that don't belong to the answers.
 RESERVED = ("website", "startedAt")
 
@@ -39,29 +41,39 @@ def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = N
     ``now_ms`` is an argument, so that a decision can be repeated; ``configured``
     and ``delivered`` tell whether a backend is there and whether it took the
     form (both true if left out). Text that isn't a number never passes a
-    comparison of numbers. The body is parsed once, in a projection below the
+    comparison of numbers.
+
+    The body must be one JSON value and nothing after it; of a repeated key the
+    last counts. Its values keep their types: null, false, 0 and the empty
+    string aren't given where a field gives way to the next; an empty list is
+    blank, but is given. The body is parsed once, in a projection below the
     decision.
     """
+    json_settings(submissions.sparkSession)
     text = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit("{}"))
     parsed = submissions.withColumns({
-        "__body": F.try_parse_json(text), "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)),
+        "__body": json.strict_json(text), "__object": json.is_object(text), "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)),
         "__ok": F.lit(True) if configured is None else configured, "__done": F.lit(True) if delivered is None else delivered,
     })
-    read = lambda path: F.try_variant_get("__body", f"$.{path}", "string")
+    value = lambda path: json.member(F.col("__body"), path)
+    parsed = parsed.withColumns({f"__{n}": value(n) for n in ("website", "startedAt", "ref", "type")} | {f"__{n}": value(f"fields.{n}") for n in ("name", "phone", "vehicle", "message", "modifications", "engineDetails")})
+    last = F.col("__engineDetails")
+    for name in ("__modifications", "__message"):
+        last = F.when(json.is_truthy(F.col(name)), F.col(name)).otherwise(last)
     parsed = parsed.withColumns({
-        "__shape": F.schema_of_variant("__body"), "__origin": origin_host(F.col("__sent")), "__website": read("website"), "__started": read("startedAt"), "__ref": clean_text(read("ref"), 80), "__type": read("type"),
-        "__name": read("fields.name"), "__phone": read("fields.phone"), "__vehicle": read("fields.vehicle"), "__words": first_filled(*(read(f"fields.{n}") for n in ("message", "modifications", "engineDetails"))),
+        "__origin": origin_host(F.col("__sent")), "__started": json.number_of(F.col("__startedAt")), "__words": json.text_of(last),
+        **{f"__{n}": json.text_of(F.col(f"__{n}")) for n in ("website", "type", "name", "phone", "vehicle")}, "__ref": clean_text(json.text_of(F.col("__ref")), 80),
     })
-    started = F.coalesce(F.col("__started").try_cast("double"), F.lit(0.0))
+    started = F.coalesce(F.col("__started"), F.lit(0.0))
     given = lambda name, limit: clean_text(F.col(name), limit) != ""
     filled = (F.col("__ref") != "") & valid_type(clean_text(F.col("__type"), 120)) & given("__name", 200) & given("__phone", 200) & given("__vehicle", 300) & given("__words", 3000)
     other = F.col("__origin").isNull() | ((F.col("__asked") != "") & (F.col("__origin") != F.col("__asked")))
     steps = [
         (F.coalesce(F.col("method") != "POST", F.lit(True)), 405, "method_not_allowed"),
         ((F.col("__sent") != "") & other, 403, "origin_not_allowed"),
-        (F.coalesce(F.col("content_length").try_cast("double"), F.lit(0.0)) > MOST_BYTES, 413, "payload_too_large"),
+        (F.coalesce(json.number_of_text(F.col("content_length")), F.lit(0.0)) > MOST_BYTES, 413, "payload_too_large"),
         (F.col("__body").isNull(), 400, "invalid_json"),
-        (~F.startswith("__shape", F.lit("OBJECT")), 400, "invalid_payload"),
+        (~F.col("__object"), 400, "invalid_payload"),
         (given("__website", 120), 202, "accepted"),
         ((started != 0) & (now_ms - started < LEAST_MILLISECONDS), 429, "submission_too_fast"),
         (~F.coalesce(filled, F.lit(False)), 400, "missing_or_invalid_required_fields"),
@@ -107,13 +119,21 @@ def attached_names(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return files.groupBy(key).agg(F.slice(F.transform(pairs, lambda x: x["value"]), 1, MOST_NAMES).alias("names"))
 
 
-def field_rows(submissions: DataFrame, key: str, fields: Column) -> DataFrame:
-    """``key``, ``pos``, ``name``, ``value``: the filled fields of a JSON object, as a string map, in its order, without reserved ones, at most eighty; lists are joined."""
-    kept = F.filter(F.map_entries(fields), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & ~e["key"].isin(*RESERVED))
-    rows = submissions.select(key, F.posexplode(F.slice(kept, 1, MOST_FIELDS)).alias("pos", "e"))
-    listed = F.when(F.startswith(F.ltrim(F.col("e.value")), F.lit("[")), F.from_json("e.value", "array<string>"))
-    value = F.when(listed.isNotNull() & (F.size(listed) > 0), F.array_join(F.transform(listed, lambda x: F.coalesce(x, F.lit(""))), ", ")).otherwise(F.col("e.value"))
-    return rows.select(key, "pos", clean_text(F.col("e.key"), 80).alias("name"), clean_text(value).alias("value"))
+def field_rows(submissions: DataFrame, key: str, body: Column) -> DataFrame:
+    """``key``, ``pos``, ``name``, ``value``: the fields of a submission's body, in its order, that are given and not reserved, at most eighty.
+
+    ``body`` is JSON text whose member ``fields`` is an object; else there are
+    no rows. Values keep their types until they are written out: a list is
+    joined by commas and blanks, and text that only looks like a list stays as
+    it is. Null, false, 0 and the empty string aren't given; an empty list is,
+    and is blank. Whole numbers as names come first, of a repeated name the
+    last value counts.
+    """
+    json_settings(submissions.sparkSession)
+    members = F.from_json(F.when(json.strict_json(body).isNotNull(), body), "fields map<string,variant>")["fields"]
+    kept = F.filter(json.ordered_members(members), lambda e: ~e["key"].isin(*RESERVED) & json.is_truthy(e["value"]))
+    rows = submissions.select(F.col(key), kept.alias("__kept")).select(key, F.posexplode(F.slice("__kept", 1, MOST_FIELDS)).alias("pos", "e"))
+    return rows.select(key, "pos", clean_text(F.col("e.key"), 80).alias("name"), clean_text(json.text_of(F.col("e.value"), ", ")).alias("value"))
 
 
 def basket_key(kind: Column, title: Column) -> Column:

@@ -86,7 +86,7 @@ def page_rules(
         rules["theme"] = all_of(theme)
     for kind, words in (("free_of", terms), ("removed", removed)):
         for term in words:
-            rules[f"{kind}_{term.replace(' ', '_')}"] = ~low.contains(term)
+            rules[f"{kind}_{term.replace(' ', '_')}"] = ~low.contains(term.lower())
     return {name: F.when(locale.isNotNull(), ok) if name in LOCALIZED else ok for name, ok in rules.items()}
 
 

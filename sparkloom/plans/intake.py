@@ -21,16 +21,23 @@ def _submissions(spark, sf_dir: str) -> DataFrame:
 
 
 def _submissions_of(e: DataFrame) -> DataFrame:
-    """One submission per event; the number in its properties decides what is wrong with it."""
+    """One submission per event; the number in its properties decides what is wrong with it.
+
+    Some bodies repeat a key, are followed by something else, have a list as
+    website or the number 0 as message.
+    """
     k = F.get_json_object("props", "$.k").cast("long")
-    fields = F.concat(F.lit('{"name":"user '), F.col("user_id"), F.lit('","phone":"'), F.col("event_id"), F.lit('","vehicle":"'), F.when(k % 7 == 0, "").otherwise("v"), F.lit('","'), F.when(k % 5 == 0, "modifications").otherwise("message"), F.lit('":"m"}'))
+    words = F.when(k % 53 == 0, "0").otherwise('"m"')
+    fields = F.concat(F.lit('{"name":"user '), F.col("user_id"), F.lit('","phone":'), F.col("event_id"), F.lit('.5,"vehicle":"'), F.when(k % 7 == 0, "").otherwise("v"), F.lit('","'), F.when(k % 5 == 0, "modifications").otherwise("message"), F.lit('":'), words, F.lit("}"))
     kind = F.when(k % 11 == 0, "Anfrage").when(k % 2 == 0, F.concat(F.col("event_type"), F.lit(" Enquiry"))).otherwise("General Quote")
-    body = F.concat(F.lit('{"ref":"R-'), F.col("event_id"), F.lit('","type":"'), kind, F.lit('","website":"'), F.when(k % 13 == 0, "spam").when(k % 17 == 0, " ").otherwise(""), F.lit('","startedAt":'), k * 100, F.lit(',"fields":'), fields, F.lit("}"))
+    website = F.when(k % 13 == 0, '"spam"').when(k % 17 == 0, '" "').when(k % 3 == 0, "[]").when(k % 3 == 1, "[null]").otherwise('""')
+    body = F.concat(F.lit('{"ref":"old","ref":"R-'), F.col("event_id"), F.lit('","type":"'), kind, F.lit('","website":'), website, F.lit(',"startedAt":'), k * 100, F.lit(',"fields":'), fields, F.lit("}"))
+    broken = F.when(k % 2 == 0, "{broken").when(k % 3 == 0, F.concat(body, F.lit(" junk"))).otherwise(F.concat(body, F.lit("] [")))
     return e.select(
         F.col("event_id").cast("string").alias("submission_id"), F.when(F.col("event_type") == "error", "GET").otherwise("POST").alias("method"), F.lit("www.example.org").alias("host"),
         F.when(k % 19 == 0, "https://other.example.org").when(k % 23 == 0, "nonsense").when(k % 3 == 0, "https://WWW.example.org/form").otherwise("").alias("origin"),
         F.when(k % 29 == 0, "32001").when(k % 31 == 0, "many").otherwise("32000").alias("content_length"),
-        F.when(k % 37 == 0, "{broken").when(k % 41 == 0, "[1]").otherwise(body).alias("body"), "event_id", k.alias("k"), "event_type",
+        F.when(k % 37 == 0, broken).when(k % 41 == 0, "[1]").otherwise(body).alias("body"), "event_id", k.alias("k"), "event_type",
     )
 
 
@@ -42,7 +49,7 @@ def intake_decision(spark, sf_dir: str) -> DataFrame:
 INTAKE_DECISION = r"""
 WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), d AS (
   SELECT event_id, CASE WHEN event_type = 'error' THEN 1 WHEN k % 19 = 0 OR k % 23 = 0 THEN 2 WHEN k % 29 = 0 THEN 3 WHEN k % 37 = 0 THEN 4 WHEN k % 41 = 0 THEN 5 WHEN k % 13 = 0 THEN 6
-       WHEN k <> 0 AND 9000 - k * 100 < 1200 THEN 7 WHEN k % 11 = 0 OR k % 7 = 0 THEN 8 WHEN k % 4 = 1 THEN 9 WHEN k % 10 = 3 THEN 10 ELSE 11 END AS c FROM e)
+       WHEN k <> 0 AND 9000 - k * 100 < 1200 THEN 7 WHEN k % 11 = 0 OR k % 7 = 0 OR k % 53 = 0 THEN 8 WHEN k % 4 = 1 THEN 9 WHEN k % 10 = 3 THEN 10 ELSE 11 END AS c FROM e)
 SELECT event_id, CAST([405, 403, 413, 400, 400, 202, 429, 400, 503, 502, 200][c] AS INTEGER) AS status,
        ['method_not_allowed', 'origin_not_allowed', 'payload_too_large', 'invalid_json', 'invalid_payload', 'accepted', 'submission_too_fast', 'missing_or_invalid_required_fields', 'backend_not_configured', 'delivery_failed', 'accepted'][c] AS code,
        CASE WHEN c = 11 THEN 'R-' || event_id END AS ref
@@ -51,14 +58,22 @@ FROM d
 
 
 def field_rows(spark, sf_dir: str) -> DataFrame:
-    several = F.concat(F.lit('["a, b", "'), F.col("event_type"), F.lit('", null]'))
-    fields = F.map_concat(F.create_map(F.lit("type"), F.col("event_type"), F.lit("website"), F.lit("x"), F.lit("empty"), F.lit(""), F.lit("user"), F.col("user_id").cast("string"), F.lit("several"), several), F.from_json("props", "map<string,string>"))
-    return O.field_rows(table(spark, sf_dir, "events"), "event_id", fields)
+    """Fields of every type: a repeated name, a number as name, lists, text that looks like one, and what isn't given; some bodies are followed by something else."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    body = F.concat(
+        F.lit('{"fields":{"type":"old","website":"x","empty":"","zero":0,"no":false,"none":null,"user":'), F.col("user_id"), F.lit(',"several":["a, b","'), kind, F.lit('",null,[1,2.0]],"looks":"[1, 2]","blank":[],"object":{"a":1},"yes":true,"type":"'),
+        kind, F.lit('","7":'), k, F.lit("}}"), F.when(F.col("event_id") % 7 == 0, " junk").otherwise(" "),
+    )
+    return O.field_rows(table(spark, sf_dir, "events"), "event_id", body)
 
 
 FIELD_ROWS = """
-SELECT event_id, CAST(i AS INTEGER) AS pos, ['type', 'user', 'several', 'k'][i + 1] AS name, [event_type, CAST(user_id AS VARCHAR), trim('a, b, ' || event_type || ', '), json_extract_string(props, '$.k')][i + 1] AS value
-FROM events, (VALUES (0), (1), (2), (3)) x(i)
+WITH e AS (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0), r AS (
+  SELECT event_id, unnest(list_filter([
+    CASE WHEN k <> 0 THEN {'n': '7', 'v': CAST(k AS VARCHAR)} END, {'n': 'type', 'v': event_type}, CASE WHEN user_id <> 0 THEN {'n': 'user', 'v': CAST(user_id AS VARCHAR)} END,
+    {'n': 'several', 'v': 'a, b, ' || event_type || ', , 1,2'}, {'n': 'looks', 'v': '[1, 2]'}, {'n': 'blank', 'v': ''}, {'n': 'object', 'v': '[object Object]'}, {'n': 'yes', 'v': 'true'}], lambda x: x IS NOT NULL)) AS x,
+    k, user_id FROM e)
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY list_position(['7', 'type', 'user', 'several', 'looks', 'blank', 'object', 'yes'], x.n)) - 1 AS INTEGER) AS pos, x.n AS name, x.v AS value FROM r
 """
 
 
@@ -146,13 +161,13 @@ def basket_streamed(spark, sf_dir: str) -> DataFrame:
 
 
 def parsed_props(spark, sf_dir: str) -> DataFrame:
-    """Stored JSON, some of it broken, blank or of another type, with a fallback."""
-    kept = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).when(F.col("event_type") == "view", "").when(F.col("event_id") % 9 == 0, "[1]").otherwise(F.col("props"))
+    """Stored JSON, some of it broken, blank, of another type or followed by something else, with a fallback; some repeats its key."""
+    kept = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props")).when(F.col("event_id") % 5 == 0, F.concat("props", F.lit(" x"))).when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"k":-5,'), F.substring("props", 2, 1000))).when(F.col("event_type") == "view", "").when(F.col("event_id") % 9 == 0, "[1]").otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", S.parsed_or(kept, "map<string,int>", F.create_map(F.lit("k"), F.lit(-1)))["k"].alias("k"))
 
 
 PARSED_PROPS = """
-SELECT event_id, CASE WHEN event_type IN ('error', 'view') OR event_id % 9 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events
+SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 5 = 0 OR event_id % 4 <> 0 AND (event_type = 'view' OR event_id % 9 = 0) THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events
 """
 
 

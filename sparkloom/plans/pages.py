@@ -119,18 +119,20 @@ FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM do
 def part_scalars(spark, sf_dir: str) -> DataFrame:
     name = F.concat_ws(" & ", "p_name", "p_brand")
     across, down = S.sprite_offsets(F.col("p_size"))
+    key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         "p_partkey", S.slugify(name).alias("slug"), S.initials(F.col("p_name")).alias("initials"), S.encode_component(name).alias("encoded"),
         S.normalize_route(F.concat(F.lit("#/parts/"), "p_name", F.lit("/?q=1"))).alias("route"), S.title_base(F.concat_ws(" | ", "p_name", "p_type")).alias("title"),
-        S.is_email(F.concat_ws("@", F.replace("p_name", F.lit(" "), F.lit("")), F.lit("example.org"))).alias("is_email"), S.is_year(F.col("p_partkey").cast("string")).alias("is_year"),
+        S.is_email(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.when(key % 3 == 0, "@example.org\n").when(key % 3 == 1, "@example.org").otherwise("@example"))).alias("is_email"),
+        S.is_year(F.concat(key.cast("string"), F.when(key % 2 == 0, "\n").otherwise(""))).alias("is_year"),
         S.is_active(F.concat(F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/"))), F.concat(F.lit("/"), F.substring("p_name", 1, 3))).alias("is_active"), S.padded_ordinal(F.col("p_partkey") + 1).alias("ordinal"), across.alias("across"), down.alias("down"),
     )
 
 
 PART_SCALARS = r"""
 SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, upper(replace(p_name, ' ', '')[1:2]) AS initials,
-       replace(replace(replace(p_name || ' & ' || p_brand, '&', '%26'), '#', '%23'), ' ', '%20') AS encoded, '/parts/' || p_name AS route, p_name AS title, true AS is_email,
-       p_partkey BETWEEN 1000 AND 9999 AS is_year, p_name[4:4] IN ('', ' ') AS is_active, CASE WHEN p_partkey < 9 THEN '0' ELSE '' END || (p_partkey + 1) AS ordinal,
+       replace(replace(replace(p_name || ' & ' || p_brand, '&', '%26'), '#', '%23'), ' ', '%20') AS encoded, '/parts/' || p_name AS route, p_name AS title, p_partkey % 3 = 1 AS is_email,
+       p_partkey BETWEEN 1000 AND 9999 AND p_partkey % 2 = 1 AS is_year, p_name[4:4] IN ('', ' ') AS is_active, CASE WHEN p_partkey < 9 THEN '0' ELSE '' END || (p_partkey + 1) AS ordinal,
        round((p_size - 1) % 5 / 4.0 * 100, 4) AS across, round(floor((p_size - 1) / 5.0) / 9.0 * 100, 4) AS down
 FROM part
 """
@@ -149,7 +151,7 @@ FROM documents
 
 
 def status_class(spark, sf_dir: str) -> DataFrame:
-    cases = [("green", ["urgent"]), ("amber", ["high", "medium"]), ("blue", ["low", "urgent"])]
+    cases = [("green", ["urgent"]), ("amber", ["High", "MEDIUM"]), ("blue", ["low", "urgent"])]
     labels = {"1-URGENT": "Now", "5-LOW": "Later", "3-MEDIUM": ""}
     return table(spark, sf_dir, "orders").select("o_orderkey", S.first_match(F.col("o_orderpriority"), cases).alias("class"), S.label(F.col("o_orderpriority"), labels).alias("label"))
 

@@ -41,7 +41,7 @@ HTML_META = f"SELECT page_id, locale, title, description, canonical, lang, headi
 
 def html_violations(spark, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    rules = O.page_rules(F.col("html"), _locale(), ("lorem ipsum", "licht"), _LANG, _DIR, removed=("menti",), alternates=("en", "x-default"), dictionaries=("<script", "track(0"), theme=("var t", "<style"))
+    rules = O.page_rules(F.col("html"), _locale(), ("lorem ipsum", "Licht"), _LANG, _DIR, removed=("Menti",), alternates=("en", "x-default"), dictionaries=("<script", "track(0"), theme=("var t", "<style"))
     return O.violations(pages, ["page_id"], rules)
 
 
@@ -59,10 +59,10 @@ WITH f AS ({_FIELDS_SQL}), r AS (
     CASE WHEN locale IS NOT NULL AND NOT (contains(lower(html), 'hreflang="en"') AND contains(lower(html), 'hreflang="x-default"')) THEN 'alternates' END,
     CASE WHEN locale IS NOT NULL AND NOT (contains(lower(html), '<script') AND contains(lower(html), 'track(0')) THEN 'dictionaries' END,
     CASE WHEN locale IS NOT NULL AND NOT (contains(lower(html), 'var t') AND contains(lower(html), '<style')) THEN 'theme' END,
-    CASE WHEN contains(lower(html), 'menti') THEN 'removed_menti' END,
+    CASE WHEN contains(lower(html), 'menti') THEN 'removed_Menti' END,
     CASE WHEN locale IS NOT NULL AND NOT contains(lower(html), 'application/ld+json') THEN 'structured_data' END,
     CASE WHEN contains(lower(html), 'lorem ipsum') THEN 'free_of_lorem_ipsum' END,
-    CASE WHEN contains(lower(html), 'licht') THEN 'free_of_licht' END]) AS rule FROM f)
+    CASE WHEN contains(lower(html), 'licht') THEN 'free_of_Licht' END]) AS rule FROM f)
 SELECT page_id, rule FROM r WHERE rule IS NOT NULL
 """
 

@@ -16,6 +16,7 @@ _OWN: dict[str, str] = {}
 
 def with_package(spark: SparkSession) -> SparkSession:
     """``spark``, with this package sent to its executors once for each context."""
+    json_settings(spark)
     context = spark.sparkContext
     if getattr(context, "_sparkloom_sent", None) is None:
         folder = tempfile.mkdtemp(prefix="sparkloom-")
@@ -24,6 +25,12 @@ def with_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def json_settings(spark: SparkSession) -> SparkSession:
+    """``spark``, set to take the last of repeated keys in JSON, as forms' scripts do, instead of an error."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``, which all executors share.
 

@@ -37,6 +37,32 @@ CASES = {
     "message elsewhere": ({"body": body(fields={"name": "n", "phone": "p", "vehicle": "v", "modifications": "m"})}, 200, "accepted"),
     "type by pattern": ({"body": body(type="Fuel & Air (E85) Enquiry")}, 200, "accepted"),
     "type in other letters": ({"body": body(type="طلب Enquiry")}, 400, "missing_or_invalid_required_fields"),
+    "text after the value": ({"body": body() + " junk"}, 400, "invalid_json"),
+    "a bracket that closes too much": ({"body": body() + "] x"}, 400, "invalid_json"),
+    "two values": ({"body": body() + "," + body()}, 400, "invalid_json"),
+    "a value and null": ({"body": body() + ",null"}, 400, "invalid_json"),
+    "brace and member": ({"body": body() + ',"b":1'}, 400, "invalid_json"),
+    "white space around": ({"body": " \n" + body(extra=[1, {"a": []}]) + "\t "}, 200, "accepted"),
+    "text": ({"body": '"x"'}, 400, "invalid_payload"),
+    "blanks": ({"body": "  "}, 400, "invalid_json"),
+    "a repeated key": ({"body": body().replace('"ref"', '"ref": "", "ref"', 1)}, 200, "accepted"),
+    "a repeated key, blank at last": ({"body": body()[:-1] + ', "ref": ""}'}, 400, "missing_or_invalid_required_fields"),
+    "website as an empty list": ({"body": body(website=[])}, 200, "accepted"),
+    "website as a list of null": ({"body": body(website=[None])}, 200, "accepted"),
+    "website as two nulls": ({"body": body(website=[None, None])}, 202, "accepted"),
+    "website zero": ({"body": body(website=0)}, 202, "accepted"),
+    "website null": ({"body": body(website=None)}, 200, "accepted"),
+    "message zero": ({"body": body(fields=FIELDS | {"message": 0})}, 400, "missing_or_invalid_required_fields"),
+    "message zero, then another": ({"body": body(fields=FIELDS | {"message": 0, "modifications": "m"})}, 200, "accepted"),
+    "the last fallback counts as it is": ({"body": body(fields=FIELDS | {"message": False, "engineDetails": 0})}, 200, "accepted"),
+    "message an empty list": ({"body": body(fields=FIELDS | {"message": [], "modifications": "m"})}, 400, "missing_or_invalid_required_fields"),
+    "name a number": ({"body": body(fields=FIELDS | {"name": 0})}, 200, "accepted"),
+    "started as text": ({"body": body(startedAt=f" {NOW - 1} ")}, 429, "submission_too_fast"),
+    "started as a Java number": ({"body": body(startedAt=f"{NOW - 1}d")}, 200, "accepted"),
+    "started true": ({"body": body(startedAt=True)}, 200, "accepted"),
+    "started as a list": ({"body": body(startedAt=[NOW - 1])}, 429, "submission_too_fast"),
+    "length infinite": ({"content_length": "Infinity"}, 413, "payload_too_large"),
+    "type with a line feed": ({"body": body(type="General Quote\nx Enquiry")}, 400, "missing_or_invalid_required_fields"),
     "fields not an object": ({"body": body(fields=[1])}, 400, "missing_or_invalid_required_fields"),
 }
 
@@ -64,10 +90,29 @@ def test_merged_fields_drop_blanks_and_reserved(spark):
     assert {(r.name, r.value) for r in intake.merged_fields(rows, "id").collect()} == {("a", "x, y"), ("b", "")}
 
 
+def fields_of(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    found = sorted(intake.field_rows(rows, "id", F.col("body")).collect(), key=lambda r: (r.id, r.pos))
+    assert [r.pos for r in found if r.id == 0] == list(range(sum(r.id == 0 for r in found)))
+    return [(r.name, r.value) for r in found if r.id == 0] if len(texts) == 1 else [(r.id, r.name, r.value) for r in found]
+
+
 def test_field_rows_are_at_most_eighty(spark):
-    fields = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.struct(F.concat(F.lit("k"), i), F.when(i == 2, "").otherwise("v"))))
-    rows = intake.field_rows(spark.range(1), "id", fields).collect()
-    assert len(rows) == 80 and "k2" not in {r.name for r in rows}
+    rows = fields_of(spark, json.dumps({"fields": {f"k{i}": "" if i == 2 else "v" for i in range(1, 101)}}))
+    assert len(rows) == 80 and "k2" not in {name for name, _ in rows} and rows[0] == ("k1", "v")
+
+
+def test_field_rows_keep_types_and_order(spark):
+    fields = {"z": '["a"]', "list": ["a", 1, None, [2, [3]], {"x": 1}, True], "n": 1.5, "whole": 2.0, "large": 1e20, "larger": 1.5e300, "small": 1e-6, "smaller": -2.5e-7, "third": 0.333, "zero": 0, "no": False, "none": None, "empty": "", "blank": [], "object": {}, "website": "w", "startedAt": 1, "b": " x\x01 ", "10": "ten", "9": "nine", "01": "text"}
+    assert fields_of(spark, json.dumps({"fields": fields})) == [
+        ("9", "nine"), ("10", "ten"), ("z", '["a"]'), ("list", "a, 1, , 2,3, [object Object], true"), ("n", "1.5"), ("whole", "2"), ("large", "100000000000000000000"), ("larger", "1.5e+300"), ("small", "0.000001"), ("smaller", "-2.5e-7"), ("third", "0.333"), ("blank", ""), ("object", "[object Object]"), ("b", "x"), ("01", "text"),
+    ]
+
+
+def test_field_rows_of_repeated_names_and_broken_bodies(spark):
+    assert fields_of(spark, '{"fields":{"a":"1","b":"2","a":["3"]}}') == [("a", "3"), ("b", "2")]
+    good = '{"fields":{"a":"1"}}'
+    assert fields_of(spark, good + " x", good, "", '{"fields":["a"]}', '{"fields":"a"}', "[1]", "null", good + "]", '{"fields":{}}') == [(1, "a", "1")]
 
 
 def test_basket(spark):
@@ -112,5 +157,3 @@ def test_lists_blanks_and_attached_names(spark):
     entries = spark.createDataFrame([("f", "x", "", 0), ("f", "x", " a ", 1), ("f", "x", "", 2), ("f", "x", "b", 3), ("f", "y", "", 4), *(("f", "files", f"n{k}", 10 + k) for k in range(20))], "form string, name string, value string, pos int")
     assert {r.name: r.value for r in intake.merged_fields(entries, "form").collect()} == {"x": "a, , b", "y": ""}
     assert intake.attached_names(entries, "form").first().names == [f"n{k}" for k in range(15)]
-    rows = spark.createDataFrame([(1, {"a": '["p","q"]', "b": "[not a list", "c": "plain"})], "k int, f map<string,string>")
-    assert {r.name: r.value for r in intake.field_rows(rows, "k", F.col("f")).collect()} == {"a": "p, q", "b": "[not a list", "c": "plain"}

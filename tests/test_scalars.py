@@ -46,10 +46,11 @@ def test_small_ones(spark):
     assert one(spark, S.title_base(F.lit("A | B | C"))) == "A"
     assert [one(spark, S.padded_ordinal(F.lit(n))) for n in (1, 12, 123)] == ["01", "12", "123"]
     assert one(spark, S.encode_component(F.lit("a b!'()~*&é"))) == "a%20b!'()~*%26%C3%A9"
-    assert [one(spark, S.is_email(F.lit(x).cast("string"))) for x in ("a@b.c", "a@b", "a b@c.d", None)] == [True, False, False, False]
-    assert [one(spark, S.is_year(F.lit(x).cast("string"))) for x in ("1999", "199", "19999", None)] == [True, False, False, False]
+    assert [one(spark, S.is_email(F.lit(x).cast("string"))) for x in ("a@b.c", "a@b", "a b@c.d", "a@b.c\n", None)] == [True, False, False, False, False]
+    assert [one(spark, S.is_year(F.lit(x).cast("string"))) for x in ("1999", "199", "19999", "2024\n", None)] == [True, False, False, False, False]
     assert one(spark, S.first_filled(F.lit(""), F.lit(None).cast("string"), F.lit("x"))) == "x"
     assert one(spark, S.label(F.lit("a"), {"a": ""})) == "a"
+    assert one(spark, S.first_match(F.lit("an old feature"), [("gone", ["Old Feature"])])) == "gone"
     assert one(spark, S.first_match(F.lit("Dealer review"), [("green", ["dealer"]), ("amber", ["review"])])) == "green"
     assert one(spark, S.reference_code(F.lit("Engine Build"), F.lit(7), 2024)).startswith("REF-ENG-2024-")
 

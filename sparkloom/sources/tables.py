@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_ranges import RANGE_BYTES, json_parts
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; Spark prunes columns and pushes filters into the scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def json_catalog(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Records of a JSON document with a given schema, with ``pos`` for their order; an array of objects gives a row each."""
+def json_catalog(spark: SparkSession, path: str, schema: T.StructType | str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Records of a JSON document with a given schema, with ``pos`` for their order; a list of objects gives a row each.
+
+    The document is read in byte ranges (see ``json_ranges.json_parts``), by as
+    many tasks as it has ranges. A record of another type has nulls.
+    """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    text = spark.read.text(path, wholetext=True)
-    records = text.select(F.posexplode(F.from_json("value", T.ArrayType(kind))).alias("pos", "r"))
-    return records.select("pos", "r.*")
+    return json_parts(spark, path, range_bytes).select("pos", F.from_json("value", kind).alias("r")).select("pos", "r.*")
 
 
 def page_files(spark: SparkSession, folder: str, suffix: str = ".html") -> DataFrame:

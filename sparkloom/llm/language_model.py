@@ -20,7 +20,7 @@ from .shared import bucketed, written
 #: Tokens of the longest n-gram.
 ORDER = 3
 #: Text bytes of one block of documents, about; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Tokens of the corpus for each bucket of n-grams, about.
 BUCKET_TOKENS = 2_000_000
 #: Occurrences of a context for each part that its followers are dealt to: what one bucket holds of a very common context.
@@ -95,40 +95,42 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 class Automaton:
     """States with arcs by word, and one failure arc each; weights are log10.
 
-    State 0, the root, has an arc for every word: ``word_weight`` and
-    ``word_state``. The arcs of other states are sorted by ``state * words +
-    word``. Where a state has no arc for a word its failure arc leads to the
-    state of the next shorter context, at the cost of its weight.
+    State 0, the root, remembers nothing and has an arc for every word:
+    ``word_weight`` and ``word_state``. Other states remember their last
+    ``depth`` words. ``arcs`` has, for every depth from 1 on and every position
+    of the texts, which arc leads on from the state that remembers the words
+    before it, and -1 where that state has none for the word there: then its
+    failure arc leads to the state of the next shorter context, at the cost of
+    its weight.
     """
 
-    words: int
     word_weight: np.ndarray
     word_state: np.ndarray
+    depth: np.ndarray
     arcs: np.ndarray
     arc_weight: np.ndarray
     arc_state: np.ndarray
     failure: np.ndarray
     failure_weight: np.ndarray
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each of many states goes with a word, and what it costs."""
+    def step(self, state: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of many states goes with the word at a position, and what it costs."""
         out, cost = np.empty(len(state), np.int64), np.zeros(len(state))
         open_ = np.arange(len(state))
         while len(open_):
-            at = state[open_]
-            root = at == 0
-            key = at * self.words + word[open_]
-            spot = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-            found = ~root & (self.arcs[spot] == key) if len(self.arcs) else np.zeros(len(at), bool)
-            out[open_[found]] = self.arc_state[spot[found]]
-            cost[open_[found]] += self.arc_weight[spot[found]]
+            depth = self.depth[state]
+            arc = np.where(depth > 0, self.arcs[depth - 1, at], -1) if len(self.arcs) else np.full(len(state), -1)
+            found, root = arc >= 0, depth == 0
+            done = open_[found]
+            out[done] = self.arc_state[arc[found]]
+            cost[done] += self.arc_weight[arc[found]]
             done = open_[root]
-            out[done], cost[done] = self.word_state[word[done]], cost[done] + self.word_weight[word[done]]
-            fails = ~root & ~found
-            open_ = open_[fails]
-            cost[open_] += self.failure_weight[at[fails]]
-            state = state.copy() if len(open_) else state
-            state[open_] = self.failure[at[fails]]
+            out[done] = self.word_state[word[root]]
+            cost[done] += self.word_weight[word[root]]
+            fails = ~(root | found)
+            open_, state, word, at = open_[fails], state[fails], word[fails], at[fails]
+            cost[open_] += self.failure_weight[state]
+            state = self.failure[state]
         return out, cost
 
     def traverse(self, words: np.ndarray, bounds: np.ndarray, start: int, memory: int) -> np.ndarray:
@@ -147,8 +149,8 @@ class Automaton:
         order = np.argsort(at - high, kind="stable")  # the longest first
         text, low, high, at = text[order], low[order], high[order], at[order]
         state, total = np.where(at == bounds[text], start, 0), np.zeros(len(text))
-        while len(at) and (n := int((at < high).sum())):
-            state[:n], cost = self.step(state[:n], words[at[:n]])
+        while n := int(np.count_nonzero(at < high)):
+            state[:n], cost = self.step(state[:n], words[at[:n]], at[:n])
             total[:n] += np.where(at[:n] >= low[:n], cost, 0.0)
             at[:n] += 1
         return np.bincount(text, total, minlength=len(lanes))
@@ -349,7 +351,7 @@ class Pairs:
 
     def told(self, replies: pa.Table, numbered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each entry's count and number, and how many followers of its context were seen once, twice and more often."""
-        count, number, kinds = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.zeros((len(self.context), 3), np.int64)
+        count, number, kinds = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.zeros((len(self.context), 3))
         held = dict(zip(replies["bucket"].to_pylist(), replies["told"], strict=True))
         for bucket, at in self.requests():
             read = Reader(held[bucket].as_buffer())
@@ -421,7 +423,7 @@ class Model:
         self.word, self.learned = self.word_number[block.token], block.learned
         self.first = np.zeros(len(block.token), bool)
         self.first[block.bounds[:-1]] = True
-        self.levels: list[tuple[Pairs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple] = []
         # contexts of one word: its number, or the start; how often that occurs is how often something follows it
         context, occurs = np.r_[START, self.word[:-1]], np.r_[0, self.word_count[block.token[:-1]]]
         context = np.where(context == 0, -1, context)
@@ -430,18 +432,17 @@ class Model:
         private = np.zeros(len(context), bool)
         for k in range(2, order + 1):
             pairs = Pairs.of(np.where(private, -1, context), occurs, self.word, self.learned, buckets)
-            self.levels.append((pairs, context, occurs, private, np.zeros(0)))
+            self.levels.append((pairs, context, occurs, private, None, None))
             if not len(self.replies[k]):
                 break
-            count, number, kinds = pairs.told(self.replies[k], k < order)
-            own = pairs.which >= 0
-            seen, numbers = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-            seen[own], numbers[own] = count[pairs.which[own]], number[pairs.which[own]]
+            # the entry -1 of positions that ask nothing stands for zeros
+            count, number, kinds = (np.concatenate([x, np.zeros((1, *x.shape[1:]), x.dtype)]) for x in pairs.told(self.replies[k], k < order))
+            seen, numbers, follows = count[pairs.which], number[pairs.which], kinds[pairs.which]
             seen[private & self.learned] = 1
-            follows = np.zeros((len(context), 3), np.int64)
-            follows[own] = kinds[pairs.which[own]]
             follows[private] = (1, 0, 0)
-            self.levels[-1] = (pairs, context, occurs, private, np.c_[seen, follows])
+            self.levels[-1] = (pairs, context, occurs, private, seen, follows)
+            if k == order:
+                break
             # the next order's contexts: what was read up to here, if it was seen and goes on
             later = np.r_[0, seen[:-1]]
             later[self.first] = 0
@@ -451,7 +452,7 @@ class Model:
 
     def unasked(self) -> int:
         """N-grams of the last order that only this block has, once."""
-        _, _, _, private, _ = self.levels[-1]
+        private = self.levels[-1][3]
         return int((private & self.learned).sum())
 
     def automaton(self, total: int, known: int, cuts: list[np.ndarray]) -> Automaton:
@@ -464,52 +465,46 @@ class Model:
         """
         token, words = self.block.token, len(self.word_count)
         unigram = (self.word_count + 1) / (total + known + 1)
-        states, failure, weight = 2, [np.zeros(2, np.int64)], [np.zeros(2)]
         # states of one word; the end leads nowhere and unknown words to the root
         has = (self.word_count > 0) & (np.arange(words) != self.end)
-        word_state = np.where(has, np.arange(words) + states, 0)
-        before = np.r_[1, word_state[token[:-1]]]
+        word_state = np.where(has, np.arange(words) + 2, 0)
+        depth, failure, weight = [np.zeros(1, np.int8), np.ones(words + 1, np.int8)], np.zeros(words + 2, np.int64), np.zeros(words + 2)
+        before, after, shorter = np.r_[1, word_state[token[:-1]]], word_state[token], np.zeros(len(token), np.int64)
         before[self.first] = 1
-        shorter = np.zeros(len(token), np.int64)
-        states += words
-        failure.append(np.zeros(words, np.int64))
-        weight.append(np.zeros(words))
-        arcs, arc_weight, arc_state, below = [], [], [], unigram[token]
-        after = word_state[token]
-        for (_, _, occurs, _, seen), cut in zip(self.levels, cuts, strict=True):
+        arcs, arc_weight, arc_state, below = [], [np.zeros(0)], [np.zeros(0, np.int64)], unigram[token]
+        for k, ((pairs, _, occurs, private, seen, follows), cut) in enumerate(zip(self.levels, cuts, strict=True)):
             there = occurs > 0
-            count, follows = seen[:, 0], seen[:, 1:]
-            rest = follows @ cut[1:]
-            held = np.where(there, before, 0)
-            failure_, weight_ = np.concatenate(failure), np.concatenate(weight)
-            failure_[held[there]], weight_[held[there]] = shorter[there], np.log10(rest[there] / occurs[there])
-            failure, weight = [failure_], [weight_]
-            arc = np.flatnonzero(there & (count > 0))
-            prob = (count[arc] - cut[np.minimum(count[arc], 3)] + rest[arc] * below[arc]) / occurs[arc]
-            key, one = np.unique(before[arc] * words + token[arc], return_index=True)
-            arcs.append(key)
-            arc_weight.append(np.log10(prob[one]))
-            last = len(arcs) == len(self.levels)
-            below = np.where(there, rest / np.maximum(occurs, 1), 1.0) * below
-            below[arc] = prob
+            rest = np.zeros(len(token))
+            rest[there] = (follows[there] @ cut[1:]) / occurs[there]
+            failure[before[there]], weight[before[there]] = shorter[there], np.log10(rest[there])
+            own = private & self.learned
+            # an arc for each n-gram that was asked for and each that only this block has
+            which = np.where(own, len(pairs.context) + np.cumsum(own) - 1, pairs.which)
+            n = len(pairs.context) + int(own.sum())
+            arc = np.flatnonzero(there & (seen > 0))
+            spot, count = which[arc], seen[arc]
+            below = np.where(there, rest * below, below)
+            below[arc] += (count - cut[np.minimum(count, 3)]) / occurs[arc]
+            here = np.zeros(n)
+            here[spot] = np.log10(below[arc])
+            arcs.append(np.full(len(token), -1, np.int32))
+            arcs[-1][arc] = spot + sum(map(len, arc_weight))
+            arc_weight.append(here)
             # what was read becomes a state of its own, unless nothing follows it or it is as long as the model goes
-            goes_on = token[arc[one]] != self.end
-            own = after[arc[one]] if last else np.where(goes_on, states + np.arange(len(one)), 0)
-            arc_state.append(own)
-            if not last:
-                spot = np.searchsorted(key, before[arc] * words + token[arc])
-                reached, fell = after.copy(), after
-                reached[arc] = np.where(token[arc] != self.end, states + spot, 0)
-                failure.append(fell[arc[one]])
-                weight.append(np.zeros(len(one)))
-                states += len(one)
-                after = reached
-                shorter, before = np.r_[0, fell[:-1]], np.r_[0, reached[:-1]]
+            to = after[arc] if k + 2 == self.order else np.where(token[arc] != self.end, len(failure) + spot, 0)
+            arc_state.append(np.zeros(n, np.int64))
+            arc_state[-1][spot] = to
+            if k + 2 < self.order:
+                fell = after
+                after = fell.copy()
+                after[arc] = to
+                more = np.zeros(n, np.int64)
+                more[spot] = fell[arc]
+                failure, weight = np.r_[failure, more], np.r_[weight, np.zeros(n)]
+                depth.append(np.full(n, k + 2, np.int8))
+                shorter, before = np.r_[0, fell[:-1]], np.r_[0, after[:-1]]
                 before[self.first] = 0
-        keys = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
-        order = np.argsort(keys)
-        join = lambda x: np.concatenate(x)[order] if x else keys
-        return Automaton(words, np.log10(unigram), word_state, keys[order], join(arc_weight), join(arc_state), np.concatenate(failure), np.concatenate(weight))
+        return Automaton(np.log10(unigram), word_state, np.concatenate(depth), np.array(arcs), np.concatenate(arc_weight), np.concatenate(arc_state), failure, weight)
 
 
 # -- jobs --------------------------------------------------------------------------------

@@ -141,23 +141,34 @@ def test_lanes_give_what_one_walk_gives(texts, lane):
     pairs = {ab: 8 + i for i, ab in enumerate((a, b) for a in range(6) for b in range(6) if (a + b) % 2)}
     arcs = {(2 + a) * 6 + b: s for (a, b), s in pairs.items()}
     arcs |= {s * 6 + c: pairs[b, c] for (a, b), s in pairs.items() for c in range(6) if (b, c) in pairs and (a + c) % 3 == 0}
-    state = np.array([arcs[k] for k in sorted(arcs)])
-    arcs = np.array(sorted(arcs))
     rng = np.random.default_rng(0)
-    failure = np.r_[0, 0, np.zeros(6, int), [2 + b for _, b in pairs]]
-    machine = Automaton(6, rng.random(6), 2 + np.arange(6), arcs, rng.random(len(arcs)), state, failure, rng.random(len(failure)))
+    order = sorted(arcs)
     words, bounds = np.array([w for t in texts for w in t], np.int64), np.cumsum([0, *map(len, texts)])
-
-    def walk(text):
-        at, total = np.array([1]), 0.0
-        for w in text:
-            at, cost = machine.step(at, np.array([w]))
-            total += cost[0]
+    hints = np.full((2, len(words)), -1)
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        for i in range(low + 1, high):
+            hints[0, i] = order.index(k) if (k := (2 + words[i - 1]) * 6 + words[i]) in arcs else -1
+            if i > low + 1 and tuple(words[i - 2 : i].tolist()) in pairs:
+                hints[1, i] = order.index(k) if (k := pairs[tuple(words[i - 2 : i].tolist())] * 6 + words[i]) in arcs else -1
+    failure = np.r_[0, 0, np.zeros(6, int), [2 + b for _, b in pairs]]
+    depth = np.r_[0, np.ones(7, int), np.full(len(pairs), 2)]
+    machine = Automaton(rng.random(6), 2 + np.arange(6), depth, hints, rng.random(len(arcs)), np.array([arcs[k] for k in order]), failure, rng.random(len(failure)))
+
+    def walk(low, high):
+        at, total = 1, 0.0
+        for i in range(low, high):
+            while machine.depth[at] and (at * 6 + words[i]) not in arcs:
+                total, at = total + machine.failure_weight[at], machine.failure[at]
+            if machine.depth[at]:
+                k = order.index(at * 6 + words[i])
+                total, at = total + machine.arc_weight[k], machine.arc_state[k]
+            else:
+                total, at = total + machine.word_weight[words[i]], machine.word_state[words[i]]
         return total
 
     old, language_model.LANE = language_model.LANE, lane
     try:
-        assert machine.traverse(words, bounds, 1, 2) == pytest.approx([walk(t) for t in texts])
+        assert machine.traverse(words, bounds, 1, 2) == pytest.approx([walk(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
     finally:
         language_model.LANE = old
 

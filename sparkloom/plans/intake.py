@@ -14,6 +14,7 @@ from ..sources import sinks
 from ..sources.session import shared_folder
 from ..sources.tables import keyed_state, table
 from ..streaming import intake as streaming
+from ..streaming import outbox, state
 
 
 def _submissions(spark, sf_dir: str) -> DataFrame:
@@ -146,18 +147,40 @@ def basket_written(spark, sf_dir: str) -> DataFrame:
     return keyed_state(spark, folder, "added long")
 
 
+def _arriving(spark, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def _run(stream: DataFrame, folder: str, batch) -> None:
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+
+
 def basket_streamed(spark, sf_dir: str) -> DataFrame:
-    """The baskets that a stream over the events' files leaves; each batch replaces the items that it changed."""
-    events = table(spark, sf_dir, "events")
-    arriving = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    changes = arriving.select("user_id", F.get_json_object("props", "$.k").alias("item"), "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
+    """The baskets that a stream over the events' files leaves: each batch is merged into the state's buckets."""
+    changes = _arriving(spark, sf_dir).select("user_id", F.get_json_object("props", "$.k").alias("item"), "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
     folder = f"{shared_folder(spark)}/baskets-{uuid.uuid4().hex}"
-    state = streaming.basket_stream(changes, "user_id", "item", "event_id", "action")
-    batch = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-    state.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    written = spark.read.option("basePath", f"{folder}/out").schema("user_id long, item string, held boolean, since long, batch int").parquet(f"{folder}/out/batch=*")
-    last = written.groupBy("user_id", "item").agg(F.max_by(F.struct("held", "since"), "batch").alias("s"))
-    return last.where("s.held").select("user_id", "item", F.col("s.since").alias("added"))
+    held = state.VersionedState(f"{folder}/state", ("user_id", "item"), "since long", 16)
+    _run(changes, folder, lambda rows, number: state.merge_basket(held, rows, number, "user_id", "item", "event_id", "action"))
+    return held.rows(spark, "user_id long, item string").withColumnRenamed("since", "added")
+
+
+def outbox_attempts(spark, sf_dir: str) -> DataFrame:
+    """What became of every accepted submission of a stream: answers of an endpoint that refuses some and is late for some, and hand-offs by mode."""
+    decided = O.decide(_submissions_of(_arriving(spark, sf_dir)), F.lit(9000)).where("status = 200").select("submission_id", "k")
+    folder = f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
+    ledger = outbox.Outbox(f"{folder}/ledger")
+    mode = F.when(F.col("k") % 3 == 0, "api").when(F.col("k") % 3 == 1, "auto").otherwise("whatsapp")
+    send = lambda rows: rows.select("submission_id", F.when(F.col("k") % 10 == 3, 503).otherwise(200).alias("http"), F.when(F.col("k") % 8 == 0, 7001).otherwise(7000).alias("millis"))
+    _run(decided, folder, lambda rows, number: ledger.deliver(rows, number, mode, send))
+    return ledger.attempts(spark).select("submission_id", "attempt", "answer", "outcome")
+
+
+OUTBOX_ATTEMPTS = f"""
+WITH e AS (SELECT CAST(event_id AS VARCHAR) AS submission_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), a AS (
+  SELECT submission_id, k % 3 AS mode, CASE WHEN k % 3 = 2 THEN 'none' WHEN k % 8 = 0 THEN 'late' WHEN k % 10 = 3 THEN 'refused' ELSE 'ok' END AS answer FROM e
+  WHERE NOT (event_type = 'error' OR k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 OR k % 37 = 0 OR k % 41 = 0 OR k % 13 = 0 OR (k <> 0 AND 9000 - k * 100 < 1200) OR k % 11 = 0 OR k % 7 = 0 OR k % 53 = 0))
+SELECT submission_id, 1 AS attempt, answer, CASE WHEN mode = 0 THEN CASE WHEN answer = 'ok' THEN 'delivered' ELSE 'failed' END WHEN mode = 1 AND answer = 'ok' THEN 'delivered' ELSE 'handed_off' END AS outcome FROM a
+"""
 
 
 def parsed_props(spark, sf_dir: str) -> DataFrame:
@@ -218,6 +241,7 @@ QUERIES = {
     "basket_state": (basket_state, BASKET_STATE),
     "basket_written": (basket_written, BASKET_STATE),
     "basket_streamed": (basket_streamed, BASKET_STATE),
+    "outbox_attempts": (outbox_attempts, OUTBOX_ATTEMPTS),
     "parsed_props": (parsed_props, PARSED_PROPS),
     "reference_codes": (reference_codes, REFERENCE_CODES),
 }

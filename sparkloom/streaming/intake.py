@@ -1,23 +1,15 @@
-"""Submissions and baskets as streams, with the same expressions as in batch."""
+"""Submissions as streams, with the same expressions as in batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.intake import SUBMISSION, decide
 
-#: Before every change.
-NEVER = np.iinfo(np.int64).min
-
-
 def submission_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
     """Lines of JSON that arrive as files in a folder."""
     return spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", files_a_batch).json(folder)
@@ -39,34 +31,3 @@ def deliver(decided: DataFrame, folder: str, checkpoint: str, sink: Callable[[Da
             sink(rows.where("status = 200"), number)
 
     return decided.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
-
-
-def basket_stream(changes: DataFrame, owner: str, item: str, order: str, action: str) -> DataFrame:
-    """``owner``, ``item``, ``held``, ``since``: an item's state after each batch that changes it, for a sink in update mode.
-
-    The same as ``operators.intake.basket``: inserting what is there changes
-    nothing, and removing takes it out (of equal numbers, the removal counts
-    last); ``since`` is the change that put the item in or, the last time,
-    took it out. A later batch's changes count as later. State is one number
-    for each owner and item that is in, so no basket is held in one place.
-    """
-    kinds = {f.name: f.dataType for f in changes.schema.fields}
-    out = T.StructType([T.StructField(owner, kinds[owner]), T.StructField(item, kinds[item]), T.StructField("held", T.BooleanType()), T.StructField("since", T.LongType())])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order, gone = map(np.concatenate, zip(*((b["order"].to_numpy(), b["gone"].to_numpy()) for b in batches), strict=True))
-        last = order[gone].max(initial=NEVER)
-        later = order[~gone & (order > last)]
-        before = state.get[0] if state.exists else None
-        if last == NEVER and before is not None:
-            since = before
-        else:
-            since = int(later.min()) if len(later) else None
-        if since is not None:
-            state.update((since,))
-        elif before is not None:
-            state.remove()
-        yield pd.DataFrame({owner: [key[0]], item: [key[1]], "held": [since is not None], "since": [last if since is None else since]})
-
-    plain = changes.select(owner, item, F.col(order).cast("long").alias("order"), F.coalesce(F.col(action) == "remove", F.lit(False)).alias("gone"))
-    return plain.where("order IS NOT NULL").groupBy(owner, item).applyInPandasWithState(step, out, "since long", "update", "NoTimeout")

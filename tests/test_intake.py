@@ -131,21 +131,6 @@ def test_stream_decides_as_the_batch_does(spark, tmp_path):
     assert {(r.submission_id, r.status) for r in spark.read.option("basePath", f"file://{out}").parquet(f"file://{out}/*").collect()} == {("0", 200), ("1", 405)} and sum(seen) == 1
 
 
-def test_basket_stream_equals_the_batch(spark, tmp_path):
-    """Two batches: insertions, a repeated one, a removal, one of what isn't there, and an insertion after it."""
-    kinds = "who string, item string, t long, action string"
-    batches = [[("u", "a", 1, "add"), ("u", "a", 2, "add"), ("u", "b", 3, "add"), ("v", "a", 4, "remove"), (None, "a", 5, "add")], [("u", "a", 6, "remove"), ("u", "b", 7, "add"), ("u", "a", 9, "add"), ("u", "a", 8, "add"), ("v", "c", 10, "remove"), ("v", "c", 10, "add")]]
-    last = {}
-    for rows in batches:
-        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-        changes = spark.readStream.schema(kinds).parquet(f"file://{tmp_path}/in")
-        keep = lambda found, _: last.update({(r.who, r.item): r.since if r.held else None for r in found.collect()})
-        query = streaming.basket_stream(changes, "who", "item", "t", "action").writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
-        assert query.awaitTermination(120)
-    whole = intake.basket(spark.createDataFrame(sum(batches, []), kinds), "who", "item", "t", F.col("action"))
-    assert {k: v for k, v in last.items() if v is not None} == {("u", "a"): 8, ("u", "b"): 3, (None, "a"): 5} == {(r.who, r.item): r.added for r in whole.collect()}
-
-
 def test_delivery_failure_and_reference(spark):
     body = '{"ref":"R1","type":"General Quote","fields":{"name":"n","phone":1,"vehicle":"v","message":"m"}}'
     rows = spark.createDataFrame([("1", "POST", "h", "", "9", body, True), ("2", "POST", "h", "", "9", body, False), ("3", "GET", "h", "", "9", body, True)], "submission_id string, method string, host string, origin string, content_length string, body string, sent boolean")

@@ -23,9 +23,13 @@ from .encoding import ragged
 from .shared import written
 
 #: Text bytes of one block of documents, about; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Stretches whose alignment a worker keeps; beyond, it forgets all before the next block.
 KEPT_STRETCHES = 300_000
+#: Stretches that are tokenised at once, and stretches of documents whose pairs are counted at once.
+TOGETHER, COUNTED = 8192, 100_000
+#: Text bytes that are cut into stretches at once, about.
+SLICE_BYTES = 1 << 20
 #: Linked pairs that a task adds up before it tells them.
 HELD_PAIRS = 2_000_000
 #: Linked pairs of blocks for each bucket, about.
@@ -148,6 +152,10 @@ class Stretches:
         return CUT.split(text) if _UNCLEAN.search(text) else text.split(" ")
 
     def learn(self, stretches: list[str]) -> None:
+        if len(stretches) > TOGETHER:  # the library's answers take many times what is kept of them
+            for i in range(0, len(stretches), TOGETHER):
+                self.learn(stretches[i : i + TOGETHER])
+            return
         a = [x.ids for x in self.a.encode_batch_fast([f" {x}" for x in stretches], add_special_tokens=False)]
         b = self.b.encode(stretches, num_threads=1)
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
@@ -249,14 +257,16 @@ class Block:
         begin, each = known.counts[own, 4], known.counts[own, 5]
         at = ragged(begin, each)
         pairs, pair = np.unique(known.pairs[at], return_inverse=True)
-        doc = np.repeat(np.arange(len(count)), count)
-        doc, stretch = np.divmod(np.unique(doc * max(len(own), 1) + local), max(len(own), 1))
-        first = np.cumsum(each) - each
-        held = np.unique(np.repeat(doc, each[stretch]) * max(len(pairs), 1) + pair[ragged(first[stretch], each[stretch])]) % max(len(pairs), 1)
+        first, bounds, holders = np.cumsum(each) - each, np.r_[0, np.cumsum(count)], np.zeros(len(pairs), np.int64)
+        for i, j in spans.slices(bounds, COUNTED):
+            doc = np.repeat(np.arange(j - i), count[i:j])
+            doc, stretch = np.divmod(np.unique(doc * max(len(own), 1) + local[bounds[i] : bounds[j]]), max(len(own), 1))
+            held = np.unique(np.repeat(doc, each[stretch]) * max(len(pairs), 1) + pair[ragged(first[stretch], each[stretch])]) % max(len(pairs), 1)
+            holders += np.bincount(held, minlength=len(pairs))
         arrays = dict(count=count, order=local.astype(np.int32), each=each.astype(np.int32), pair=pair.astype(np.int32), times=known.times[at])
         batch = pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0] if count.size else self.parts[0]
         payload = pa.record_batch({"docs": pa.array([_stream(batch)], pa.large_binary())} | {name: pa.array([x.tobytes()], pa.large_binary()) for name, x in arrays.items()})
-        told = [pa.array([number]), pa.array([len(pairs)]), pa.array([pairs.tobytes()], pa.binary()), pa.array([np.bincount(held, minlength=len(pairs)).tobytes()], pa.binary())]
+        told = [pa.array([number]), pa.array([len(pairs)]), pa.array([pairs.tobytes()], pa.binary()), pa.array([holders.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays([*told, pa.array([_stream(payload)], pa.binary())], names=_BLOCK_NAMES)
 
 
@@ -288,7 +298,7 @@ def aligned_blocks(docs: DataFrame, byte_level: str, pieces: str, id_col: str, t
         block = Block(known, digest)
         for batch in batches:
             _, offsets = spans.bytes_of(batch.column(1))
-            for i, j in spans.slices(offsets):
+            for i, j in spans.slices(offsets, SLICE_BYTES):
                 block.add(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).to_pylist(), int(offsets[j] - offsets[i]))
                 if block.bytes >= BLOCK_BYTES:
                     yield block.row(number)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,6 +96,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _chosen(key: Column, share: float) -> Column:
+    """Rows whose hash falls into a share of all hashes, however small."""
+    return F.pmod(key, F.lit(1 << 40)) < math.ceil(min(share, 1.0) * (1 << 40))
+
+
 def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
     """A model of ``labels``, learned from about ``most_rows`` labelled rows, and ``most_bytes`` of text, that aren't held out.
 
@@ -107,16 +113,21 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), id_col: st
     zero come back.
 
     Labels that are null or whose id is null don't count; of an id with several
-    labels the largest does; a document that occurs twice is learned twice.
-    Without labels the model is empty and every score 0.5.
+    labels the largest does; rows that repeat an id and a text are learned
+    once, and the bound holds for rows as for ids. Without labels the model is empty and every score 0.5.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("text"))
     mean = docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 1.0
-    share = min(1.0, min(most_rows, most_bytes / mean) / max(known.count(), 1))
+    most = min(most_rows, most_bytes / mean)
     order = F.xxhash64("__id", F.lit(1))
-    sample = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("order", order)
+    sample = known.where(_chosen(order, most / max(known.count(), 1))).withColumn("order", order)
+    # the sample's ids are bounded, and so are its rows: an id may have any number of them
+    rows = texts.join(F.broadcast(sample), "__id").select("order", "label", "text").dropDuplicates(["order", "text"])
+    held = rows.count()
+    if held > 2 * most:
+        rows = rows.where(_chosen(F.xxhash64("order", "text"), most / held))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +145,6 @@ def train(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), id_col: st
         some = np.flatnonzero(weights)
         return pa.table({"features": pa.array([some.tobytes()], pa.binary()), "weights": pa.array([weights[some].tobytes()], pa.binary()), "bias": [bias]})
 
-    rows = texts.join(F.broadcast(sample), "__id").select("order", "label", "text")  # the sample's rows are bounded
     examples = written(rows.mapInArrow(extract, "order long, label int, features binary, model long"), "examples")
     found = examples.groupBy("model").applyInArrow(fit, "features binary, weights binary, bias double").toArrow()
     return Model(unpacked(found["features"], np.int64), unpacked(found["weights"], np.float64), sum(found["bias"].to_pylist()))

@@ -77,21 +77,25 @@ def frame_schedule(weighed: DataFrame) -> DataFrame:
     return rows.join(members, ["w", "j"]).select("source", "w", "frame", "nth", "slot")
 
 
-def _numbered(docs: DataFrame, name: Column, id_col: str) -> DataFrame:
-    """``docs`` with ``name`` and ``rank``, a number from 0 in each name, in the order of the MD5 of the id, then the id, then a hash of the row."""
+def _dealt(docs: DataFrame, name: Column, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``name``, ``hash``, ``uid``, ``bucket`` and ``part``, and how many rows each (name, bucket, part) has."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     digits = min(8, max(1, math.ceil(math.log(max(docs.count() / BUCKET, 1), 16))))
     keyed = docs.select("*", name.alias("name"), digest.alias("hash"), F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)).alias("uid"), F.substring(digest, 1, digits).alias("bucket"))
-    # equal ids share a bucket: where many do, the hash of the whole row deals it out further
+    # equal ids share a bucket: where many do, their rows are numbered, in a table that stays as it is, and dealt out by number
     parts = keyed.groupBy("name", "bucket").agg(F.count("*").alias("n")).select("name", "bucket", F.when(F.col("n") > 8 * BUCKET, F.ceil(F.col("n") / (4 * BUCKET))).otherwise(1).cast("long").alias("parts"))
     parts = written(parts, "parts")
-    most = parts.agg(F.max("parts")).first()[0] or 1
-    if most == 1:
-        dealt, sizes = keyed.withColumn("part", F.lit(0)), keyed.groupBy("name", "bucket").agg(F.count("*").alias("n")).withColumn("part", F.lit(0))
+    if (parts.agg(F.max("parts")).first()[0] or 1) == 1:
+        dealt = keyed.withColumn("part", F.lit(0))
     else:
-        part = F.pmod("uid", F.col("parts")).alias("part")
-        dealt = keyed.join(parts, ["name", "bucket"]).select(*keyed.columns, part)
-        sizes = keyed.select("name", "bucket", "uid").join(parts, ["name", "bucket"]).groupBy("name", "bucket", part).agg(F.count("*").alias("n"))
+        numbered = written(keyed.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+        dealt = numbered.join(parts, ["name", "bucket"]).select(*keyed.columns, F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part"))
+    return dealt, dealt.groupBy("name", "bucket", "part").agg(F.count("*").alias("n"))
+
+
+def _numbered(docs: DataFrame, name: Column, id_col: str) -> DataFrame:
+    """``docs`` with ``name`` and ``rank``, a number from 0 in each name, in the order of the MD5 of the id, then the id, then a hash or number of the row."""
+    dealt, sizes = _dealt(docs, name, id_col)
     before = Window.partitionBy("name").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("name", "bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("name", "bucket", "part").orderBy("hash", id_col, "uid")
@@ -113,7 +117,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, others: int = 1,
     A source's documents are ordered by the MD5 of their id (then id), which
     also deals them to buckets, so that no source is numbered in one task:
     rows are numbered within a bucket and buckets by their counts. A bucket
-    that many null or equal ids share is dealt out further, by a hash of the row. Null sources count
+    that many null or equal ids share is dealt out further: then all rows are
+    numbered in a written table, so that equal ones part as well. Null sources count
     as the empty source, null ids as the empty id; repeated rows are mixed
     each; input columns named as the new ones are replaced. Texts, empty or
     long, don't matter. An empty table gives an empty one.

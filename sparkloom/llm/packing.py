@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from . import spans
 from .encoding import Encoder, ragged
-from .shared import written
+from .shared import sums_before, written
 
 WINDOW = 2048
 END_ID = 1
@@ -224,8 +224,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     window ends, the last window into powers of two. No sequence has padding.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset. Null and empty texts give one piece with the end id alone; repeated
-    rows are packed each; null ids are kept; an empty table gives no pieces.
+    offset; other input columns are left out. Null and empty texts give one
+    piece with the end id alone; repeated rows are packed each; null ids are
+    kept; an empty table gives no pieces. A very long text is encoded whole in
+    one task, at about 60 bytes for each of its bytes.
     """
     spark = docs.sparkSession
     encoded = written(_encoded(docs, vocabulary, id_col, text_col, window, end_id), "packing")
@@ -268,13 +270,20 @@ def pack_in_order(docs: DataFrame, vocabulary: str, schedule: Callable[[DataFram
     other there are planned together, about ``CHUNK`` at a time, and a chunk's
     sequences come in the order of the first document that each holds. Rests
     that fill no window are cut at the end of their chunk.
+
+    Null and empty texts give one piece with the end id alone; null and
+    repeated ids are packed each; other columns than the id and ``keep`` are
+    left out, whatever their names; a very long text is encoded whole in one
+    task and then holds as many windows as it fills; an empty table gives no
+    pieces. Chunks and sequences are numbered by sums in two levels; no table
+    that grows with the documents is sent to all tasks or sorted in one.
     """
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *keep).alias("who"), text_col)
     encoded = _encoded(rows, vocabulary, "who", text_col, window, end_id).select("doc_id.*", "doc_tokens", "full_crc32", "rest", "length")
     ordered = written(schedule(written(encoded, "packing")).select("doc_id", "at", "doc_tokens", "full_crc32", "rest", "length"), "scheduled")
     cell = F.floor(F.col("at") / CHUNK).alias("cell")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = ordered.groupBy(cell).agg(F.count("*").alias("n")).select("cell", F.floor(before / CHUNK).alias("chunk"))
+    cells = written(ordered.groupBy(cell).agg(F.count("*").alias("n")), "cells")
+    chunks = sums_before(cells, "cell", "n", "before").select("cell", F.floor(F.col("before") / CHUNK).alias("chunk"))
     kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in _PIECE)])
     names = kinds.names
 
@@ -299,11 +308,10 @@ def pack_in_order(docs: DataFrame, vocabulary: str, schedule: Callable[[DataFram
         taken_rows = pa.array(row)
         return pa.table([table["chunk"].take(taken_rows), table["doc_id"].take(taken_rows), *map(pa.array, columns)], names=names)
 
-    fitted = written(ordered.withColumn("cell", cell).join(F.broadcast(chunks), "cell").drop("cell").groupBy("chunk").applyInArrow(fit, kinds), "fitted")
-    sizes = fitted.groupBy("chunk").agg((F.max("sequence_id") + 1).alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select("chunk", earlier.alias("first"))
-    numbered = fitted.join(F.broadcast(firsts), "chunk").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
+    fitted = written(ordered.withColumn("cell", cell).join(chunks, "cell").drop("cell").groupBy("chunk").applyInArrow(fit, kinds), "fitted")
+    sizes = written(fitted.groupBy("chunk").agg((F.max("sequence_id") + 1).alias("n")), "chunks")
+    firsts = sums_before(sizes, "chunk", "n", "first").select("chunk", "first")
+    numbered = fitted.join(firsts, "chunk").withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
     return numbered.select("doc_id", *_PIECE)
 
 

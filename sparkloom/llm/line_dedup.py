@@ -45,8 +45,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Winnowing: of each ``run`` consecutive lines the least gram hash is the
     fingerprint, so equal runs always share one. The places of a fingerprint
-    are joined, the lines around them compared, and each match grows both ways
-    for as long as its lines equal the earlier copy's. The first copy, in the
+    are joined, and each match grows from it both ways: to the ``run`` lines on
+    either side that hold it, which are compared by 128 bits, and on from there
+    for as long as neighbouring ones match the same earlier place in step
+    (``repeats.matches``). Of matches that overlap those that reach farthest
+    are taken (``repeats.factors``), and their lines go. The first copy, in the
     order of id and place, stays, and a line goes if a window of ``run`` lines
     that covers it stands at an earlier place as well. With ``passage_words``,
     a shorter run is such a window too if it holds at least so many words: a

@@ -9,9 +9,9 @@ grams as its anchor, so that two equal windows always pick the same one. Then:
 2. The windows around such an anchor meet under the anchor's hash and are
    compared by 128 bits. A window that stands elsewhere gets a reference: the
    first place that holds the same units.
-3. In its block each document is parsed from left to right into factors, as long
-   as one reference goes on. A window that crosses from one factor into the next
-   was looked up as all others, so nothing is lost where factors meet.
+3. In its block windows that go on in step with their references are matches,
+   and a greedy parse from left to right takes as the next factor the match
+   that reaches farthest from where it stands. What factors hold goes.
 
 Every step costs in proportion to the corpus, whatever its size. Equal entries
 are merged in their block, then under a salt, then under their hash, so that a
@@ -254,10 +254,10 @@ def reference_blocks(docs: DataFrame, text_col: str) -> DataFrame:
     return written(docs.mapInArrow(emit, "block long, bytes long, payload binary"), "blocks")
 
 
-def coverage(units: Units, place: np.ndarray, count: np.ndarray, other_block: np.ndarray, other: np.ndarray, n: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """A block's factors (first unit, units, reference block and unit) from its runs of windows, and which of its ``n`` units they cover.
+def matches(units: Units, place: np.ndarray, count: np.ndarray, other_block: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A block's matches, in order: first unit, units, and the block and unit where the reference begins.
 
-    Runs that go on in step with their reference are one factor, however many
+    Windows that go on in step with their reference are one match, however many
     buckets they came from; it ends where its reference parts from the text.
     """
     kinds = len(units.widths)
@@ -269,10 +269,38 @@ def coverage(units: Units, place: np.ndarray, count: np.ndarray, other_block: np
     windows = np.add.reduceat(count, first) if len(first) else count
     begin, kind = np.divmod(place[first], kinds)
     size = windows + np.array(units.widths)[kind] - 1
+    order = np.lexsort((-size, begin))
+    return begin[order], size[order], other_block[first][order], other[first][order] // kinds
+
+
+def factors(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which matches, in the order of their first unit, a greedy parse takes as factors.
+
+    It reads from left to right. Where it stands it takes, of all matches that
+    begin no later, the one that reaches farthest; so a match that crosses the
+    end of the factor before, or meets it, is looked at there and goes on as
+    the next factor. Where none reaches beyond it goes to the next match.
+    """
+    chosen, stand, best, far = [], -1, -1, -1
+    for k, (low, high) in enumerate(zip(begin.tolist(), (begin + size).tolist(), strict=True)):
+        if low > stand and far > stand:
+            chosen.append(best)
+            stand = far
+        if low > stand:
+            stand = low
+        if high > far:
+            best, far = k, high
+    if far > stand:
+        chosen.append(best)
+    return np.array(chosen, np.int64)
+
+
+def covered(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` units the spans hold."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, begin, 1)
     np.add.at(edge, begin + size, -1)
-    return (begin, size, other_block[first], other[first] // kinds), np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str, text_col: str, counts: tuple[str, str]) -> DataFrame:
@@ -320,7 +348,9 @@ def remove_repeats(docs: DataFrame, units: Units, rewrite: Callable, id_col: str
             rows = rows_of(payload)
             data, offsets = spans.bytes_of(rows[text_col])
             begin, end, text = units.split(data, offsets)
-            _, gone = coverage(units, *found, len(text))
+            begins, sizes, _, _ = matches(units, *found)
+            chosen = factors(begins, sizes)
+            gone = covered(begins[chosen], sizes[chosen], len(text))
             out, bounds = rewrite(data, offsets, begin, end, text, gone)
             new = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
             held, removed = np.bincount(text, minlength=len(rows)), np.bincount(text, gone, minlength=len(rows)).astype(np.int64)

@@ -30,13 +30,14 @@ def _kept_words(data, offsets, begin, end, text, gone):
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with every word removed that a repeated window of ``window`` words covers.
 
-    Relative Lempel-Ziv: each document is parsed from left to right into
-    factors that stand at another place of some reference block, its own block
-    included. The index of all blocks answers for every window of ``window``
-    words with such a place, so a factor begins where a window has one, goes on
-    as long as the reference does, and has at least ``window`` words. A window
-    that crosses from one factor into the next has its own answer, and the
-    spans of all factors go.
+    Relative Lempel-Ziv: the index of all blocks tells of every window of
+    ``window`` words that stands elsewhere, its own block included, one such
+    place. Windows that go on in step with their places are a match. Each block
+    is parsed from left to right into factors: of the matches that begin where
+    the last factor ends, or before it, the one that reaches farthest is the
+    next factor (``repeats.factors``). A match that crosses the border of two
+    factors is thus looked at there. Every factor has at least ``window`` words
+    and goes as a whole; together they hold all words of all such windows.
 
     Words are runs of bytes other than space and tab to carriage return, kept
     as they are. ``text`` becomes the kept words joined by one space, and the

@@ -14,7 +14,7 @@ def test_query_equals_its_oracle(spark, name):
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
-    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", ["op2_url_filter", "op7_source_mixing"])

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 
 from sparkloom.llm import blobs, spans
 from sparkloom.llm.components import Forest
-from sparkloom.llm.repeats import Units, coverage
+from sparkloom.llm import repeats
+from sparkloom.llm.repeats import Units, covered, factors, matches
 
 texts = st.lists(st.text(alphabet="ab \n\té,", max_size=30) | st.none(), max_size=12)
 
@@ -72,15 +73,50 @@ def test_forest(n, edges):
     assert forest.roots(np.arange(n)).tolist() == label
 
 
-def test_factors_and_covered_units():
+def test_matches_go_on_in_step_and_factors_cover_them():
     units = Units(spans.split, 3, 1, keep_first=False)
     runs = [np.array(x) for x in ([4, 1, 6, 12], [2, 2, 1, 1], [9, 9, 9, 9], [104, 50, 200, 300])]
-    (begin, size, block, other), gone = coverage(units, *runs, 20)
+    begin, size, block, other = matches(units, *runs)
     assert begin.tolist() == [1, 4, 6, 12] and size.tolist() == [4, 4, 3, 3] and other.tolist() == [50, 104, 200, 300]
-    assert np.flatnonzero(gone).tolist() == [*range(1, 9), 12, 13, 14]
-    (begin, size, _, _), _ = coverage(units, *(np.array(x) for x in ([1, 3], [2, 2], [9, 9], [50, 52])), 20)
-    assert begin.tolist() == [1] and size.tolist() == [6]  # one factor, from two runs that go on
-    assert not coverage(units, *(np.zeros(0, np.int64),) * 4, 7)[1].any()
+    chosen = factors(begin, size)
+    assert begin[chosen].tolist() == [1, 4, 6, 12] and np.flatnonzero(covered(begin[chosen], size[chosen], 20)).tolist() == [*range(1, 9), 12, 13, 14]
+    begin, size, _, _ = matches(units, *(np.array(x) for x in ([1, 3], [2, 2], [9, 9], [50, 52])))
+    assert begin.tolist() == [1] and size.tolist() == [6]  # one match, from two runs that go on
+    assert not len(factors(*matches(units, *(np.zeros(0, np.int64),) * 4)[:2]))
+
+
+def test_the_greedy_parse_takes_the_farthest_reaching_match():
+    begin, size = np.array([0, 0, 2, 3, 9, 20]), np.array([8, 5, 9, 4, 3, 4])
+    assert factors(begin, size).tolist() == [0, 2, 4, 5]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=25))
+def test_factors_cover_what_all_matches_cover_and_none_is_idle(pairs):
+    pairs = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    begin, size = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
+    chosen = factors(begin, size)
+    whole = covered(begin, size, 50)
+    assert (covered(begin[chosen], size[chosen], 50) == whole).all()
+    for k in range(len(chosen)):
+        rest = np.delete(chosen, k)
+        assert (covered(begin[rest], size[rest], 50) != whole).any()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=4, max_size=60))
+def test_every_unit_of_a_match_equals_its_reference(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    units, offsets = Units(spans.split, 4, 2, keep_first=False), np.array([0, len(data)])
+    anchors = repeats._anchor_entries(units, data, offsets, np.zeros(1, np.int64), 7)
+    held = repeats._window_entries(units, data, offsets, np.zeros(1, np.int64), 7, anchors.place)
+    found, rest = repeats.merge(held, False)
+    begin, size, block, other = matches(units, *repeats.runs_of(found, 1)[1:])
+    assert all(words[b : b + n] == words[o : o + n] and b != o for b, n, o in zip(begin.tolist(), size.tolist(), other.tolist()))
+    windows = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+    wanted = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(4)}
+    chosen = factors(begin, size)
+    assert set(np.flatnonzero(covered(begin[chosen], size[chosen], len(words))).tolist()) == wanted
 
 
 def thue_morse(n):

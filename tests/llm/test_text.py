@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm import inner_products, mixing, packing, spans, token_counts, toxicity, url_filter
@@ -229,3 +230,53 @@ def test_top_k_equals_brute_force(spark, monkeypatch, step):
             scores = sorted((-int(q @ c), j) for k, (j, c) in enumerate(clean) if k != at)[:20]
             assert found[i] == [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     assert len(found[20]) == 40  # a repeated id asks twice
+
+
+def test_equal_null_rows_of_the_query_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Rows that hold nothing but a null id and one source, as the query reads them."""
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    spark.createDataFrame([(None, "x", "src0")] * 300 + [(i, "y", "src1") for i in range(20)], "doc_id long, text string, source string").repartition(6).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet").select("doc_id", "source")
+    dealt, sizes = mixing._dealt(docs, F.col("source"), "doc_id")
+    parts = [r.n for r in sizes.where("name = 'src0'").collect()]
+    assert len(parts) == 8 and sum(parts) == 300 and max(parts) < 80 and dealt.count() == 320
+    rows = mixing.op7_source_mixing(spark, f"file://{tmp_path}").where("source = 'src0'").collect()
+    assert sorted(r.mix_block * mixing.BLOCK + r.mix_place for r in rows) == list(range(300))
+
+
+def test_a_share_of_labels_never_rounds_to_nothing(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    assert rows.where(toxicity._chosen(F.col("h"), 1e-13)).count() <= 1 and rows.where(toxicity._chosen(F.lit(0).cast("long"), 1e-13)).count() == 2000
+    assert 900 < rows.where(toxicity._chosen(F.col("h"), 0.5)).count() < 1100 and rows.where(toxicity._chosen(F.col("h"), 7.0)).count() == 2000
+
+
+def test_rows_of_one_id_are_bounded_and_repeats_learned_once(spark):
+    docs = spark.createDataFrame([(1, f"bad text {i}") for i in range(400)] + [(2, "fine words")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, most_rows=20)
+    few = toxicity.train(docs.dropDuplicates(), labels, most_rows=20)
+    assert model.bias == few.bias and model.weights.tolist() == few.weights.tolist()
+
+
+def test_a_text_of_megabytes_is_packed_as_the_library_encodes_it(spark):
+    r = random.Random(4)
+    words = ["alpha", "it's", "Ünder", "12ab", "日本", "x" * 50, "<|endoftext|>", "don't"]
+    texts = {1: " ".join(r.choice(words) for _ in range(300_000)), 2: "short"}
+    assert len(texts[1]) > 3_000_000
+    check_packing(texts, packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect())
+
+
+def test_least_squares_against_a_plain_solver():
+    """Coordinate descent, exactly solved in each step, on small dense problems."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a = rng.integers(0, 3, (6, 9)).astype(float)
+        wanted = rng.integers(0, 50, 6).astype(float)
+        x = np.zeros(9)
+        for _ in range(3000):
+            for j in range(9):
+                if (norm := a[:, j] @ a[:, j]) > 0:
+                    x[j] = max(0.0, x[j] + a[:, j] @ (wanted - a @ x) / norm)
+        rows, columns = np.nonzero(a)
+        found = packing.nonnegative_least_squares(rows, columns, a[rows, columns], wanted, 9, rounds=4000)
+        assert (found >= 0).all() and np.linalg.norm(a @ found - wanted) <= np.linalg.norm(a @ x - wanted) + 1e-3

@@ -349,25 +349,24 @@ class Pairs:
     def _heads(self, at: np.ndarray) -> np.ndarray:
         return np.r_[True, (self.context[at][1:] != self.context[at][:-1]) | (self.part[at][1:] != self.part[at][:-1])]
 
-    def told(self, replies: pa.Table, numbered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each entry's count and number, and how many followers of its context were seen once, twice and more often."""
-        count, number, kinds = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.zeros((len(self.context), 3))
+    def told(self, replies: pa.Table, numbered: bool, cut: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each entry's count and number, and, where discounts are given, the sum of all discounts of its context."""
+        count, number, rest = np.zeros(len(self.context), np.int64), np.zeros(len(self.context), np.int64), np.zeros(len(self.context))
         held = dict(zip(replies["bucket"].to_pylist(), replies["told"], strict=True))
         for bucket, at in self.requests():
             read = Reader(held[bucket].as_buffer())
             count[at] = read.next()
             if numbered:
                 number[at] = read.next()
-            group = np.cumsum(self._heads(at)) - 1
-            kinds[at] = np.stack([read.next(), read.next(), read.next()], axis=1)[group]
-        # parts of a context add up; every part stands once for it
-        order = np.lexsort((self.part, self.context))
-        new = np.r_[True, self.context[order][1:] != self.context[order][:-1]][: len(order)]
-        one = new | np.r_[False, self.part[order][1:] != self.part[order][:-1]][: len(order)]
-        group = np.cumsum(new) - 1
-        if len(order):
-            kinds[order] = np.add.reduceat(np.where(one[:, None], kinds[order], 0), np.flatnonzero(new))[group]
-        return count, number, kinds
+            if cut is not None:
+                rest[at] = sum(cut[k] * read.next() for k in (1, 2, 3))[np.cumsum(self._heads(at)) - 1]
+        if cut is not None and self.part.any():
+            # parts of a context add up; every part stands once for it
+            order = np.lexsort((self.part, self.context))
+            new = np.r_[True, self.context[order][1:] != self.context[order][:-1]]
+            one = new | np.r_[False, self.part[order][1:] != self.part[order][:-1]]
+            rest[order] = np.add.reduceat(np.where(one, rest[order], 0.0), np.flatnonzero(new))[np.cumsum(new) - 1]
+        return count, number, rest
 
 
 def _read(blob: pa.Scalar) -> list[np.ndarray]:
@@ -408,9 +407,9 @@ def _meet_pairs(table: pa.Table, buckets: int, nth: int, numbered: bool) -> pa.T
 
 
 class Model:
-    """What a block knows of its own n-grams, order by order, from the replies."""
+    """What a block knows of its own n-grams, order by order, from the replies; with discounts also what its contexts leave to others."""
 
-    def __init__(self, block: Block, dictionary: pa.Scalar, replies: pa.Table, buckets: int, order: int) -> None:
+    def __init__(self, block: Block, dictionary: pa.Scalar, replies: pa.Table, buckets: int, order: int, cuts: list[np.ndarray] | None = None) -> None:
         self.block, self.buckets, self.order = block, buckets, order
         self.replies = {k: replies.filter(pc.equal(replies["nth"], k)) for k in range(1, order + 1)}
         one, _, size, _ = _words(dictionary)
@@ -436,11 +435,13 @@ class Model:
             if not len(self.replies[k]):
                 break
             # the entry -1 of positions that ask nothing stands for zeros
-            count, number, kinds = (np.concatenate([x, np.zeros((1, *x.shape[1:]), x.dtype)]) for x in pairs.told(self.replies[k], k < order))
-            seen, numbers, follows = count[pairs.which], number[pairs.which], kinds[pairs.which]
+            count, number, rest = (np.r_[x, np.zeros(1, x.dtype)] for x in pairs.told(self.replies[k], k < order, cuts and cuts[k - 2]))
+            seen, numbers = count[pairs.which], number[pairs.which]
             seen[private & self.learned] = 1
-            follows[private] = (1, 0, 0)
-            self.levels[-1] = (pairs, context, occurs, private, seen, follows)
+            if cuts:
+                rest = rest[pairs.which]
+                rest[private] = cuts[k - 2][1]
+            self.levels[-1] = (pairs, context, occurs, private, seen, rest)
             if k == order:
                 break
             # the next order's contexts: what was read up to here, if it was seen and goes on
@@ -472,10 +473,9 @@ class Model:
         before, after, shorter = np.r_[1, word_state[token[:-1]]], word_state[token], np.zeros(len(token), np.int64)
         before[self.first] = 1
         arcs, arc_weight, arc_state, below = [], [np.zeros(0)], [np.zeros(0, np.int64)], unigram[token]
-        for k, ((pairs, _, occurs, private, seen, follows), cut) in enumerate(zip(self.levels, cuts, strict=True)):
+        for k, ((pairs, _, occurs, private, seen, left), cut) in enumerate(zip(self.levels, cuts, strict=True)):
             there = occurs > 0
-            rest = np.zeros(len(token))
-            rest[there] = (follows[there] @ cut[1:]) / occurs[there]
+            rest = np.where(there, left / np.maximum(occurs, 1), 0.0)
             failure[before[there]], weight[before[there]] = shorter[there], np.log10(rest[there])
             own = private & self.learned
             # an arc for each n-gram that was asked for and each that only this block has
@@ -600,7 +600,7 @@ def score_texts(docs: DataFrame, apart: Column | None = None, order: int = ORDER
         parts = []
         for words, payload in zip(left["words"], left["payload"], strict=True):
             block = Block.read(payload)
-            model = Model(block, words, right, buckets, order)
+            model = Model(block, words, right, buckets, order, cuts)
             automaton = model.automaton(total, known, cuts)
             count, text = np.diff(block.bounds), np.repeat(np.arange(len(block.ids)), np.diff(block.bounds))
             base = np.bincount(text, automaton.word_weight[block.token], minlength=len(count))

@@ -102,9 +102,10 @@ def test_common_contexts_are_dealt_to_parts(monkeypatch):
     rows = language_model._rows_asked(0, pairs.ask(), 0)
     table = pa.Table.from_batches([rows])
     replies = pa.concat_tables([language_model._meet_pairs(table.filter(pa.compute.equal(table["bucket"], b)), 4, 2, True) for b in set(table["bucket"].to_pylist())])
-    count, number, kinds = pairs.told(replies.filter(pa.compute.greater_equal(replies["block"], 0)), True)
+    cut = np.array([0.0, 0.5, 10.0, 100.0])
+    count, number, rest = pairs.told(replies.filter(pa.compute.greater_equal(replies["block"], 0)), True, cut)
     assert (pairs.part > 0).any() and count[pairs.which[[0, 1, 2, 3, 5]]].tolist() == [1, 2, 0, 1, 2] and pairs.which[4] == -1
-    assert kinds[pairs.which[0]].tolist() == [1, 1, 0] and kinds[pairs.which[3]].tolist() == [1, 0, 0] and number[pairs.which[1]] > 0
+    assert rest[pairs.which[0]] == 10.5 and rest[pairs.which[3]] == 0.5 and number[pairs.which[1]] > 0
 
 
 def test_probabilities_of_all_words_add_up_to_one():

@@ -6,7 +6,7 @@ Values are variants. Repeated keys need the session setting that
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that JSON allows around a value.
@@ -81,18 +81,23 @@ def number_of_text(text: Column) -> Column:
     )
 
 
-def number_of(value: Column) -> Column:
-    """A value as a number: what is falsy is 0, true is 1, and text counts as ``number_of_text`` says."""
-    return F.when(~is_truthy(value), 0.0).when(F.schema_of_variant(value) == "BOOLEAN", 1.0).otherwise(number_of_text(text_of(value)))
+def number_of(value: Column, text: Column) -> Column:
+    """A value, of which ``text`` is the text, as a number: what is falsy is 0, true is 1, and text counts as ``number_of_text`` says."""
+    return F.when(~is_truthy(value), 0.0).when(F.schema_of_variant(value) == "BOOLEAN", 1.0).otherwise(number_of_text(text))
 
 
-def ordered_members(members: Column) -> Column:
-    """The members of an object, read as a map, as (key, value): whole numbers first, then the others as they come; a repeated key stands where it stood first, with its last value."""
-    entries = F.map_entries(members)
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
-    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
+def with_members(rows: DataFrame, members: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the members of an object, given as a map, as a list of (key, value).
+
+    Whole numbers come first, then the others as they stand; a repeated key
+    stands where it stood first, with its last value. Each step is a projection
+    of its own, so that none is computed once for every member.
+    """
     number = lambda key: F.when(F.rlike(key, F.lit(r"^(0|[1-9][0-9]{0,8})\z")), key.cast("int"))
-    places = F.array_sort(F.transform(once, lambda e, i: F.struct(F.coalesce(number(e["key"]), F.lit(1 << 30)).alias("n"), i.alias("i"))))
-    sorted_ = F.transform(places, lambda x: F.element_at(once, (x["i"] + 1).cast("int")))
-    return F.when(F.exists(keys, lambda k: number(k).isNotNull()), sorted_).otherwise(once)
+    rows = rows.withColumn("__entries", F.map_entries(members)).withColumn("__keys", F.transform("__entries", lambda e: e["key"])).withColumn("__own", F.array_distinct("__keys"))
+    last = F.transform("__own", lambda k: F.struct(k.alias("key"), F.element_at(F.filter("__entries", lambda e: e["key"] == k), -1)["value"].alias("value")))
+    rows = rows.withColumn("__once", F.when(F.size("__own") == F.size("__keys"), F.col("__entries")).otherwise(last))
+    placed = F.transform("__once", lambda e, i: F.struct(F.coalesce(number(e["key"]), F.lit(1 << 30)).alias("n"), i.alias("i")))
+    rows = rows.withColumn("__places", F.when(F.exists("__own", lambda k: number(k).isNotNull()), F.array_sort(placed)))
+    sorted_ = F.transform("__places", lambda x: F.element_at("__once", (x["i"] + 1).cast("int")))
+    return rows.withColumn(name, F.coalesce(sorted_, F.col("__once"))).drop("__entries", "__keys", "__own", "__once", "__places")

@@ -55,14 +55,15 @@ def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = N
         "__body": json.strict_json(text), "__object": json.is_object(text), "__sent": clean_text(F.col("origin"), 500), "__asked": F.lower(clean_text(F.col("host"), 255)),
         "__ok": F.lit(True) if configured is None else configured, "__done": F.lit(True) if delivered is None else delivered,
     })
-    value = lambda path: json.member(F.col("__body"), path)
-    parsed = parsed.withColumns({f"__{n}": value(n) for n in ("website", "startedAt", "ref", "type")} | {f"__{n}": value(f"fields.{n}") for n in ("name", "phone", "vehicle", "message", "modifications", "engineDetails")})
-    last = F.col("__engineDetails")
-    for name in ("__modifications", "__message"):
-        last = F.when(json.is_truthy(F.col(name)), F.col(name)).otherwise(last)
+    names = ("website", "startedAt", "ref", "type", *(f"fields.{n}" for n in ("name", "phone", "vehicle", "message", "modifications", "engineDetails")))
+    parsed = parsed.withColumn("__values", F.array(*(json.member(F.col("__body"), n) for n in names)))
+    # one expression for all values: their texts, and whether they are given
+    parsed = parsed.withColumns({"__texts": F.transform("__values", lambda v: json.text_of(v)), "__given": F.transform("__values", lambda v: json.is_truthy(v))})
+    text_at = {n.rpartition(".")[2]: F.col("__texts")[i] for i, n in enumerate(names)}
+    words = F.when(F.col("__given")[7], text_at["message"]).when(F.col("__given")[8], text_at["modifications"]).otherwise(text_at["engineDetails"])
     parsed = parsed.withColumns({
-        "__origin": origin_host(F.col("__sent")), "__started": json.number_of(F.col("__startedAt")), "__words": json.text_of(last),
-        **{f"__{n}": json.text_of(F.col(f"__{n}")) for n in ("website", "type", "name", "phone", "vehicle")}, "__ref": clean_text(json.text_of(F.col("__ref")), 80),
+        "__origin": origin_host(F.col("__sent")), "__started": json.number_of(F.col("__values")[1], text_at["startedAt"]), "__ref": clean_text(text_at["ref"], 80), "__words": words,
+        **{f"__{n}": text_at[n] for n in ("website", "type", "name", "phone", "vehicle")},
     })
     started = F.coalesce(F.col("__started"), F.lit(0.0))
     given = lambda name, limit: clean_text(F.col(name), limit) != ""
@@ -85,7 +86,9 @@ def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = N
         value = F.struct(F.lit(status).alias("status"), F.lit(code).alias("code"))
         out = F.when(holds, value) if out is None else out.when(holds, value)
     decided = parsed.withColumn("__out", out.otherwise(F.struct(F.lit(200).alias("status"), F.lit("accepted").alias("code"))))
-    return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), "__out.status", "__out.code", F.when(F.col("__out.status") == 200, F.col("__ref")).alias("ref"))
+    # a list of one, so that a filter on the decision isn't moved below it and doesn't repeat it for every condition
+    whole = F.explode(F.array(F.struct("__out.status", "__out.code", F.when(F.col("__out.status") == 200, F.col("__ref")).alias("ref")))).alias("__whole")
+    return decided.select(*(F.col(f"`{c}`") for c in submissions.columns), whole).select(*(F.col(f"`{c}`") for c in submissions.columns), "__whole.*")
 
 
 def delivery(mode: Column, api_ok: Column) -> Column:
@@ -130,9 +133,11 @@ def field_rows(submissions: DataFrame, key: str, body: Column) -> DataFrame:
     last value counts.
     """
     json_settings(submissions.sparkSession)
-    members = F.from_json(F.when(json.strict_json(body).isNotNull(), body), "fields map<string,variant>")["fields"]
-    kept = F.filter(json.ordered_members(members), lambda e: ~e["key"].isin(*RESERVED) & json.is_truthy(e["value"]))
-    rows = submissions.select(F.col(key), kept.alias("__kept")).select(key, F.posexplode(F.slice("__kept", 1, MOST_FIELDS)).alias("pos", "e"))
+    text = submissions.select(F.col(key), body.alias("__body"))
+    read = F.from_json(F.when(json.strict_json(F.col("__body")).isNotNull(), F.col("__body")), "fields map<string,variant>")
+    rows = json.with_members(text.select(key, read.alias("__read")), F.col("__read.fields"), "__members")
+    kept = F.filter("__members", lambda e: ~e["key"].isin(*RESERVED) & json.is_truthy(e["value"]))
+    rows = rows.select(key, F.posexplode(F.slice(kept, 1, MOST_FIELDS)).alias("pos", "e"))
     return rows.select(key, "pos", clean_text(F.col("e.key"), 80).alias("name"), clean_text(json.text_of(F.col("e.value"), ", ")).alias("value"))
 
 

@@ -110,13 +110,14 @@ def _path():
 
 
 def duplicate_canonicals(spark, sf_dir: str) -> DataFrame:
-    """The url without query and fragment stands for the canonical one."""
-    rows = _pages(spark, sf_dir).select("page_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("canonical"))
+    """The url's host and first folder stand for the canonical one, so that pages of a folder collide."""
+    rows = _pages(spark, sf_dir).select("page_id", F.nullif(F.regexp_extract("url", "^[^:]+://([^/?#]*/[^/?#]*)", 1), F.lit("")).alias("canonical"))
     return O.duplicates(rows, "canonical", [], "page_id")
 
 
 DUPLICATE_CANONICALS = """
-SELECT canonical, page_id, first_key FROM (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS canonical, min(page_id) OVER (PARTITION BY regexp_extract(url, '^([^?#]*)', 1)) AS first_key FROM pages) WHERE page_id > first_key
+WITH c AS (SELECT page_id, nullif(regexp_extract(url, '^[^:]+://([^/?#]*/[^/?#]*)', 1), '') AS canonical FROM pages)
+SELECT canonical, page_id, first_key FROM (SELECT *, min(page_id) OVER (PARTITION BY canonical) AS first_key FROM c WHERE canonical IS NOT NULL) WHERE page_id > first_key
 """
 
 

@@ -49,6 +49,13 @@ class Outbox:
         Modes that never call the endpoint claim without handing over. Of a
         submission that is in the batch more than once one row counts.
         """
+        accepted = accepted.persist()
+        try:
+            self._deliver(accepted, number, mode, send)
+        finally:
+            accepted.unpersist()
+
+    def _deliver(self, accepted: DataFrame, number: int, mode: Column, send: Callable[[DataFrame], DataFrame]) -> None:
         spark = accepted.sparkSession
         claims = self._table(spark, "claims", _CLAIM)
         if not claims.where(F.col("batch") == number).isEmpty():

@@ -22,6 +22,9 @@ TYPE_PATTERN = r"^[A-Za-z0-9/&+.,() -]{2,100} Enquiry\z"
 #: Fields that don't belong to the answers.
 RESERVED = ("website", "startedAt")
 
+#: Fixed value: the kind of form that sends its owner's chosen items.
+QUOTE = "General Quote"
+
 #: Columns of a submission; ``body`` is the raw text, so that broken JSON stays a case.
 SUBMISSION = T.StructType([T.StructField(n, T.StringType()) for n in ("submission_id", "method", "host", "origin", "content_length", "body")])
 
@@ -115,11 +118,38 @@ def merged_fields(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return rows.withColumn("value", F.array_join("values", ", "))
 
 
+def _first_files(entries: DataFrame, key: str, pos: str) -> DataFrame:
+    """The first ``MOST_NAMES`` attached files of each form, kept so by each task before they meet."""
+    files = entries.where((F.col("name") == "files") & (F.coalesce("value", F.lit("")) != "")).select(key, F.col(pos).alias("pos"), clean_text(F.col("value")).alias("value"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("pos", "value"))
+    return files.withColumn("nth", nth).where(F.col("nth") <= MOST_NAMES)
+
+
 def attached_names(entries: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """``names``: of each form the first ``MOST_NAMES`` names of attached files, in order."""
-    files = entries.where((F.col("name") == "files") & (F.coalesce("value", F.lit("")) != ""))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), clean_text(F.col("value")).alias("value"))))
-    return files.groupBy(key).agg(F.slice(F.transform(pairs, lambda x: x["value"]), 1, MOST_NAMES).alias("names"))
+    pairs = F.array_sort(F.collect_list(F.struct("nth", "value")))
+    return _first_files(entries, key, pos).groupBy(key).agg(F.transform(pairs, lambda x: x["value"]).alias("names"))
+
+
+def submitted_fields(entries: DataFrame, forms: DataFrame, items: DataFrame, key: str, owner: str, pos: str = "pos") -> DataFrame:
+    """``key``, ``name``, ``nth``, ``value``: all that a form sends, an element of a list a row.
+
+    Its entries as ``merged_fields`` has them, the names of its first attached
+    files, and what the form adds: ``context`` and ``platform`` where ``forms``
+    (key, kind, context, platform, owner) has them, and for a quote its owner's
+    chosen ``items`` (owner, kind, title, details, pos) as ``selectedItems``. A
+    field that the form adds replaces an entry of its name. Elements stay rows,
+    so that no owner's items meet in one list.
+    """
+    given = lambda name: forms.where(F.coalesce(name, F.lit("")) != "").select(key, F.lit(name).alias("name"), F.lit(1).alias("nth"), F.col(name).alias("value"))
+    named = merged_fields(entries, key, pos).select(key, "name", F.posexplode("values").alias("at", "value")).select(key, "name", (F.col("at") + 1).alias("nth"), "value")
+    files = _first_files(entries, key, pos).select(key, F.lit("files").alias("name"), "nth", "value")
+    quotes = forms.where(F.col("kind") == QUOTE).select(key, owner)
+    line = F.concat(F.col("kind"), F.lit(": "), F.col("title"), F.lit(" — "), F.col("details"))
+    chosen = items.select(owner, line.alias("value"), F.row_number().over(Window.partitionBy(owner).orderBy(pos)).alias("nth"))
+    picked = quotes.join(chosen, owner).select(key, F.lit("selectedItems").alias("name"), "nth", "value")
+    added = files.unionByName(given("context")).unionByName(given("platform")).unionByName(picked)
+    return named.join(added.select(key, "name").distinct(), [key, "name"], "left_anti").select(key, "name", "nth", "value").unionByName(added)
 
 
 def field_rows(submissions: DataFrame, key: str, body: Column) -> DataFrame:

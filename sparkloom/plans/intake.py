@@ -102,6 +102,28 @@ SELECT user_id, string_agg(event_type || '-' || event_id, '|' ORDER BY event_id)
 """
 
 
+def form_fields(spark, sf_dir: str) -> DataFrame:
+    """What forms send: a user's events as their entries and files, their page, and for quotes what the user chose."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    entries = e.select("user_id", F.when(k % 4 == 0, "files").when(k % 4 == 1, "context").otherwise("note").alias("name"), F.concat("event_type", F.lit(" "), "event_id").alias("value"), F.col("event_id").alias("pos"))
+    user = F.col("user_id")
+    forms = e.select("user_id").distinct().select("user_id", F.when(user % 2 == 0, "General Quote").otherwise("Workshop").alias("kind"), F.when(user % 3 == 0, "a page").alias("context"), F.when(user % 5 == 0, "").otherwise("p").alias("platform"))
+    items = e.where(k < 20).select("user_id", F.col("event_type").alias("kind"), k.cast("string").alias("title"), F.lit("d").alias("details"), F.col("event_id").alias("pos"))
+    return O.submitted_fields(entries, forms, items, "user_id", "user_id")
+
+
+FORM_FIELDS = """
+WITH e AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), u AS (SELECT DISTINCT user_id FROM events), r AS (
+  SELECT user_id, CASE k % 4 WHEN 0 THEN 'files' WHEN 1 THEN 'context' ELSE 'note' END AS name, event_type || ' ' || event_id AS value, event_id AS pos FROM e), n AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY pos) AS nth FROM r)
+SELECT user_id, name, CAST(nth AS INTEGER) AS nth, value FROM n WHERE name = 'note' OR (name = 'files' AND nth <= 15) OR (name = 'context' AND user_id % 3 <> 0)
+UNION ALL SELECT user_id, 'context', 1, 'a page' FROM u WHERE user_id % 3 = 0
+UNION ALL SELECT user_id, 'platform', 1, 'p' FROM u WHERE user_id % 5 <> 0
+UNION ALL SELECT user_id, 'selectedItems', CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER), event_type || ': ' || k || ' — d' FROM e WHERE k < 20 AND user_id % 2 = 0
+"""
+
+
 def hand_off_text(spark, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     fields = F.create_map(F.lit("name"), F.array(F.col("user_id").cast("string")), F.lit("files"), F.array(F.col("event_type"), F.col("event_type")), F.lit("none"), F.array(F.lit("")), F.lit("consent"), F.array(F.lit("yes")))
@@ -235,6 +257,7 @@ QUERIES = {
     "intake_decision": (intake_decision, INTAKE_DECISION),
     "field_rows": (field_rows, FIELD_ROWS),
     "attached_names": (attached_names, ATTACHED_NAMES),
+    "form_fields": (form_fields, FORM_FIELDS),
     "merged_fields": (merged_fields, MERGED_FIELDS),
     "hand_off_text": (hand_off_text, HAND_OFF_TEXT),
     "basket_first": (basket_first, BASKET_FIRST),

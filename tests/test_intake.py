@@ -142,3 +142,11 @@ def test_lists_blanks_and_attached_names(spark):
     entries = spark.createDataFrame([("f", "x", "", 0), ("f", "x", " a ", 1), ("f", "x", "", 2), ("f", "x", "b", 3), ("f", "y", "", 4), *(("f", "files", f"n{k}", 10 + k) for k in range(20))], "form string, name string, value string, pos int")
     assert {r.name: r.value for r in intake.merged_fields(entries, "form").collect()} == {"x": "a, , b", "y": ""}
     assert intake.attached_names(entries, "form").first().names == [f"n{k}" for k in range(15)]
+
+
+def test_submitted_fields_add_what_the_form_knows(spark):
+    entries = spark.createDataFrame([(1, "x", "", 0), (1, "x", "b", 1), (1, "context", "own", 2), (2, "context", "own", 0), (1, "files", "f", 3), (1, "website", "w", 4)], "form int, name string, value string, pos int")
+    forms = spark.createDataFrame([(1, "General Quote", "page", None, "u"), (2, "Other", "", "pl", "u"), (3, "General Quote", None, None, "v")], "form int, kind string, context string, platform string, who string")
+    items = spark.createDataFrame([("u", "Part", "B", "2", 5), ("u", "Part", "A", "1", 2)], "who string, kind string, title string, details string, pos int")
+    found = sorted(map(tuple, intake.submitted_fields(entries, forms, items, "form", "who").collect()))
+    assert found == [(1, "context", 1, "page"), (1, "files", 1, "f"), (1, "selectedItems", 1, "Part: A — 1"), (1, "selectedItems", 2, "Part: B — 2"), (1, "x", 1, "b"), (2, "context", 1, "own"), (2, "platform", 1, "pl")]

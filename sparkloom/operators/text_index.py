@@ -34,7 +34,7 @@ def write_trigram_index(texts: DataFrame, key: str, text: Column, folder: str) -
     time one row for each bucket: distinct trigrams, how many keys each has,
     and these. So no list meets in one place, however common its trigram.
     """
-    spark = with_package(texts.sparkSession)
+    with_package(texts.sparkSession)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +64,6 @@ def write_trigram_index(texts: DataFrame, key: str, text: Column, folder: str) -
     plain = texts.where(F.col(key).isNotNull() & text.isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(text).alias("text"))
     told = plain.mapInArrow(tell, "bucket int, trigrams binary, counts binary, keys binary")
     told.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
-    del spark
 
 
 def candidates(spark: SparkSession, folder: str, query: str) -> DataFrame | None:

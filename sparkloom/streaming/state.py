@@ -26,8 +26,8 @@ class VersionedState:
     values: str
     buckets: int = 64
 
-    def _schema(self, spark: SparkSession, rows: DataFrame | None = None) -> T.StructType:
-        return T._parse_datatype_string(self.values) if rows is None else T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in self.keys), *T._parse_datatype_string(self.values).fields])
+    def _schema(self, rows: DataFrame) -> T.StructType:
+        return T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in self.keys), *T._parse_datatype_string(self.values).fields])
 
     def _versions(self, spark: SparkSession, before: int | None) -> dict[int, int]:
         """The version of every bucket that has one: a row for each bucket at most."""
@@ -52,7 +52,7 @@ class VersionedState:
         """The state before a batch, of the buckets that ``changes`` fall into."""
         versions = self._versions(changes.sparkSession, number)
         touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}  # at most as many as buckets
-        return self._read(changes.sparkSession, {b: v for b, v in versions.items() if b in touched}, self._schema(changes.sparkSession, changes))
+        return self._read(changes.sparkSession, {b: v for b, v in versions.items() if b in touched}, self._schema(changes))
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -76,7 +76,8 @@ class VersionedState:
         merged = old.join(new, same, "full").select(*key, *(c.alias(n) for n, c in update().items())).where(stays).withColumn("bucket", self._bucket())
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/version={number}")
         touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}
-        there = {r[0] for r in spark.read.parquet(f"{self.folder}/rows/version={number}").select("bucket").distinct().collect()} if touched and not merged.isEmpty() else set()
+        written = spark.read.schema(T.StructType([*self._schema(changes).fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.folder}/rows/version={number}")
+        there = {r[0] for r in written.select("bucket").distinct().collect()}  # a bucket may have lost its last row
         versions = {b: v for b, v in versions.items() if b not in touched} | dict.fromkeys(touched & there, number)
         spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{self.folder}/list/batch={number}")
 

@@ -8,34 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import padded_ordinal
+from ..sources.tables import kept
 
 
-#: Keys that the order is cut by are taken from a sample of this size, into this many stretches.
-SAMPLE, STRETCHES = 8192, 64
-
-
-def _stretch(key: Column, cuts: list) -> Column:
-    """The number of cuts that don't lie above the key, by halving; null keys come first."""
-    def among(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= cuts[middle], among(middle + 1, high)).otherwise(among(low, middle))
-    return among(0, len(cuts))
-
-
-def ring(items: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+def ring(items: DataFrame, group: Sequence[str], key: str, stretches: int | None = None) -> DataFrame:
     """Each item's ``position`` and ``n_items`` in its group, a label ``i / n``, and the next and previous key round the ring.
 
-    Items are sorted within stretches of their group's order, so that one with
-    a third of all rows isn't sorted in one task; the stretches' counts and
-    ends, at most ``STRETCHES`` rows a group, place them in the whole. Null
-    keys come first; a null group is a group. An empty table gives an empty one.
+    Spark cuts the order of all groups and keys into ``stretches`` ranges of
+    about equal size, by default as many as shuffles have partitions, so that a
+    group with a third of all rows isn't sorted in one task. The ranges are
+    written once to the shared folder, only these columns of them; the counts
+    and ends of a group's ranges, at most ``stretches`` rows a group, place
+    their items in the whole. Null keys come first; a null group is a group;
+    equal keys of a group share a range. An empty table gives an empty one.
     """
-    some = items.where(F.col(key).isNotNull()).select(key, F.xxhash64(*group, key).alias("h")).orderBy("h").limit(SAMPLE)
-    sample = sorted(row[0] for row in some.collect())
-    cuts = sorted({sample[len(sample) * i // STRETCHES] for i in range(1, STRETCHES)}) if sample else []
-    placed = items.select(*group, key, _stretch(F.col(key), cuts).alias("__stretch"))
+    spark = items.sparkSession
+    parts = stretches or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = items.select(*group, key).repartitionByRange(parts, *group, key).withColumn("__stretch", F.spark_partition_id())
+    placed = kept(cut, "ring")
     inside = Window.partitionBy(*group, "__stretch").orderBy(key)
     numbered = placed.withColumns({"__at": F.row_number().over(inside), "__next": F.lead(F.struct(key)).over(inside), "__previous": F.lag(F.struct(key)).over(inside)})
     held = placed.groupBy(*group, "__stretch").agg(F.count("*").alias("n"), F.min(F.struct(key)).alias("low"), F.max(F.struct(key)).alias("high"))

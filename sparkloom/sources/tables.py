@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .json_ranges import RANGE_BYTES, json_parts
+from .session import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,3 +47,10 @@ def keyed_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def submissions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Submissions from lines of JSON; a line that can't be read comes with nulls and its text in ``_corrupt_record``."""
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows more than once, or after a lost executor, sees the same rows."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -128,15 +128,25 @@ def test_names_files_and_terms(spark):
     assert [r.name for r in rules.without_file(of("a.js", "q", None), "name", files, "path").orderBy("name").collect()] == [None, "q"]
 
 
-def test_ring_over_stretches_equals_one_window(spark, monkeypatch):
+def test_ring_over_stretches_equals_one_window(spark):
     """Hot, single, null and empty groups, with a null key, over many stretches."""
     rows = [("hot", i) for i in range(400)] + [("one", 7), (None, 3), (None, 1), ("null", None), ("null", 2)]
     items = spark.createDataFrame(rows, "g string, k int")
-    monkeypatch.setattr(sequences, "STRETCHES", 37)
-    found = {(r.g, r.k): (r.position, r.n_items, r.next_key, r.previous_key) for r in sequences.ring(items, ["g"], "k").collect()}
+    found = {(r.g, r.k): (r.position, r.n_items, r.next_key, r.previous_key) for r in sequences.ring(items, ["g"], "k", 37).collect()}
     wanted = {}
     for g in {g for g, _ in rows}:
         keys = sorted((k for h, k in rows if h == g), key=lambda k: (k is not None, k or 0))
         wanted |= {(g, k): (i + 1, len(keys), keys[(i + 1) % len(keys)], keys[i - 1]) for i, k in enumerate(keys)}
     assert found == wanted
     assert sequences.ring(items.limit(0), ["g"], "k").collect() == []
+
+
+def test_a_hot_ring_is_cut_by_keys_of_any_type(spark):
+    """A group with nearly all rows lies in many ranges, none of which has far more than its share; keys are texts."""
+    items = spark.range(4000).select(F.when(F.col("id") < 3900, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.lpad(F.col("id").cast("string"), 5, "0").alias("k"))
+    found = sequences.ring(items, ["g"], "k", 16)
+    assert found.where("g = 'hot' AND next_key != lpad(CAST((CAST(k AS INT) + 1) % 3900 AS STRING), 5, '0')").count() == 0
+    assert found.where("g != 'hot' AND (next_key != k OR previous_key != k OR n_items != 1)").count() == 0
+    scans = [x for x in found.inputFiles()]
+    sizes = [r["count"] for r in spark.read.parquet(*scans).groupBy("__stretch").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1000

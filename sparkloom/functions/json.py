@@ -6,6 +6,8 @@ Values are variants. Repeated keys need the session setting that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _DEEPEST = 3
 
 
+#: JSON of what scripts take for false, and of whole numbers that they write the same way.
+_FALSY, _WHOLE = r'^(null|false|""|-?0(\.0+)?([eE][+-]?[0-9]+)?)\z', r"^(0|-?[1-9][0-9]{0,14})\z"
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strict_json(text: Column) -> Column:
     """The text as a variant; null if it isn't one JSON value with nothing after it.
 
@@ -26,8 +37,9 @@ def strict_json(text: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     filled = F.btrim(text, F.lit(_SPACE)) != ""
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(filled & (~F.contains(text, F.lit("]")) | member.isNotNull()) & single, F.try_variant_get(listed, "$[0]", "variant"))
+    element = lambda v, n: F.try_variant_get(v, f"$[{n}]", "variant")
+    single = _once(listed, lambda v: F.when(element(v, 1).isNull(), element(v, 0)))
+    return F.when(filled & (~F.contains(text, F.lit("]")) | member.isNotNull()), single)
 
 
 def is_object(text: Column) -> Column:
@@ -49,27 +61,25 @@ def _plain_number(value: Column) -> Column:
 
 
 def text_of(value: Column, separator: str = ",", depth: int = _DEEPEST) -> Column:
-    """A value as text: null and absent as nothing, lists joined (lists inside them by commas), objects as scripts show them."""
-    kind = F.schema_of_variant(value)
+    """A value as text: null and absent as nothing, lists joined (lists inside them by commas), objects as scripts show them.
+
+    The first sign of its JSON, which is written once, tells its type.
+    """
     if depth:
         listed = F.try_variant_get(value, "$", "array<variant>")
         joined = F.array_join(F.transform(listed, lambda x: text_of(x, ",", depth - 1)), separator)
     else:
         joined = F.to_json(value)
-    return (
-        F.when(value.isNull() | (kind == "VOID"), "").when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(F.startswith(kind, F.lit("ARRAY")), joined).when(F.startswith(kind, F.lit("OBJECT")), "[object Object]").otherwise(_plain_number(value))
-    )
+    begins = lambda j, sign: F.startswith(j, F.lit(sign))
+    return _once(F.to_json(value), lambda j: (
+        F.when(begins(j, '"'), F.try_variant_get(value, "$", "string")).when(j.isNull() | (j == "null"), "").when(begins(j, "t") | begins(j, "f") | F.rlike(j, F.lit(_WHOLE)), j)
+        .when(begins(j, "["), joined).when(begins(j, "{"), "[object Object]").otherwise(_plain_number(value))
+    ))
 
 
 def is_truthy(value: Column) -> Column:
     """False for null, false, zero and the empty string, true for all else, empty lists and objects included."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(value.isNull() | (kind == "VOID"), False).when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true")
-        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), True).otherwise(F.try_variant_get(value, "$", "double") != 0)
-    )
+    return F.coalesce(~F.rlike(F.to_json(value), F.lit(_FALSY)), F.lit(False))
 
 
 def number_of_text(text: Column) -> Column:
@@ -83,7 +93,7 @@ def number_of_text(text: Column) -> Column:
 
 def number_of(value: Column, text: Column) -> Column:
     """A value, of which ``text`` is the text, as a number: what is falsy is 0, true is 1, and text counts as ``number_of_text`` says."""
-    return F.when(~is_truthy(value), 0.0).when(F.schema_of_variant(value) == "BOOLEAN", 1.0).otherwise(number_of_text(text))
+    return F.when(~is_truthy(value), 0.0).when(F.to_json(value) == "true", 1.0).otherwise(number_of_text(text))
 
 
 def with_members(rows: DataFrame, members: Column, name: str) -> DataFrame:
@@ -95,9 +105,11 @@ def with_members(rows: DataFrame, members: Column, name: str) -> DataFrame:
     """
     number = lambda key: F.when(F.rlike(key, F.lit(r"^(0|[1-9][0-9]{0,8})\z")), key.cast("int"))
     rows = rows.withColumn("__entries", F.map_entries(members)).withColumn("__keys", F.transform("__entries", lambda e: e["key"])).withColumn("__own", F.array_distinct("__keys"))
-    last = F.transform("__own", lambda k: F.struct(k.alias("key"), F.element_at(F.filter("__entries", lambda e: e["key"] == k), -1)["value"].alias("value")))
+    rows = rows.withColumn("__back", F.reverse("__keys")).withColumn("__behind", F.reverse("__entries"))
+    last = F.transform("__own", lambda k: F.element_at("__behind", F.array_position("__back", k).cast("int")))
     rows = rows.withColumn("__once", F.when(F.size("__own") == F.size("__keys"), F.col("__entries")).otherwise(last))
-    placed = F.transform("__once", lambda e, i: F.struct(F.coalesce(number(e["key"]), F.lit(1 << 30)).alias("n"), i.alias("i")))
-    rows = rows.withColumn("__places", F.when(F.exists("__own", lambda k: number(k).isNotNull()), F.array_sort(placed)))
+    placed = F.transform("__own", lambda k, i: F.struct(F.coalesce(number(k), F.lit(1 << 30)).alias("n"), i.alias("i")))
+    numbered = F.rlike(F.array_join("__own", "\n"), F.lit(r"(^|\n)[0-9]+(\n|\z)"))
+    rows = rows.withColumn("__places", F.when(numbered, F.array_sort(placed)))
     sorted_ = F.transform("__places", lambda x: F.element_at("__once", (x["i"] + 1).cast("int")))
-    return rows.withColumn(name, F.coalesce(sorted_, F.col("__once"))).drop("__entries", "__keys", "__own", "__once", "__places")
+    return rows.withColumn(name, F.coalesce(sorted_, F.col("__once"))).drop("__entries", "__keys", "__own", "__back", "__behind", "__once", "__places")

@@ -68,6 +68,23 @@ def test_least_squares_fit_a_histogram_of_combinations():
     assert len(used) == sequences and (used == 64).all()
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_least_squares_reach_the_best_of_all_active_sets(seed):
+    """The solver's rest is that of the best unconstrained solution, over every subset of columns, that has no negative part."""
+    r = np.random.default_rng(seed)
+    dense = r.integers(0, 4, (9, 6)).astype(float)
+    wanted = r.integers(0, 50, 9).astype(float)
+    rows, columns = np.nonzero(dense)
+    found = packing.nonnegative_least_squares(rows, columns, dense[rows, columns], wanted, 6, 4000)
+    best = np.linalg.norm(wanted)
+    for chosen in range(1, 64):
+        some = [k for k in range(6) if chosen >> k & 1]
+        x = np.linalg.lstsq(dense[:, some], wanted, rcond=None)[0]
+        if (x >= 0).all():
+            best = min(best, np.linalg.norm(dense[:, some] @ x - wanted))
+    assert (found >= 0).all() and abs(np.linalg.norm(dense @ found - wanted) - best) < 1e-6 * (1 + best)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))

@@ -18,8 +18,8 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _DEEPEST = 3
 
 
-#: JSON of what scripts take for false, and of whole numbers that they write the same way.
-_FALSY, _WHOLE = r'^(null|false|""|-?0(\.0+)?([eE][+-]?[0-9]+)?)\z', r"^(0|-?[1-9][0-9]{0,14})\z"
+#: JSON of what scripts take for false, of whole numbers (the point and zeros go), and of fractions of at most 15 digits that they write the same way.
+_FALSY, _WHOLE, _FRACTION = r'^(null|false|""|-?0(\.0+)?([eE][+-]?[0-9]+)?)\z', r"^(0|-?[1-9][0-9]{0,14})(\.0+)?\z", r"^-?(0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]\z"
 
 
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,8 +72,8 @@ def text_of(value: Column, separator: str = ",", depth: int = _DEEPEST) -> Colum
         joined = F.to_json(value)
     begins = lambda j, sign: F.startswith(j, F.lit(sign))
     return _once(F.to_json(value), lambda j: (
-        F.when(begins(j, '"'), F.try_variant_get(value, "$", "string")).when(j.isNull() | (j == "null"), "").when(begins(j, "t") | begins(j, "f") | F.rlike(j, F.lit(_WHOLE)), j)
-        .when(begins(j, "["), joined).when(begins(j, "{"), "[object Object]").otherwise(_plain_number(value))
+        F.when(begins(j, '"'), F.try_variant_get(value, "$", "string")).when(j.isNull() | (j == "null"), "").when(begins(j, "t") | begins(j, "f"), j).when(F.rlike(j, F.lit(_WHOLE)), F.substring_index(j, ".", 1))
+        .when(begins(j, "["), joined).when(begins(j, "{"), "[object Object]").when(F.rlike(j, F.lit(_FRACTION)), j).otherwise(_plain_number(value))
     ))
 
 

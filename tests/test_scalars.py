@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import json
 from sparkloom.functions import scalars as S
 
 
@@ -78,3 +79,13 @@ def test_localized_url_keeps_the_query(spark, route, wanted):
 def test_parsed_or_fallback(spark, text, wanted):
     found = one(spark, S.parsed_or(F.lit(text).cast("string"), "array<struct<a:int>>", F.array().cast("array<struct<a:int>>")))
     assert [x.a for x in found] == wanted
+
+
+@pytest.mark.parametrize("text, written, given", [
+    ("0", "0", False), ("-0.0", "0", False), ("0e9", "0", False), ("2.0", "2", True), ("2.50", "2.5", True), ("0.000001", "0.000001", True), ("0.0000001", "1e-7", True), ("1e3", "1000", True), ("1e21", "1e+21", True),
+    ("-0.5", "-0.5", True), ("123456789012345678", "123456789012345680", True), ("123456789.123456", "123456789.123456", True), ('[1,2.0,[3.5,null,"x"],{}]', "1,2,3.5,,x,[object Object]", True),
+    ("[]", "", True), ("{}", "[object Object]", True), ("null", "", False), ("false", "false", False), ('"null"', "null", True), ('"0"', "0", True), ('""', "", False), ('" "', " ", True),
+])
+def test_values_are_written_and_taken_for_true_as_scripts_do(spark, text, written, given):
+    value = F.parse_json("t")
+    assert spark.createDataFrame([(text,)], "t string").select(json.text_of(value), json.is_truthy(value)).first()[:] == (written, given)

@@ -60,10 +60,9 @@ def decide(submissions: DataFrame, now_ms: Column, configured: Column | None = N
     })
     names = ("website", "startedAt", "ref", "type", *(f"fields.{n}" for n in ("name", "phone", "vehicle", "message", "modifications", "engineDetails")))
     parsed = parsed.withColumn("__values", F.array(*(json.member(F.col("__body"), n) for n in names)))
-    # one expression for all values: their texts, and whether they are given
-    parsed = parsed.withColumns({"__texts": F.transform("__values", lambda v: json.text_of(v)), "__given": F.transform("__values", lambda v: json.is_truthy(v))})
+    parsed = parsed.withColumn("__texts", F.transform("__values", lambda v: json.text_of(v)))  # one expression for all values
     text_at = {n.rpartition(".")[2]: F.col("__texts")[i] for i, n in enumerate(names)}
-    words = F.when(F.col("__given")[7], text_at["message"]).when(F.col("__given")[8], text_at["modifications"]).otherwise(text_at["engineDetails"])
+    words = F.when(json.is_truthy(F.col("__values")[7]), text_at["message"]).when(json.is_truthy(F.col("__values")[8]), text_at["modifications"]).otherwise(text_at["engineDetails"])
     parsed = parsed.withColumns({
         "__origin": origin_host(F.col("__sent")), "__started": json.number_of(F.col("__values")[1], text_at["startedAt"]), "__ref": clean_text(text_at["ref"], 80), "__words": words,
         **{f"__{n}": text_at[n] for n in ("website", "type", "name", "phone", "vehicle")},

@@ -53,3 +53,11 @@ def test_active_menus_equal_all_pairs(spark):
     pairs = left.withColumnRenamed("route", "own").crossJoin(right).where(scalars.is_active(F.col("own"), F.col("route"))).select("page", "menu")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_active_menus_of_a_shared_route_are_written_by_several_tasks(spark):
+    rows = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") > 9, F.col("id")).alias("page"), F.when(F.col("id") > 5, F.lit("/a")).otherwise("/a/b").alias("route"))
+    found = pages.active_menus(rows, rows.withColumnRenamed("page", "menu"), "page", "menu").withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert sum(tasks) == 2994 * 2994 + 6 * 3000 and max(tasks) < sum(tasks) / 2
+    assert found.where("page IS NULL AND menu IS NULL").count() == 4 * 4 + 6 * 10

@@ -24,8 +24,8 @@ from .shared import written
 
 #: Text bytes of one block of documents, about; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
-#: Stretches whose alignment a worker keeps; beyond, it forgets all before the next block.
-KEPT_STRETCHES = 300_000
+#: Stretches, the most frequent ones of a block, whose alignment a worker keeps for the next block.
+KEPT_STRETCHES = 50_000
 #: Stretches that are tokenised at once, and stretches of documents whose pairs are counted at once.
 TOGETHER, COUNTED = 8192, 100_000
 #: Text bytes that are cut into stretches at once, about.
@@ -146,6 +146,16 @@ class Stretches:
         self.counts = np.zeros((0, 6), np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def keep(self, most: int, used: np.ndarray) -> None:
+        """Forget all but the ``most`` stretches that were used most often."""
+        at = np.sort(np.argsort(-used, kind="stable")[:most])
+        names, self.counts = list(self.known), self.counts[at]  # known in the order of their numbers
+        held = ragged(self.counts[:, 4], self.counts[:, 5])
+        self.pairs, self.times = self.pairs[held], self.times[held]
+        self.counts[:, 4] = np.cumsum(self.counts[:, 5]) - self.counts[:, 5]
+        self.known = {names[i]: k for k, i in enumerate(at.tolist())}
+        self.strings = [self.strings[i] for i in at.tolist()]
+
     def split(self, text: str) -> list[str]:
         if not self.cut:
             return [text]
@@ -246,24 +256,28 @@ class Block:
             text.append(hashlib.sha256(groups.encode()).hexdigest() if self.digest and n else groups)
             begin += n
         self.parts.append(pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers), pa.array(text, pa.large_string())], names=["id", *_NUMBERS, "groups"]))
-        self.order.append(at)
+        self.order.append(at.astype(np.int32))
         self.sizes.append(count)
         self.bytes += size
 
     def row(self, number: int) -> pa.RecordBatch:
         """The block's documents, and every pair linked in one of them with the number of documents that hold it."""
         known, count = self.known, np.concatenate(self.sizes)
-        own, local = np.unique(np.concatenate(self.order), return_inverse=True)
+        order, used = np.concatenate(self.order), np.zeros(len(known.counts), bool)
+        used[order] = True
+        own, local = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[order]
         begin, each = known.counts[own, 4], known.counts[own, 5]
         at = ragged(begin, each)
         pairs, pair = np.unique(known.pairs[at], return_inverse=True)
+        pair, times = pair.astype(np.int32), known.times[at]
+        del order, used, at
         first, bounds, holders = np.cumsum(each) - each, np.r_[0, np.cumsum(count)], np.zeros(len(pairs), np.int64)
         for i, j in spans.slices(bounds, COUNTED):
             doc = np.repeat(np.arange(j - i), count[i:j])
             doc, stretch = np.divmod(np.unique(doc * max(len(own), 1) + local[bounds[i] : bounds[j]]), max(len(own), 1))
             held = np.unique(np.repeat(doc, each[stretch]) * max(len(pairs), 1) + pair[ragged(first[stretch], each[stretch])]) % max(len(pairs), 1)
             holders += np.bincount(held, minlength=len(pairs))
-        arrays = dict(count=count, order=local.astype(np.int32), each=each.astype(np.int32), pair=pair.astype(np.int32), times=known.times[at])
+        arrays = dict(count=count, order=local, each=each.astype(np.int32), pair=pair, times=times)
         batch = pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0] if count.size else self.parts[0]
         payload = pa.record_batch({"docs": pa.array([_stream(batch)], pa.large_binary())} | {name: pa.array([x.tobytes()], pa.large_binary()) for name, x in arrays.items()})
         told = [pa.array([number]), pa.array([len(pairs)]), pa.array([pairs.tobytes()], pa.binary()), pa.array([holders.tobytes()], pa.binary())]
@@ -290,23 +304,33 @@ def _sums(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values, np.bincount(inverse, counts, minlength=len(values)).astype(np.int64)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], known: Stretches, number: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks, numbered from ``number``; of what it learned from a block, ``known`` keeps ``KEPT_STRETCHES``, also from the last one."""
+    block = Block(known, digest)
+
+    def row() -> pa.RecordBatch:
+        out = block.row(number)
+        if len(known.known) > KEPT_STRETCHES:
+            known.keep(KEPT_STRETCHES, np.bincount(np.concatenate(block.order), minlength=len(known.counts)))
+        return out
+
+    for batch in batches:
+        _, offsets = spans.bytes_of(batch.column(1))
+        for i, j in spans.slices(offsets, SLICE_BYTES):
+            block.add(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).to_pylist(), int(offsets[j] - offsets[i]))
+            if block.bytes >= BLOCK_BYTES:
+                yield row()
+                pa.default_memory_pool().release_unused()
+                block, number = Block(known, digest), number + 1
+    if block.parts:
+        yield row()
+
+
 def aligned_blocks(docs: DataFrame, byte_level: str, pieces: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
     """Blocks of aligned documents, a written table."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = _stretches(byte_level, pieces), TaskContext.get().partitionId() << _COUNTER_BITS
-        block = Block(known, digest)
-        for batch in batches:
-            _, offsets = spans.bytes_of(batch.column(1))
-            for i, j in spans.slices(offsets, SLICE_BYTES):
-                block.add(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).to_pylist(), int(offsets[j] - offsets[i]))
-                if block.bytes >= BLOCK_BYTES:
-                    yield block.row(number)
-                    if len(known.known) > KEPT_STRETCHES:
-                        known.forget()
-                    block, number = Block(known, digest), number + 1
-        if block.parts:
-            yield block.row(number)
+        return blocks_of(batches, _stretches(byte_level, pieces), TaskContext.get().partitionId() << _COUNTER_BITS, digest)
 
     return written(docs.select(id_col, text_col).mapInArrow(emit, _BLOCK), "aligned")
 

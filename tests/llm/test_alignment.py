@@ -4,10 +4,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkloom.llm import token_alignment
 from sparkloom.llm.token_alignment import Stretches, align, align_tokens
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -111,3 +113,20 @@ def test_align_compares_few_ends_of_a_shifted_run():
     a, b = np.r_[1, 2, np.arange(3, 5000)], np.r_[2, np.arange(3, 5000)]
     cut_a, cut_b = align(a, np.array([0, len(a)]), b, np.array([0, len(b)]))
     assert not cut_a[0] and cut_a[1:].all() and cut_b.all()
+
+
+def test_a_worker_keeps_few_stretches_whatever_it_reads(known, monkeypatch):
+    rng = random.Random(3)
+    rows = [" ".join(rng.choice(["the", "naïve", "日本", f"w{rng.randrange(500)}x"]) for _ in range(60)) for _ in range(40)] + ["", None]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x], pa.string())], names=["doc_id", "text"]) for i, x in enumerate(rows)]
+    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", 1000)
+    shown = lambda r: (r.drop_columns("payload").to_pylist(), pa.ipc.open_stream(r["payload"][0].as_buffer()).read_all()["docs"][0])
+    known.forget()
+    whole = [shown(r) for r in token_alignment.blocks_of(iter(batches), known, 0, True)]
+    monkeypatch.setattr(token_alignment, "KEPT_STRETCHES", 5)
+    known.forget()
+    held, found = [], []
+    for r in token_alignment.blocks_of(iter(batches), known, 0, True):
+        held.append(len(known.known))
+        found.append(shown(r))
+    assert found == whole and len(found) > 5 and max(held) <= 5 and {"the", "naïve", "日本"} <= set(known.known)

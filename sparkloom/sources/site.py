@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from .json_ranges import located
+from .listing import files_below, located, with_contents
 
 
 class _Written(WriterCommitMessage):
@@ -114,8 +114,7 @@ def write_site(files: DataFrame, folder: str) -> None:
 
 def folder_files(spark: SparkSession, folder: str, below: str = "") -> DataFrame:
     """Rows (path, content) of all files below ``folder``, their paths below ``below``: what ``write_site`` copies into a tree."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.regexp_replace(F.lit(folder.rstrip("/") + "/"), "^[a-z]+:/*", "/")
-    path = F.expr("substring(p, length(r) + 1)")
-    rows = found.select(F.url_decode(F.replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("p"), root.alias("r"), "content")
-    return rows.select(F.concat(F.lit(f"{below.strip('/')}/" if below.strip("/") else ""), path).alias("path"), "content")
+    _, top = located(folder)
+    start = F.lit(f"{below.strip('/')}/" if below.strip("/") else "")
+    path = F.expr(f"substring(path, {len(top.rstrip('/')) + 2})")
+    return with_contents(files_below(spark, folder), folder).select(F.concat(start, path).alias("path"), "content")

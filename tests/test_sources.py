@@ -37,3 +37,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/manifest").count() == 4
     text = "".join(r.value for r in spark.read.text(f"file://{tmp_path}/map", wholetext=True).collect())
     assert text.count("<url>") == 4 and text.count("</urlset>") >= 1
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    (tmp_path / "in" / "a b" / "_x=1").mkdir(parents=True)
+    (tmp_path / "in" / "_left").mkdir()
+    for name in ("a b/é+%20.html", "a b/_x=1/x.html", "top.html", "empty.html", "_left/out.html", ".out.html", "a b/note.txt"):
+        (tmp_path / "in" / name).write_text("" if name == "empty.html" else name)
+    for found, wanted in ((tables.page_files(spark, f"file://{tmp_path}/in"), "*.html"), (tables.file_sizes(spark, f"{tmp_path}/in"), "*")):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(f"file://{tmp_path}/in")
+        # Spark's reader leaves out empty files
+        assert sorted(map(tuple, found.where("length > 0").select("path", "length").collect())) == sorted(map(tuple, plain.select("path", "length").collect())) and found.count() > 3
+        assert "binaryFile" not in found._jdf.queryExecution().toString() and len(found.inputFiles()) < 20
+    assert {r.html for r in tables.page_files(spark, f"{tmp_path}/in").collect()} == {"", "top.html", "a b/é+%20.html", "a b/_x=1/x.html"}

@@ -6,7 +6,8 @@ stand at which depth. Put one after the other these give each range the state
 in which it begins and the number of its first record. In the second pass a
 range reads the records whose delimiter it holds, over its end if need be.
 Files must be where all executors reach them by a path or address that Arrow's
-file systems know.
+file systems know. Listing, both passes and what joins them are work of tasks,
+each of which reads many ranges.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .listing import files_below, located
 
 #: Bytes of a range.
 RANGE_BYTES = 64 << 20
@@ -30,11 +31,6 @@ _STEP = np.zeros(256, np.int8)
 _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path on it of a path or address."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def marks(data: np.ndarray, escaped: bool, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Where brackets and commas outside of strings stand, the depth after each, from 0, and whether the data end inside a string.
 
@@ -65,26 +61,14 @@ def escape_before(data: np.ndarray) -> bool:
     return bool((other[0] if len(other) else len(data)) % 2)
 
 
-class _Range(InputPartition):
+class _Range:
     def __init__(self, path: str, number: int, begin: int, end: int, state: tuple[int, int, int] = (0, 0, 0)) -> None:
         self.path, self.number, self.begin, self.end, self.state = path, number, begin, end, state
 
 
-class JsonRanges(DataSource):
-    """``format("json_ranges")``: without the option ``states`` a row for each range with what it does to the state, with it the records."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "json_ranges"
-
-    def schema(self) -> str:
-        return "path string, pos long, name string, value string" if "states" in self.options else "path string, number long, summary string"
-
-    def reader(self, schema: T.StructType) -> _Reader:
-        return _Reader(dict(self.options))
-
+class _Reader:
+    """Without the option ``states`` a range gives a row with what it does to the state, with it its records."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.size = options["path"], int(options.get("range_bytes", RANGE_BYTES))
         self.states = json.loads(options["states"]) if "states" in options else None
@@ -170,17 +154,54 @@ def json_parts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     """``path``, ``pos``, ``name``, ``value``: the elements of JSON lists, or members of JSON objects, of one file or all files below a folder, as text.
 
     ``pos`` counts a file's records from 0 in their order; ``name`` is null in
-    lists. Files are read in ranges of ``range_bytes``, each by a task of its
-    own, whatever the size of a document; a record may be longer than a range
-    and is held in the task that begins it. White space around records is left
-    out. Empty files, lists and objects and single values have no records. The
-    driver gets a few numbers for each range.
+    lists. Files are read in ranges of ``range_bytes``, whatever the size of a
+    document; a record may be longer than a range and is held in the task that
+    begins it. White space around records is left out. Empty files, lists and
+    objects and single values have no records. A task reads several ranges,
+    64 MB or more if there are more than tasks for all cores; the driver gets
+    two sums. A file's states, a few numbers for each of its ranges, are put
+    together in one task.
     """
-    spark.dataSource.register(JsonRanges)
-    reader = spark.read.format("json_ranges").option("path", path).option("range_bytes", range_bytes)
-    states: dict[str, list[tuple[int, int, int]]] = {}
-    put_together(sorted((r.path, r.number, r.summary) for r in reader.load().collect()), states, {})  # a row for each range
-    return reader.option("states", json.dumps(states)).load()
+    files = files_below(spark, path, without=lambda name: False).where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]") & (F.col("length") > 0))
+    last = F.floor((F.col("length") - 1) / range_bytes)
+    n, size = files.agg(F.coalesce(F.sum(last + 1), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    least = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(min(n, max(least, size // RANGE_BYTES)), 1)
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("number"))
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader({"path": path, "range_bytes": range_bytes})
+        for batch in batches:
+            rows = [row for name, length, i in _rows(batch) for row in reader.read(_Range(name, i, i * range_bytes, min((i + 1) * range_bytes, length)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[2] for x in rows], pa.string())], names=[*batch.schema.names, "summary"])
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[str, tuple[int, int, int, bool]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                found: dict[str, list[tuple[int, int, int]]] = {}
+                rows = [(name, i, summary) for name, _, i, summary in _rows(batch)]
+                put_together(rows, found, now)
+                now = {rows[-1][0]: now[rows[-1][0]]}  # rows come file by file
+                state = [x for held in found.values() for x in held]
+                columns = [pa.array([int(x[k]) for x in state], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["path", "length", "number", "inside", "level", "pos"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader({"path": path, "range_bytes": range_bytes, "states": "{}"})
+        for batch in batches:
+            for name, length, i, *state in _rows(batch):
+                found = list(reader.read(_Range(name, i, i * range_bytes, min((i + 1) * range_bytes, length), tuple(state))))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "pos", "name", "value"])
+
+    told = ranges.repartition(tasks, "path", "number").mapInArrow(summaries, "path string, length long, number long, summary string")
+    begun = told.repartition("path").sortWithinPartitions("path", "number").mapInArrow(states, "path string, length long, number long, inside long, level long, pos long")
+    return begun.repartition(tasks, "path", "number").mapInArrow(records, "path string, pos long, name string, value string")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(x.to_pylist() for x in batch.columns))
 
 
 def put_together(summaries: list[tuple[str, int, str]], states: dict[str, list[tuple[int, int, int]]], now: dict[str, tuple[int, int, int, bool]]) -> None:

@@ -51,3 +51,14 @@ def test_several_tasks_read_one_list_in_order(spark, tmp_path):
     one = json_catalog(spark, f"file://{tmp_path}/in/a.json", "id int, tags array<string>, deep struct<x:string>", 5000).orderBy("pos").collect()
     assert [(r.pos, r.id, r.tags, r.deep.x) for r in one] == [(i, r["id"], r["tags"], r["deep"]["x"]) for i, r in enumerate(rows)]
     assert [r.id for r in json_catalog(spark, f"{tmp_path}/in/b.json", "id int").orderBy("pos").collect()] == [-1, None, -2]
+
+
+def test_tasks_read_many_ranges_and_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(30):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps([{"id": 100 * k + i, "s": '],"'} for i in range(100 if k else 0)]))
+    (tmp_path / "in" / "_out.json").write_text("[1]")
+    parts = json_parts(spark, f"file://{tmp_path}/in", 64)
+    assert parts.rdd.getNumPartitions() < 50  # of some 1,000 ranges
+    rows = parts.selectExpr("regexp_extract(path, '([0-9]+).json', 1) AS k", "pos", "value").collect()
+    assert sorted((int(r.k), r.pos, json.loads(r.value)["id"]) for r in rows) == [(k, i, 100 * k + i) for k in range(1, 30) for i in range(100)]

@@ -61,3 +61,36 @@ def test_active_menus_of_a_shared_route_are_written_by_several_tasks(spark):
     tasks = [r["count"] for r in found.groupBy("task").count().collect()]
     assert sum(tasks) == 2994 * 2994 + 6 * 3000 and max(tasks) < sum(tasks) / 2
     assert found.where("page IS NULL AND menu IS NULL").count() == 4 * 4 + 6 * 10
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_active_menus_of_cut_routes_equal_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(pages, "PART", part)
+    routes = ["/", "/a", "/a/b", "/a/b", "/ab", "/a", "", None, "/none/below", "/none/too"]
+    left = spark.createDataFrame([(None if i % 7 == 0 else i % 31, routes[i % 10]) for i in range(60)], "page int, route string")
+    right = spark.createDataFrame([(None if i % 5 == 0 else f"m{i % 13}", routes[i % 8]) for i in range(40)], "menu string, route string")
+    found = pages.active_menus(left, right, "page", "menu")
+    pairs = left.withColumnRenamed("route", "own").crossJoin(right).where(scalars.is_active(F.col("own"), F.col("route"))).select("page", "menu")
+    assert found.dtypes == pairs.dtypes and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, pairs.collect()), key=repr)
+
+
+def _shuffled_rows(spark, rows):
+    """The number of ``rows``, and of rows that their shuffles take."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()))}
+    before = stages()
+    return rows.count(), sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_active_menus_shuffle_rows_and_not_pairs(spark):
+    rows = spark.range(0, 9000, 1, 4).select(F.col("id").alias("page"), F.lit("/a").alias("route"))
+    n, sent = _shuffled_rows(spark, pages.active_menus(rows, rows.withColumnRenamed("page", "menu"), "page", "menu"))
+    assert n == 9000 * 9000 and sent < 4 * 9000
+
+
+def test_active_menus_leave_out_long_routes_without_menus(spark):
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("page"), F.concat(F.lit("/a/"), "id").alias("route"))
+    menus = spark.createDataFrame([(1, "/a/7"), (2, "/b")], "menu int, route string")
+    lists = pages._lists(rows.select("page", F.lit("/a").alias("__route")), "page", "__pages", pages._grids(rows.select(F.lit("/a").alias("__route")), menus.select(F.col("route").alias("__route")), 8), "__high")
+    assert lists.count() == 0
+    assert list(map(tuple, pages.active_menus(rows, menus, "page", "menu").collect())) == [(7, 1)]
